@@ -53,7 +53,7 @@ def placed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source")
     before = chunk.withColumn("__before", F.sum("__n").over(upto) - F.col("__n")).drop("__n")
     inside = Window.partitionBy(source_col, "__chunk").orderBy(id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
     out = keyed.withColumn("__in", F.sum("size").over(inside) - F.col("size"))
-    out = out.join(before, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__chunk") == F.col("__c")))
+    out = out.join(before.hint("merge"), F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__chunk") == F.col("__c")))
     return out.withColumn("off", F.col("__before") + F.col("__in")).select(*docs.columns, "off"), chunk
 
 
@@ -81,7 +81,8 @@ def targets(chunk: DataFrame, cap: float = CAP, block: int = BLOCK) -> DataFrame
 def _numbers(df: DataFrame, n: str, name: str) -> DataFrame:
     """A row for each number from 0 to n - 1, through runs of RUN, so no array grows with n."""
     runs = df.withColumn("__run", F.explode(F.expr(f"sequence(0L, {n} - 1, {RUN}L)")))
-    runs = runs.repartition("__run", *[c for c in df.columns if c in ("source", "shard")])
+    n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(n_tasks, "__run", *[c for c in df.columns if c in ("source", "shard")])
     return runs.withColumn(name, F.explode(F.expr(f"sequence(__run, least(__run + {RUN}, {n}) - 1)"))).drop("__run")
 
 
@@ -111,7 +112,7 @@ def block_uses(by: DataFrame, seed: int = SEED, slots_per_shard: int = SLOTS_PER
 def pieces(rows: DataFrame, uses: DataFrame, source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """rows (with size, off) by the blocks they reach into: lo and hi, counted in the row's own words, and times."""
     cut = rows.where("size > 0").withColumn("__b", F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})")))
-    cut = cut.join(uses, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__b") == F.col("__block")))
+    cut = cut.join(uses.hint("merge"), F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__b") == F.col("__block")))
     return cut.withColumn("lo", F.greatest(F.col("__b") * block - F.col("off"), F.lit(0))).withColumn("hi", F.least((F.col("__b") + 1) * block - F.col("off"), F.col("size")))
 
 
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, block: int = BLOCK, cap: float = CAP, seed: int = SEED)
     cut = pieces(rows, block_uses(by, seed), block=block)
     taken = cut.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("off").alias("__off")).agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
     rows = rows.join(by.select(F.col("source").alias("__src"), "source_size", "target"), F.col("source").eqNullSafe(F.col("__src")))
-    rows = rows.join(taken, (F.col("size") > 0) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("off") == F.col("__off")), "left")
+    rows = rows.join(taken.hint("merge"), (F.col("size") > 0) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("off") == F.col("__off")), "left")
     return rows.select("doc_id", "source", "size", "off", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -135,7 +136,7 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, cap: float = CAP, seed: int
     chunk = slim.groupBy(F.col("source").alias("__source"), F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)).alias("__c")).agg(F.sum("size").alias("__n"))
     cut = pieces(slim, block_uses(targets(chunk, cap, block), seed), block=block)
     plan = cut.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("off").alias("__off")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("__cut"))
-    got = whole.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("off") == F.col("__off")) & (F.col("size") > 0))
+    got = whole.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("off") == F.col("__off")) & (F.col("size") > 0))
     got = got.withColumn("__copy", F.explode(F.expr("sequence(1L, array_max(__cut.times))")))
     got = got.withColumn("__now", F.expr("filter(__cut, x -> x.times >= __copy)")).withColumn("__words", F.expr("aggregate(__now, 0L, (n, x) -> n + x.hi - x.lo)"))
     words = F.regexp_extract_all("text", F.lit(r"(?s)(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
