@@ -152,14 +152,19 @@ def find(index: Index, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int,
 SCHEMA = "doc_id long, items array<struct<item_id:long,place:long,edits:int>>"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, **options) -> DataFrame:
-    """doc_id and the items found, a row for each row of docs and block of the benchmark."""
+def indexes(spark, benchmark: DataFrame, block_bytes: int, **options):
+    """Broadcast indexes of blocks of the benchmark, each over about block_bytes of text."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_bytes))
-    out = None
     for b in range(n_blocks):
         block = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b) if n_blocks > 1 else benchmark
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in block.select("item_id", "text").collect()], **options))
+        yield spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in block.select("item_id", "text").collect()], **options))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, **options) -> DataFrame:
+    """doc_id and the items found, a row for each row of docs and block of the benchmark."""
+    out = None
+    for index in indexes(docs.sparkSession, benchmark, block_bytes, **options):
 
         def run(batches, index=index):
             for rows, raw, off in chunks(batches, "text"):
@@ -178,6 +183,20 @@ def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return matches(docs, benchmark, **options).where(F.size("items") > 0).select("doc_id").distinct()
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, **options) -> DataFrame:
+    """The rows of docs that hold no benchmark text, judged in place: one pass for each block of the benchmark."""
+    for index in indexes(docs.sparkSession, benchmark, block_bytes, **options):
+
+        def run(batches, index=index):
+            for rows, raw, off in chunks(batches, "text"):
+                clean = np.ones(rows.num_rows, bool)
+                clean[[r for r, *_ in find(index.value, raw, off)]] = False
+                yield rows.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     """One row per document: the items it holds, and kept if there are none."""
     found = matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

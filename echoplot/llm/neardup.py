@@ -6,11 +6,13 @@
    `bits` are kept, packed; inside a bucket, similarity is estimated by counting equal
    b-bit values and correcting for chance agreement.
 3. A bucket never emits all its pairs: it emits a forest over the pairs whose estimate
-   is not clearly under the threshold. Emitted pairs are confirmed on full shingle sets.
-4. What is confirmed is joined into components. Buckets that still hold several
-   components emit further pairs, never one that was refused, each round four times as
-   many for a row, until none is left: then every candidate pair is in one component,
-   refused, or clearly under the threshold.
+   is not clearly under the threshold. The forests' components are clusters; every
+   candidate pair lies inside one.
+4. A cluster's full shingle sets are shipped once, in blocks of bounded size, and pairs
+   are confirmed there on full sets: best estimates first, and only while both sides are
+   in different components. In clusters of several blocks, what stays outside the largest
+   component then meets every block. So every candidate pair is in one component, refused
+   on full sets, or clearly under the threshold, and no pairs are shipped.
 
 At 0.8 a pair misses all 32 bands of 4 rows with probability 5e-8, and the estimate of a
 pair at 0.8 is under the cut with about 1e-7.
@@ -26,10 +28,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, RollingHash, chunks, forget, mix, read, shingles, words, written
+from .common import LOWER, U, RollingHash, chunks, mix, read, shingles, words, written
 from .components import components
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -113,147 +115,170 @@ class _Forest:
         return True
 
 
-def bucket_pairs(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, refused: list, low: float, most: int) -> list[tuple[int, int]]:
-    """Pairs of a bucket to confirm. First round (most = 0): a forest over pairs whose estimate
-    reaches `low`. Later: for each row outside the largest component its `most` best pairs with
-    other components that were not refused."""
-    if len(ids) < 2 or (comp == comp[0]).all():
-        return []
-    out = []
-    if most == 0:
-        forest = _Forest(comp)
-        todo = np.ones(len(ids), bool)
-        while True:
-            group, size = np.unique(forest.of, return_counts=True)
-            if len(group) == 1:
-                break
-            rest = np.flatnonzero(todo & (forest.of != group[size.argmax()])) if not todo.all() else np.array([0])
-            if not len(rest):
-                break
-            i = rest[0]
-            todo[i] = False
-            other = np.flatnonzero(forest.of != forest.of[i])
-            est = estimate(sig[i], sig[other])
-            for j in other[est >= low][np.argsort(-est[est >= low], kind="stable")]:
-                if forest.join(i, j):
-                    out.append((ids[i], ids[j]))
-        return out
-    group, size = np.unique(comp, return_counts=True)
-    for i in np.flatnonzero(comp != group[size.argmax()]):
-        other = np.flatnonzero(comp != comp[i])
-        est = estimate(sig[i], sig[other])
-        good = est >= low
-        other, est = other[good], est[good]
-        if refused[i] is not None and len(refused[i]):
-            good = ~np.isin(ids[other], refused[i])
-            other, est = other[good], est[good]
-        out += [(ids[i], ids[j]) for j in other[np.argsort(-est, kind="stable")[:most]]]
-    return out
+def by_key(batches):
+    """Tables of the rows of one key each; batches come sorted by their first column."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(0).to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        for at, to in zip(cut[:-1], cut[1:], strict=True):
+            if k[at] != key:
+                if sum(p.num_rows for p in held) > 1:
+                    yield pa.Table.from_batches(held)
+                held, key = [], k[at]
+            if to - at > 1 or held or to == len(k):  # a single row inside a batch pairs with nothing
+                held.append(batch.slice(at, to - at))
+    if sum(p.num_rows for p in held) > 1:
+        yield pa.Table.from_batches(held)
 
 
-def candidates(rows: DataFrame, threshold: float, most: int) -> DataFrame:
-    """Pairs (a < b) that the buckets want confirmed. rows: id, sig, comp, refused, bands."""
-    low = threshold - MARGIN
-    dealt = rows.select(F.explode("bands").alias("key"), "id", "sig", "comp", "refused")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "key").sortWithinPartitions("key", "id")
+def pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    p = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(p.min(1)), pa.array(p.max(1))], ["a", "b"])
+
 
-    def group(parts: list[pa.RecordBatch]):
-        t = pa.Table.from_batches(parts)
-        ids = t["id"].to_numpy()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        return bucket_pairs(ids, sig, t["comp"].to_numpy(), t["refused"].to_pylist(), low, most)
+def _signatures(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+
+
+def bucket_forest(ids: np.ndarray, sig: np.ndarray, low: float) -> list[tuple[int, int]]:
+    """A forest over the pairs of a bucket whose estimate reaches `low`."""
+    forest, out, done = _Forest(ids), [], np.zeros(len(ids), bool)
+    i = 0
+    while True:
+        done[i] = True
+        other = np.flatnonzero(forest.of != forest.of[i])
+        for j in other[estimate(sig[i], sig[other]) >= low]:
+            if forest.join(i, j):
+                out.append((ids[i], ids[j]))
+        group, size = np.unique(forest.of, return_counts=True)
+        rest = np.flatnonzero(~done & (forest.of != group[size.argmax()]))  # each pair of trees has one outside the largest
+        if len(group) == 1 or not len(rest):
+            return out
+        i = rest[0]
+
+
+def clustered(classes: DataFrame, low: float) -> DataFrame:
+    """Forests of all buckets: pairs a < b. classes: id, sig, bands."""
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = classes.select(F.explode("bands").alias("key"), "id", "sig").repartition(n, "key").sortWithinPartitions("key", "id")
 
     def run(batches):
-        held, key = [], None  # the rows so far of the bucket that a batch may continue
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = batch.column(0).to_numpy()
-            cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
-            pairs = []
-            for at, to in zip(cut[:-1], cut[1:], strict=True):
-                if k[at] != key:
-                    if sum(p.num_rows for p in held) > 1:
-                        pairs += group(held)
-                    held, key = [], k[at]
-                if to - at > 1 or held or to == len(k):
-                    held.append(batch.slice(at, to - at))
-            yield made(pairs)
-        if sum(p.num_rows for p in held) > 1:
-            yield made(group(held))
-
-    def made(pairs):
-        p = np.array(pairs, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(p.min(1)), pa.array(p.max(1))], ["a", "b"])
+        pairs = []
+        for t in by_key(batches):
+            pairs += bucket_forest(t["id"].to_numpy(), _signatures(t), low)
+            if len(pairs) > 50_000:
+                yield pair_batch(pairs)
+                pairs = []
+        yield pair_batch(pairs)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs plus linked: den * intersection >= num * union, on full sets."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+def confirmed(ids: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, first: np.ndarray, low: float, num: int, den: int) -> list[tuple[int, int]]:
+    """Links on full sets that join components of a block. Every pair with `first` set on one side,
+    in different components and with an estimate of `low` or more, is confirmed or refused,
+    best estimates first, until both sides are one component."""
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(size)])
+    flat = np.concatenate(sets)
+    forest, out, done = _Forest(comp), [], np.zeros(len(ids), bool)
+    for i in np.flatnonzero(first):
+        done[i] = True
+        other = np.flatnonzero((forest.of != forest.of[i]) & ~done)
+        # sizes alone bound the similarity
+        other = other[(den * np.minimum(size[other], size[i]) >= num * np.maximum(size[other], size[i]))]
+        if not len(other):
+            continue
+        est = estimate(sig[i], sig[other])
+        other = other[np.argsort(-est, kind="stable")[: int((est >= low).sum())]]
+        step = 8
+        while len(other):
+            part, other = other[:step], other[step:]
+            step = min(4 * step, 512)
+            reach = np.repeat(at[part] - np.concatenate([[0], np.cumsum(size[part])[:-1]]), size[part]) + np.arange(size[part].sum())
+            values = flat[reach]
+            spot = np.minimum(np.searchsorted(sets[i], values), size[i] - 1)
+            both = np.add.reduceat((sets[i][spot] == values).astype(np.int64), np.concatenate([[0], np.cumsum(size[part])[:-1]]))
+            for j in part[den * both >= num * (size[part] + size[i] - both)]:
+                if forest.join(i, j):
+                    out.append((ids[i], ids[j]))
+            other = other[forest.of[other] != forest.of[i]]
+    return out
+
+
+def _linked(rows: DataFrame, low: float, num: int, den: int) -> DataFrame:
+    """Links found inside blocks. rows: key, id, sig, set, comp, first."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("key", "id", "sig", "set", "comp", "first").repartition(n, "key").sortWithinPartitions("key", "id")
 
     def run(batches):
-        for batch in batches:
-            a, b, sa, sb = (batch.column(batch.schema.get_field_index(x)) for x in ("a", "b", "sa", "sb"))
-            linked = []
-            for x, y in zip(sa, sb, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, class_id (least id of an equal set), n_links
-    (confirmed links of its class), component_id, kept."""
-    spark = docs.sparkSession
-    threshold = num / den
+        pairs = []
+        for t in by_key(batches):
+            sets = [np.frombuffer(x, U) for x in t["set"].to_pylist()]
+            pairs += confirmed(t["id"].to_numpy(), _signatures(t), sets, t["comp"].to_numpy(), t["first"].to_numpy(zero_copy_only=False), low, num, den)
+        yield pair_batch(pairs)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_bytes: int = 16 << 20) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, class_id (least id of an equal set), component_id, kept."""
+    low = num / den - MARGIN
     every = written(signed(docs, k), "signed")
     full = every.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    rows = written(classes, "classes")
-    member = full.join(rows.select("h1", "h2", F.col("id").alias("class")), ["h1", "h2"]).select("doc_id", "class")
+    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = written(classes, "classes")
     # an id on several texts ties their classes
     again = full.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    ties = member.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("class").alias("b"), F.collect_set("class").alias("all")).select(F.explode("all").alias("a"), "b").where("a <> b")
-
-    # classes of one id are one node from the start on, in the bucket work as in the result
-    now = rows.select("id", "sig", "bands", F.col("id").alias("comp"), F.array().cast("array<long>").alias("refused"))
-    links, refused, sets, comp, most = ties.select("a", "b"), None, None, None, 0
-    while True:
-        pairs = candidates(now, threshold, most)
-        if refused is not None:
-            pairs = pairs.join(refused.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        if sets is None:  # every class that can link at all is in a pair of the first round
-            wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-            sets = written(_sets(docs, wanted, k), "sets")
-        done = written(_confirmed(pairs, sets, num, den), "confirmed")
-        links = links.union(done.where("linked").select("a", "b"))
-        gone = done.where("not linked").select("a", "b")
-        refused = gone if refused is None else refused.union(gone)
+    ties = full.join(again, "doc_id", "left_semi").join(classes.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
+
+    forest = written(clustered(classes, low), "forest")
+    cluster = written(components(forest), "clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    rows = classes.select("id", "n", "sig").dropDuplicates(["id"]).join(cluster, "id")
+    weight = rows.groupBy("cluster").agg(F.sum(F.col("n") * 8 + 100).alias("w")).select(F.col("cluster").alias("__c"), F.ceil(F.col("w") / block_bytes).cast("int").alias("blocks"))
+    rows = rows.join(weight, F.col("cluster") == F.col("__c")).drop("__c").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = written(rows.join(_sets(docs, cluster.select("id"), k), "id"), "sets")
+
+    # 1. inside blocks: every candidate pair of a block is settled
+    links = written(_linked(rows.select(F.xxhash64("cluster", "block").alias("key"), "id", "sig", "set", F.col("id").alias("comp"), F.lit(True).alias("first")), low, num, den), "links")
+    if not rows.where("blocks > 1").isEmpty():
+        # 2. clusters of several blocks: what is outside a cluster's largest component meets every block
+        large = rows.where("blocks > 1")
         comp = written(components(links), "components")
-        no = refused.select("a", "b").union(refused.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("r")).agg(F.collect_set("b").alias("no"))
-        now = rows.join(sets.select("id"), "id", "left_semi").join(comp, F.col("id") == F.col("node"), "left").join(no, F.col("id") == F.col("r"), "left")
-        now = now.select("id", "sig", "bands", F.coalesce("component", "id").alias("comp"), F.coalesce("no", F.array().cast("array<long>")).alias("refused"))
-        most = 4 * max(1, most)
-    comp = comp if comp is not None else written(components(links), "components")
-    n_links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").count().select(F.col("a").alias("c"), F.col("count").alias("n_links"))
-    of = rows.select("h1", "h2", F.col("id").alias("class_id")).join(comp, F.col("class_id") == F.col("node"), "left").join(n_links, F.col("class_id") == F.col("c"), "left")
-    of = of.select("h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        large = large.join(comp, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
+        main = large.groupBy("cluster", "comp").count().groupBy(F.col("cluster").alias("__c")).agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+        large = written(large.join(main, F.col("cluster") == F.col("__c")), "large")
+        out = large.where("comp <> main").withColumn("part", F.col("block"))
+        here = F.xxhash64("cluster", "part", "block").alias("key")
+        meet = out.select("cluster", "part").distinct()
+        one = out.drop("block").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(here, "id", "sig", "set", "comp", F.lit(True).alias("first"))
+        two = large.join(meet, "cluster").where("block <> part or comp = main").select(here, "id", "sig", "set", "comp", F.lit(False).alias("first"))
+        links = links.union(written(_linked(one.union(two), low, num, den), "links"))
+    comp = written(components(links.union(ties.select("a", "b"))), "components")
+    of = classes.select("h1", "h2", F.col("id").alias("class_id")).join(comp, F.col("class_id") == F.col("node"), "left")
+    of = of.select("h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component"))
     out = every.select("doc_id", "n_shingles", "h1", "h2").join(of, ["h1", "h2"], "left")
-    linked = F.col("n_shingles") > 0
-    component = F.when(linked & F.col("doc_id").isNotNull(), F.least("component", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = out.select("doc_id", "n_shingles", F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs without near duplicates of a kept one; of rows that repeat an id, one."""
+    found = written(near_duplicates(docs, **options).select("doc_id", "kept"), "kept")
+    gone = found.where("not kept").select("doc_id").distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rest = docs.join(gone, "doc_id", "left_anti")
+    if again.isEmpty():
+        return rest.select(*docs.columns)
+    single = rest.join(again, "doc_id", "left_anti").select(*docs.columns)
+    first = rest.join(again, "doc_id", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return single.union(first.where("__n = 1").select(*docs.columns))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """id, set (sorted 64-bit shingle hashes) of the wanted documents."""
 
