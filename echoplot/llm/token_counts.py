@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, read
 from .token_ids import tokenizer_path
-from .tokens import Encoder
+from .tokens import encoder
 
 RULES = ("first", "most", "split")
 
@@ -69,7 +69,7 @@ def token_counts(docs: DataFrame, rule: str = "most", sections: Callable = lines
     tokenizer = tokenizer or tokenizer_path()
 
     def run(batches):
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for rows, raw, off in chunks(batches, "text"):
             ids, cut = encode(raw, off)
             size = encode.token_bytes[ids]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, read, written
-from .tokens import Encoder
+from .tokens import encoder
 
 ROW_GROUP, PAGE = 16 << 20, 1 << 20
 
@@ -39,7 +39,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for rows, raw, off in chunks(batches, "text"):
             ids, cut = encode(raw, off)
             # the end id goes in at the end of each document

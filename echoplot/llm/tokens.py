@@ -9,6 +9,7 @@ ASCII, no cut is made.
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -18,7 +19,13 @@ from .common import SPACE, U, RollingHash
 #: lead bytes of characters that may be white space
 WIDE = np.zeros(256, bool)
 WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-CACHE = 400_000
+CACHE = 1_000_000
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for a worker process: it and its pieces serve the tasks to come."""
+    return Encoder(path)
 
 
 class Encoder:
@@ -47,9 +54,8 @@ class Encoder:
         n = len(self.start) - 1
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(count)])
         self.ids = np.concatenate([self.ids, ids])
-        key, slot = np.concatenate([self.key, key]), np.concatenate([self.slot, n + np.arange(len(pieces))])
-        order = np.argsort(key)
-        self.key, self.slot = key[order], slot[order]
+        at = np.searchsorted(self.key, key)  # both sorted
+        self.key, self.slot = np.insert(self.key, at, key), np.insert(self.slot, at, n + np.arange(len(pieces)))
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk and n + 1 offsets into them."""
