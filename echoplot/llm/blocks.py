@@ -19,9 +19,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import U, chunks, written
+from .common import U, chunks, release, written
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 MESSAGE = "block long, kind int, bucket int, data binary"
 
 
@@ -146,7 +146,9 @@ def answer(messages: DataFrame, n_buckets: int, fn: Callable[[list[tuple]], list
         for rows in groups(batches, 2):
             yield batch(fn(rows))
 
-    return written(dealt.mapInArrow(run, MESSAGE), "answers")
+    out = written(dealt.mapInArrow(run, MESSAGE), "answers")
+    release(out.sparkSession)
+    return out
 
 
 def meet(table: DataFrame, answers: DataFrame, n: int, fn: Callable[[int, Block, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -6,6 +6,7 @@ Arrow buffers; a null text is an empty one.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -60,6 +61,12 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and n + 1 offsets into them; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -95,17 +102,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_powers = [np.ones(1, U), np.ones(1, U)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and its inverse for i up to n; kept for the chunks to come, up to a few MB."""
+    if len(_powers[0]) <= n:
+        size = max(n + 1, CHUNK_BYTES + 1)
+        made = []
+        for base in (BASE, BASE_INV):
+            x = np.full(size, base, U)
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+            made.append(x)
+        if size > 4 * CHUNK_BYTES:
+            return made[0], made[1]
+        _powers[:] = made
+    return _powers[0], _powers[1]
+
+
 class RollingHash:
     """Hashes of any substrings of one buffer by prefix sums of code[byte] * base^position."""
 
     def __init__(self, raw: np.ndarray, codes: np.ndarray = BYTE_CODE):
         n = len(raw)
-        self.power = np.full(n + 1, BASE, U)
-        self.power[0] = 1
-        np.multiply.accumulate(self.power, out=self.power)
-        self.inverse = np.full(n + 1, BASE_INV, U)
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
+        self.power, self.inverse = powers(n)
         self.prefix = np.zeros(n + 1, U)
         np.cumsum(codes[raw] * self.power[:n], out=self.prefix[1:])
 

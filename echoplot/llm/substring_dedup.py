@@ -4,8 +4,8 @@ Ranks stand for equality classes of byte strings, positions for where they start
 groups (rank, rank at an offset) pairs of the live positions and leaves out those that are
 unique. Over every position a round would shuffle many times the input, so:
 
-1. Length 16: in each window of 50 bytes the least-hashed 16-byte string is its anchor.
-   Equal windows have equal anchors at equal offsets, so only anchors, one for some 17
+1. Length 24: in each window of 50 bytes the least-hashed 24-byte string is its anchor.
+   Equal windows have equal anchors at equal offsets, so only anchors, one for some 14
    positions, are live. A maximal run of windows of one anchor is an entry (rank of the
    anchor, rank of the run's whole string).
 2. Entries are grouped by both ranks: a run that a smaller document also has is removed
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from .blocks import Block, answer, ask, blocks, bucket_count, meet, packed, squeezed, unpacked, unsqueezed
 from .common import U, RollingHash, mix, read
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 24
 RUNS, WINDOWS = 1, 2
 MASK = U(2**56 - 1)
 DUPLICATE, SHARED = 1, 2
