@@ -88,7 +88,7 @@ simple("hjorth", ", d AS (SELECT subject, i, value AS x, value - lag(value) OVER
 simple("petrosian", ", d AS (SELECT subject, i, lead(value) OVER (PARTITION BY subject ORDER BY i) - value AS d FROM pts), e AS (SELECT *, lead(d) OVER (PARTITION BY subject ORDER BY i) AS e FROM d), s AS (SELECT subject, count(*) AS n, CAST(sum(CASE WHEN d * e < 0 THEN 1 ELSE 0 END) AS BIGINT) AS changes FROM e GROUP BY subject) SELECT subject, n, changes, round(log10(n) / (log10(n) + log10(n / (n + 0.4::DOUBLE * changes))), 6) AS petrosian, round(CASE WHEN changes > 0 THEN n::DOUBLE / changes ELSE n END, 6) AS samples_per_turn FROM s", lambda p: S.turns(p, "value"))
 simple("katz", ", z AS (SELECT subject, i, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w > 1e-12 THEN stddev_pop(value) OVER w ELSE 1 END AS z FROM pts WINDOW w AS (PARTITION BY subject)), e AS (SELECT subject, abs(z - lag(z) OVER o) AS step, abs(z - first_value(z) OVER o) AS far FROM z WINDOW o AS (PARTITION BY subject ORDER BY i)), s AS (SELECT subject, sum(step) AS len, max(far) AS d, count(step) AS n FROM e GROUP BY subject) SELECT subject, round(log10(n) / (log10(n) + log10(d / len)), 6) AS katz FROM s WHERE len > 0 AND d > 0", lambda p: S.katz(p, "value"))
 simple("perm_entropy", ", x AS (SELECT subject, value AS a, lead(value, 1) OVER w AS b, lead(value, 2) OVER w AS c FROM pts WINDOW w AS (PARTITION BY subject ORDER BY i)), n AS (SELECT subject, (a <= b)::INT AS p, (b <= c)::INT AS q, (a <= c)::INT AS r, count(*) AS n FROM x WHERE c IS NOT NULL GROUP BY ALL), s AS (SELECT subject, n::DOUBLE / sum(n) OVER (PARTITION BY subject) AS p FROM n) SELECT subject, round(sum(-p * ln(p)) / ln(6), 6) AS pe FROM s GROUP BY subject", lambda p: S.permutation_entropy(p, "value"))
-simple("higuchi_lengths", ", k AS (SELECT unnest([1, 2, 3, 4])::INT AS k), n AS (SELECT subject, count(*) AS n FROM pts GROUP BY subject), d AS (SELECT a.subject, k, n, a.i % k AS m, abs(b.value - a.value) AS d FROM pts a CROSS JOIN k JOIN pts b ON a.subject = b.subject AND b.i = a.i + k JOIN n ON n.subject = a.subject), l AS (SELECT subject, k, m, sum(d) * (min(n) - 1) / count(*) / k / k AS len FROM d GROUP BY subject, k, m) SELECT subject, k, round(avg(len), 3) AS length FROM l GROUP BY subject, k", lambda p: S.higuchi_lengths(p, "value").withColumn("length", F.round("length", 3)))
+simple("higuchi_lengths", ", k AS (SELECT unnest([1, 2, 3, 4])::INT AS k), n AS (SELECT subject, count(*) AS n FROM pts GROUP BY subject), d AS (SELECT a.subject, k, n, a.i % k AS m, abs(b.value - a.value) AS d FROM pts a CROSS JOIN k JOIN pts b ON a.subject = b.subject AND b.i = a.i + k JOIN n ON n.subject = a.subject), l AS (SELECT subject, k, m, sum(d) * (min(n) - 1) / count(*) / k / k AS len FROM d GROUP BY subject, k, m) SELECT subject, k, round(avg(len) + 1e-7, 3) AS length FROM l GROUP BY subject, k", lambda p: S.higuchi_lengths(p, "value").withColumn("length", F.round(F.col("length") + 1e-7, 3)))
 simple("dfa_fluct", ", x AS (SELECT subject, i, value - avg(value) OVER (PARTITION BY subject) AS v, count(*) OVER (PARTITION BY subject) AS n FROM pts), y AS (SELECT subject, i, n, sum(v) OVER (PARTITION BY subject ORDER BY i) AS y FROM x), s AS (SELECT *, i // scale AS seg FROM y CROSS JOIN (SELECT unnest([4, 8, 16])::INT AS scale)), e AS (SELECT subject, scale, seg, greatest(var_pop(y) - covar_pop(i, y) * covar_pop(i, y) / var_pop(i), 0) AS r FROM s WHERE (seg + 1) * scale <= n GROUP BY subject, scale, seg) SELECT subject, scale, round(sqrt(avg(r)), 5) AS fluctuation FROM e GROUP BY subject, scale", lambda p: S.dfa_fluctuations(p, "value").withColumn("fluctuation", F.round("fluctuation", 5)))
 simple("sample_entropy", ", t AS (SELECT subject, round(0.2 * stddev_pop(value), 9) AS tol FROM pts GROUP BY subject), e AS (SELECT * FROM (SELECT subject, i, value AS x0, lead(value, 1) OVER w AS x1, lead(value, 2) OVER w AS x2 FROM pts WINDOW w AS (PARTITION BY subject ORDER BY i)) WHERE x2 IS NOT NULL), n AS (SELECT a.subject, CAST(sum((round(abs(a.x0 - b.x0), 9) <= tol AND round(abs(a.x1 - b.x1), 9) <= tol)::INT) AS BIGINT) AS b, CAST(sum((round(abs(a.x0 - b.x0), 9) <= tol AND round(abs(a.x1 - b.x1), 9) <= tol AND round(abs(a.x2 - b.x2), 9) <= tol)::INT) AS BIGINT) AS a FROM e a JOIN e b ON a.subject = b.subject AND a.i <> b.i JOIN t ON t.subject = a.subject GROUP BY a.subject) SELECT subject, a, b, round(CASE WHEN a > 0 AND b > 0 THEN -ln(a::DOUBLE / b) END, 6) AS sampen FROM n", lambda p: S.sample_entropy(p, "value"))
 query("kernel_measures")(lambda spark, d: rounded(S.kernel_measures(points(spark, d), "value")))
