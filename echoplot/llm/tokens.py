@@ -47,10 +47,12 @@ class Encoder:
         self.key, self.slot = np.zeros(0, U), np.zeros(0, np.int64)
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def _learn(self, key: np.ndarray, pieces: list[str]) -> None:
-        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+    def _learn(self, key: np.ndarray, pieces: list[str], size: np.ndarray) -> None:
+        # without offsets; tokens tile the pieces' bytes, so their lengths tell the pieces apart
+        e = self.tokenizer.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0]
         ids = np.array(e.ids, np.int32)
-        count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(pieces))
+        upto = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(size), "right")
+        count = np.diff(upto, prepend=0)
         n = len(self.start) - 1
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(count)])
         self.ids = np.concatenate([self.ids, ids])
@@ -68,7 +70,10 @@ class Encoder:
         near = SPACE[raw[at - 1]] | SPACE[raw[at + 1]] | wide[at + 1]
         for back in (2, 3):
             near |= (at >= back) & wide[at - back]
-        cut = np.unique(np.concatenate([at[~near], off[:-1][np.diff(off) > 0]]))
+        begins = np.zeros(n, bool)
+        begins[at[~near]] = True
+        begins[off[:-1][np.diff(off) > 0]] = True
+        cut = np.flatnonzero(begins)
         stop = np.append(cut[1:], n)
         with np.errstate(over="ignore"):
             key = RollingHash(raw).spans(cut, stop)
@@ -79,7 +84,7 @@ class Encoder:
         new = self.key[spot] != kind if len(self.key) else np.ones(len(kind), bool)
         if new.any():
             whole = raw.tobytes()
-            self._learn(kind[new], [whole[a:b].decode("utf-8", "replace") for a, b in zip(cut[first[new]], stop[first[new]], strict=True)])
+            self._learn(kind[new], [whole[a:b].decode("utf-8", "replace") for a, b in zip(cut[first[new]], stop[first[new]], strict=True)], (stop - cut)[first[new]])
             spot = np.searchsorted(self.key, kind)
         slot = self.slot[spot][which]
         count = self.start[slot + 1] - self.start[slot]
