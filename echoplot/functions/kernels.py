@@ -199,3 +199,26 @@ def integrate(name: str, n: int, transient: int = 1000, substeps: int = 4) -> np
         if k >= 0:
             out[k] = y
     return out
+
+
+def scaling_region(x: np.ndarray, y: np.ndarray, min_points: int = 8, max_cv: float = 0.25) -> tuple[int, int, float, float] | None:
+    """First and last point, slope and variation of the straightest stretch of a curve; wide ones are preferred
+    a little. Slopes are local fits over five points. None where no stretch varies less than max_cv."""
+    n = len(x)
+    if n < min_points:
+        return None
+    local = np.array([np.polyfit(x[max(0, k - 2) : k + 3], y[max(0, k - 2) : k + 3], 1)[0] for k in range(n)])
+    best = None
+    for a in range(n - min_points + 1):
+        for b in range(a + min_points - 1, n):
+            part = local[a : b + 1]
+            if part.mean() == 0:
+                continue
+            cv = part.std() / abs(part.mean())
+            score = cv - 0.05 * (x[b] - x[a]) / (x[-1] - x[0])
+            if cv <= max_cv and (best is None or score < best[0]):
+                best = (score, a, b, cv)
+    if best is None:
+        return None
+    _, a, b, cv = best
+    return a, b, float(np.polyfit(x[a : b + 1], y[a : b + 1], 1)[0]), float(cv)

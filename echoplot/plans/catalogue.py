@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..operators import dynamics as D
 from ..operators import recurrence as R
 from ..operators import series as S
 from ..records import events
@@ -313,3 +314,24 @@ def _lyapunov(spark, d):
         return pd.DataFrame({"subject": pdf["subject"].iloc[0], "step": np.arange(10), "log_distance": c})
 
     return points(spark, d).select("subject", "i", "value").groupBy("subject").applyInPandas(run, "subject long, step long, log_distance double")
+
+
+# embedding choice, invariants, comparisons
+_NEAR = """, e AS (SELECT * FROM (SELECT subject, i, value AS x0, lead(value, 1) OVER w AS x1, lead(value, 2) OVER w AS x2 FROM pts WINDOW w AS (PARTITION BY subject ORDER BY i)) WHERE x2 IS NOT NULL),
+z AS (SELECT subject, sqrt(var_pop(x0) + var_pop(x1)) AS size FROM e GROUP BY subject),
+q AS (SELECT a.subject, a.i, b.i AS j, round(sqrt(pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2)), 9) AS d, a.x2 AS u, b.x2 AS v, size FROM e a JOIN e b ON a.subject = b.subject AND a.i <> b.i JOIN z ON z.subject = a.subject),
+nn AS (SELECT *, sqrt(d * d + pow(u - v, 2)) AS more FROM (SELECT *, row_number() OVER (PARTITION BY subject, i ORDER BY d, j) AS r FROM q WHERE d > 1e-9 * size) WHERE r = 1)"""
+simple("fnn_fraction", f"{_NEAR} SELECT subject, 2 AS m, round(avg((round((more - d) / d, 9) > 10 OR round(more / size, 9) > 2)::INT), 6) AS fnn FROM nn GROUP BY subject", lambda p: D.false_neighbours(p, "value", 2))
+simple("estimate_tau", """, x AS (SELECT subject, i, value - avg(value) OVER (PARTITION BY subject) AS v FROM pts), l AS (SELECT unnest(range(1, 9))::INT AS lag),
+s AS (SELECT a.subject, l.lag, sum(a.v * b.v) AS s FROM x a CROSS JOIN l JOIN x b ON a.subject = b.subject AND b.i = a.i + l.lag GROUP BY 1, 2), t AS (SELECT subject, sum(v * v) AS ss FROM x GROUP BY 1), c AS (SELECT subject, lag, round(s / ss, 9) AS acf FROM s JOIN t USING (subject))
+SELECT subject, coalesce(min(CASE WHEN acf <= exp(-1.0) THEN lag END), arg_min(lag, acf)) AS tau FROM c GROUP BY subject""", lambda p: D.estimate_tau(p, "value", 8))
+RADII = [0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0]
+simple("fixed_region_slope", f", {_PAIRS}, r AS (SELECT unnest({RADII})::DOUBLE AS radius), c AS (SELECT subject, radius, avg((d <= radius)::INT) AS c FROM pairs CROSS JOIN r GROUP BY 1, 2) SELECT subject, round(regr_slope(ln(c), ln(radius)), 6) AS slope, round(regr_intercept(ln(c), ln(radius)), 6) AS intercept, round(regr_r2(ln(c), ln(radius)), 6) AS r2, count(*) AS n FROM c WHERE c > 0 AND radius BETWEEN 1 AND 32 GROUP BY subject", lambda p: D.slope_within(D.correlation_curve(p, ["value"], RADII), 1, 32))
+query("correlation_dimension")(lambda spark, d: rounded(D.correlation_dimension(points(spark, d), ["value"], [0.25 * 1.2**k for k in range(24)], max_c=0.5)))
+query("k2_entropy", f"{_CORE}, {_DIAG}, h AS (SELECT subject, length, count(*) AS c FROM dg WHERE length >= 2 GROUP BY 1, 2), m AS (SELECT *, sum(c) OVER (PARTITION BY subject ORDER BY length DESC) AS least FROM h) SELECT subject, round(CASE WHEN count(*) >= 3 THEN -regr_slope(ln(least), length) END, 6)::DOUBLE AS k2 FROM m GROUP BY subject")(lambda spark, d: rounded(D.k2(R.kernel_histogram(points(spark, d), ["value"], RR))))
+simple("neighbour_agreement", """, a AS (SELECT * FROM (SELECT x.subject, x.i, y.i AS j, row_number() OVER (PARTITION BY x.subject, x.i ORDER BY round(abs(x.value - y.value), 9), y.i) AS r FROM pts x JOIN pts y ON x.subject = y.subject AND x.i <> y.i) WHERE r <= 4),
+b AS (SELECT * FROM (SELECT x.subject, x.i, y.i AS j, row_number() OVER (PARTITION BY x.subject, x.i ORDER BY round(abs(x.gap - y.gap), 9), y.i) AS r FROM pts x JOIN pts y ON x.subject = y.subject AND x.i <> y.i) WHERE r <= 4),
+n AS (SELECT subject, count(*) AS n FROM pts GROUP BY 1), h AS (SELECT subject, count(*) AS hits FROM a JOIN b USING (subject, i, j) GROUP BY 1)
+SELECT subject, round(coalesce(hits, 0) / (n * 4.0::DOUBLE), 6) AS agreement FROM n LEFT JOIN h USING (subject) WHERE n > 4""", lambda p: D.neighbour_agreement(p, ["value"], ["gap"], 4))
+simple("comodulogram", " ".join("SELECT subject, 'phase' AS phase_band, '{a}' AS amplitude_band, round(sqrt(pow(avg({a} * cos(phase)), 2) + pow(avg({a} * sin(phase)), 2)) / avg({a}), 6) AS value FROM pts GROUP BY subject {u}".format(a=a, u=u) for a, u in (("value", "UNION ALL"), ("gap", ""))), lambda p: D.comodulogram(p, ["phase"], ["value", "gap"]))
+simple("instantaneous_rate", ", t AS (SELECT subject, i, phase - lag(phase) OVER (PARTITION BY subject ORDER BY i) AS turn FROM pts), x AS (SELECT subject, i, coalesce(turn - 2 * pi() * round(turn / (2 * pi())), 0) AS step FROM t), y AS (SELECT *, lead(step) OVER (PARTITION BY subject ORDER BY i) AS a FROM x) SELECT subject, i, round((CASE WHEN i = 0 AND a IS NULL THEN 0 WHEN i = 0 THEN a WHEN a IS NULL THEN step ELSE (step + a) / 2 END) / (2 * pi()), 6)::DOUBLE AS rate FROM y", lambda p: D.instantaneous_rate(p, "phase"))
