@@ -120,7 +120,8 @@ def line_histogram(rec: DataFrame, sizes: DataFrame, theiler: int = 1, keys: tup
     if theiler > 0:
         marks = marks.union(column.select(*k, F.greatest(F.col("j") - (theiler - 1), F.lit(0)), "j", F.lit(1))).union(column.select(*k, F.least(F.col("j") + (theiler - 1), F.col("n") - 1), "j", F.lit(1)))
     w = Window.partitionBy(*k, "j").orderBy("i", "band")
-    gaps = marks.withColumn("length", F.lead("i").over(w) - F.col("i") - 1).withColumn("next", F.lead("band").over(w)).where("length > 0 and band = 0 and next = 0")
+    # dealt anew: the parts of the union may lie apart though each is dealt by the keys
+    gaps = marks.repartition(*k, "j").withColumn("length", F.lead("i").over(w) - F.col("i") - 1).withColumn("next", F.lead("band").over(w)).where("length > 0 and band = 0 and next = 0")
     white = gaps.groupBy(*k, "length").agg(F.count(F.lit(1)).alias("cnt")).withColumn("kind", F.lit("white_vertical"))
     return diagonal.unionByName(vertical).unionByName(white).select(*k, "kind", F.col("length").cast("long"), "cnt")
 
