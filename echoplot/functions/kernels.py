@@ -30,28 +30,103 @@ def gap(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     return d[..., 0] if d.shape[-1] == 1 else np.sqrt((d * d).sum(-1))
 
 
-def pair_quantile(x: np.ndarray, q: float, theiler: int, metric: str, most: int = 20_000_000, seed: int = 0) -> float:
-    """Linear quantile of the distances of admissible ordered pairs: exact up to `most` pairs, beyond that of a seeded sample."""
+def _between(values: np.ndarray, below: int, total: int, q: float) -> float:
+    """The linear quantile of `total` values, from a sorted stretch that starts at rank `below`."""
+    at = q * (total - 1)
+    lo = int(np.floor(at))
+    a, b = values[lo - below], values[min(lo + 1, total - 1) - below]
+    return round(float(a + (b - a) * (at - lo)), DIGITS)
+
+
+def pair_quantile(x: np.ndarray, q: float, theiler: int, metric: str, most: int = 20_000_000) -> float:
+    """Exact linear quantile of the distances of admissible ordered pairs. Up to `most` pairs are
+    sorted; beyond that their counts in ever narrower bins find the stretch that holds the quantile,
+    so that memory stays bounded and no pair is left out."""
+    n, low = len(x), max(theiler, 1)
+    if n <= low:
+        return 0.0
+    own = n if theiler == 0 else 0
+
+    def diagonals():
+        for k in range(low, n):
+            yield np.round(gap(x[k:], x[:-k], metric), DIGITS)
+
+    total = (n - low) * (n - low + 1) + own
+    if total <= 2 * most:
+        return _between(np.concatenate([np.zeros(own), np.sort(np.repeat(np.concatenate(list(diagonals())), 2))]), 0, total, q)
+    first = int(np.floor(q * (total - 1)))
+    last = min(first + 1, total - 1)
+    lo, hi, bins = 0.0, max(float(d.max()) for d in diagonals()), 1 << 16
+    while True:
+        edges = np.linspace(lo, hi, bins + 1)
+        below, inside = own if lo > 0 else 0, np.zeros(bins, np.int64)
+        inside[0] += own if lo == 0 else 0
+        for d in diagonals():
+            below += 2 * int((d < lo).sum())
+            d = d[(d >= lo) & (d <= hi)]
+            inside += 2 * np.bincount(np.minimum(np.searchsorted(edges, d, "right") - 1, bins - 1), minlength=bins)
+        upto = below + np.cumsum(inside)
+        a, b = int(np.searchsorted(upto, first, "right")), int(np.searchsorted(upto, last, "right"))
+        rank, held = int(upto[a] - inside[a]), int(upto[b] - (upto[a] - inside[a]))
+        lo, hi = float(edges[a]), float(edges[b + 1])
+        if held <= 2 * most or hi - lo < 10.0 ** -DIGITS or a == 0 and b == bins - 1:
+            break
+    top = b == bins - 1
+    seen: dict[float, int] = {0.0: own} if own and lo == 0 else {}
+    for d in diagonals():
+        for v, c in zip(*np.unique(d[(d >= lo) & ((d <= hi) if top else (d < hi))], return_counts=True), strict=True):
+            seen[v] = seen.get(v, 0) + 2 * int(c)
+    values = np.array(sorted(seen))
+    upto = rank + np.cumsum([seen[v] for v in values])
+    u, v = values[np.searchsorted(upto, first, "right")], values[np.searchsorted(upto, last, "right")]
+    return round(float(u + (v - u) * (q * (total - 1) - first)), DIGITS)
+
+
+def _dense_histogram(x: np.ndarray, q: float, theiler: int, metric: str, eps: float | None) -> tuple:
+    """Threshold, histograms and number of recurrent cells of a unit whose matrix is small."""
     n = len(x)
-    low = max(theiler, 1)
-    if (n - low) * (n - low + 1) // 2 <= most:
-        d = np.concatenate([np.round(gap(x[k:], x[:-k], metric), DIGITS) for k in range(low, n)]) if n > low else np.zeros(0)
-        d = np.repeat(np.sort(d), 2)
-        d = np.concatenate([np.zeros(n), d]) if theiler == 0 else d
-        return round(float(np.quantile(d, q)), DIGITS) if len(d) else 0.0
-    rng = np.random.default_rng(seed)
-    i, j = rng.integers(0, n, (2, most))
-    keep = np.abs(i - j) >= theiler
-    return round(float(np.quantile(np.round(gap(x[i[keep]], x[j[keep]], metric), DIGITS), q)), DIGITS)
-
-
-def recurrence_histogram(x: np.ndarray, target_rr: float, theiler: int = 1, metric: str = "euclidean", eps: float | None = None, columns: int = 256) -> list[tuple]:
-    """(kind, length, count, eps): diagonals one by one above the identity and doubled, columns in
-    strips; memory is a strip of columns, never a matrix."""
+    d = np.round(gap(x[:, None, :], x[None, :, :], metric), DIGITS)
+    lag = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+    free = lag >= theiler
+    if eps is None:
+        held = np.sort(d[free])
+        eps = _between(held, 0, len(held), q) if len(held) else 0.0
+    hit = (d <= eps) & free
+    white = np.zeros((n + 2, n), bool)
+    white[1:-1] = ~hit & free
+    # rows one cell longer than the stride turn diagonals into columns
+    skew = np.zeros((2, n, 2 * n), bool)
+    skew[0, :, :n], skew[1, :, :n] = hit, hit.T
+    flat = np.concatenate([skew.reshape(2, -1), np.zeros((2, n), bool)], axis=1).reshape(2, n, 2 * n + 1)
+    count = lambda r: np.bincount(r, minlength=n + 1)
+    diagonal = count(runs(flat[0][:, :n])) + count(runs(flat[1][:, 1:n]))
+    step = np.diff(white.astype(np.int8), axis=0).T
+    c, start = np.nonzero(step == 1)
+    _, stop = np.nonzero(step == -1)
+    near = np.zeros((n + 2, n), bool)
+    near[1:-1] = ~free
+    alone = ~near[start, c] & ~near[stop + 1, c]
+    return eps, {"diagonal": diagonal, "vertical": count(runs(hit)), "white_vertical": count((stop - start)[alone])}, int(hit.sum())
+
+
+def recurrence_histogram(x: np.ndarray, target_rr: float, theiler: int = 1, metric: str = "euclidean", eps: float | None = None, columns: int = 256, dense: int = 384) -> list[tuple]:
+    """(kind, length, count, eps). Units of up to `dense` points by their matrix; larger ones by diagonals
+    one by one above the identity, doubled, and columns in strips, so memory is a strip, never a matrix."""
     n = len(x)
     if n == 0:
         return []
-    eps = pair_quantile(x, target_rr, theiler, metric) if eps is None else eps
+    if n <= dense:
+        eps, hist, recurrent = _dense_histogram(x, target_rr, theiler, metric, eps)
+    else:
+        eps = pair_quantile(x, target_rr, theiler, metric) if eps is None else eps
+        hist, recurrent = _strip_histogram(x, eps, theiler, metric, columns)
+    cells = n * n - sum((n if k == 0 else 2 * (n - k)) for k in range(min(theiler, n)))
+    out = [(kind, int(length), int(h[length]), eps) for kind, h in hist.items() for length in np.flatnonzero(h) if length > 0]
+    return [*out, ("pairs", 0, cells, eps), ("recurrent", 0, recurrent, eps)]
+
+
+def _strip_histogram(x: np.ndarray, eps: float, theiler: int, metric: str, columns: int) -> tuple[dict, int]:
+    n = len(x)
     hist = {k: np.zeros(n + 1, np.int64) for k in ("diagonal", "vertical", "white_vertical")}
     recurrent = 0
     for k in range(max(theiler, 1), n):
@@ -76,10 +151,7 @@ def recurrence_histogram(x: np.ndarray, target_rr: float, theiler: int = 1, metr
         near = np.concatenate([np.zeros((1, len(j)), bool), band, np.zeros((1, len(j)), bool)])
         free = ~near[start, c] & ~near[stop + 1, c]
         hist["white_vertical"] += np.bincount((stop - start)[free], minlength=n + 1)
-    w = theiler
-    cells = n * n - sum((n if k == 0 else 2 * (n - k)) for k in range(min(w, n)))
-    out = [(kind, int(length), int(h[length]), eps) for kind, h in hist.items() for length in np.flatnonzero(h) if length > 0]
-    return [*out, ("pairs", 0, cells, eps), ("recurrent", 0, recurrent, eps)]
+    return hist, recurrent
 
 
 def lempel_ziv(x: np.ndarray, normalise: bool = True) -> float:

@@ -108,6 +108,25 @@ def _islands(rec: DataFrame, keys: list[str], along: str) -> DataFrame:
     return rec.withColumn("g", g).groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("length"))
 
 
+def block_pairs(points: DataFrame, blocks: dict[str, list[str]], theiler: int = 1, metric: str = "euclidean") -> DataFrame:
+    """subject, i, j and one distance for each block of coordinates: one join for a joint structure."""
+    cs = [c for b in blocks.values() for c in b]
+    right = points.select(F.col("subject").alias("s2"), F.col("i").alias("j"), *[F.col(c).alias(f"{c}_2") for c in cs])
+    on = F.col("subject") == F.col("s2")
+    if theiler > 0:
+        on = on & (F.abs(F.col("i") - F.col("j")) >= theiler)
+    d = [F.round(distance([F.col(c) for c in b], [F.col(f"{c}_2") for c in b], metric), DIGITS).alias(name) for name, b in blocks.items()]
+    return points.select("subject", "i", *cs).join(right, on).select("subject", "i", "j", *d)
+
+
+def joint_rates(pair: DataFrame, blocks: tuple[str, str], target_rr: float, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
+    """keys, n, a, b, c: pairs, recurrent pairs of each block at its own threshold, and of both."""
+    u, v = blocks
+    eps = pair.groupBy(*keys).agg(*[F.round(F.percentile(x, F.lit(target_rr)), DIGITS).alias(f"__{x}") for x in blocks])
+    a, b = F.col(u) <= F.col(f"__{u}"), F.col(v) <= F.col(f"__{v}")
+    return pair.join(eps, list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(a).alias("a"), F.count_if(b).alias("b"), F.count_if(a & b).alias("c"))
+
+
 def line_histogram(rec: DataFrame, sizes: DataFrame, theiler: int = 1, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
     """keys, kind, length, cnt. sizes: keys and n (points of the unit)."""
     k = list(keys)
@@ -126,17 +145,28 @@ def line_histogram(rec: DataFrame, sizes: DataFrame, theiler: int = 1, keys: tup
     return diagonal.unionByName(vertical).unionByName(white).select(*k, "kind", F.col("length").cast("long"), "cnt")
 
 
-def quantify(hist: DataFrame, sizes: DataFrame, l_min: int = 2, v_min: int = 2, w_min: int = 2, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
-    """The measures of each unit. sizes: keys, n_pairs, n_recurrent."""
+def _line_stats(l_min: int, v_min: int, w_min: int) -> list[Column]:
+    """Aggregates of histogram rows: points, lines, longest and entropy of each kind, at its floor."""
+    out = []
+    for kind, a, low in (("diagonal", "d", l_min), ("vertical", "v", v_min), ("white_vertical", "w", w_min)):
+        of = lambda x, kind=kind, low=low: F.when((F.col("kind") == kind) & (F.col("length") >= low), x)
+        lines = F.sum(of(F.col("cnt")))
+        # -sum(p ln p) with p = cnt / lines, in one pass
+        entropy = F.greatest(F.log(lines) - F.sum(of(F.col("cnt") * F.log("cnt"))) / lines, F.lit(0.0))
+        out += [F.sum(of(F.col("length") * F.col("cnt"))).alias(f"{a}_points"), lines.alias(f"{a}_lines"), F.max(of(F.col("length"))).alias(f"{a}_longest"), entropy.alias(f"{a}_entropy")]
+    return out
+
+
+def quantify(hist: DataFrame, sizes: DataFrame | None = None, l_min: int = 2, v_min: int = 2, w_min: int = 2, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
+    """The measures of each unit, in one aggregation of its histogram. sizes: keys, n_pairs, n_recurrent;
+    without it, the histogram's rows of kind `pairs` and `recurrent` tell them."""
     k = list(keys)
-    floor = F.when(F.col("kind") == "diagonal", l_min).when(F.col("kind") == "vertical", v_min).otherwise(w_min)
-    long = hist.where(F.col("length") >= floor).withColumn("all", F.sum("cnt").over(Window.partitionBy(*k, "kind")))
-    p = F.col("cnt") / F.col("all")
-    stats = long.groupBy(*k, "kind").agg(F.sum(F.col("length") * F.col("cnt")).alias("points"), F.sum("cnt").alias("lines"), F.max("length").alias("longest"), F.sum(-p * F.log(p)).alias("entropy"))
-    out = sizes
-    for kind, a in (("diagonal", "d"), ("vertical", "v"), ("white_vertical", "w")):
-        one = stats.where(F.col("kind") == kind).select(*k, *[F.col(c).alias(f"{a}_{c}") for c in ("points", "lines", "longest", "entropy")])
-        out = out.join(one, k, "left")
+    stats = _line_stats(l_min, v_min, w_min)
+    if sizes is None:
+        stats += [F.sum(F.when(F.col("kind") == kind, F.col("cnt"))).alias(f"n_{kind}") for kind in ("pairs", "recurrent")]
+    out = hist.groupBy(*k).agg(*stats)
+    if sizes is not None:
+        out = sizes.join(out, k, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     spread = lambda c, low: F.when(z(f"{c}_longest") - low + 1 > 1, z(f"{c}_entropy") / F.log(z(f"{c}_longest") - low + 1)).otherwise(0.0)
@@ -184,21 +214,23 @@ def kernel_histogram(points: DataFrame, coords: list[str], target_rr: float = 0.
 def rqa(points: DataFrame, coords: list[str], target_rr: float = 0.05, theiler: int = 1, l_min: int = 2, v_min: int = 2, w_min: int = 2, keys: tuple[str, ...] = ("subject",), path: str = "kernel") -> DataFrame:
     """Threshold by recurrence rate, histograms, measures."""
     if path == "kernel":
-        hist = kernel_histogram(points, coords, target_rr, theiler, keys)
-        each = hist.where("kind in ('pairs', 'recurrent')").groupBy(*keys).agg(F.sum(F.when(F.col("kind") == "pairs", F.col("cnt"))).alias("n_pairs"), F.sum(F.when(F.col("kind") == "recurrent", F.col("cnt"))).alias("n_recurrent"))
-        return quantify(hist.where("kind not in ('pairs', 'recurrent')").drop("eps"), each, l_min, v_min, w_min, keys)
+        return quantify(kernel_histogram(points, coords, target_rr, theiler, keys), None, l_min, v_min, w_min, keys)
     pair = pairs(points, coords, theiler)
     eps = threshold(pair, "target_rr", target_rr, keys=keys)
     hist = line_histogram(recurrent(pair, eps, keys), unit_sizes(points, keys), theiler, keys)
     return quantify(hist, rate(pair, eps, keys).select(*keys, "n_pairs", "n_recurrent"), l_min, v_min, w_min, keys)
 
 
-def sweep(hist: DataFrame, totals: DataFrame, floors=(2, 3, 4, 6, 8), keys: tuple[str, ...] = ("subject",)) -> DataFrame:
-    """DET and LAM at several line floors from one histogram, with their headroom."""
-    out = hist.where("kind in ('diagonal', 'vertical')").withColumn("floor", F.explode(F.array(*[F.lit(f) for f in floors])))
-    inside = F.when(F.col("length") >= F.col("floor"), F.col("length") * F.col("cnt")).otherwise(0)
-    out = out.groupBy(*keys, "floor").agg(F.sum(F.when(F.col("kind") == "diagonal", inside).otherwise(0)).alias("d"), F.sum(F.when(F.col("kind") == "vertical", inside).otherwise(0)).alias("v"))
-    out = out.join(totals.select(*keys, "n_recurrent"), list(keys))
+def sweep(hist: DataFrame, totals: DataFrame | None = None, floors=(2, 3, 4, 6, 8), keys: tuple[str, ...] = ("subject",)) -> DataFrame:
+    """DET and LAM at several line floors from one histogram, with their headroom. totals: keys,
+    n_recurrent; without it, the histogram's rows of kind `recurrent` tell it."""
+    of = lambda kind, f: F.sum(F.when((F.col("kind") == kind) & (F.col("length") >= f), F.col("length") * F.col("cnt")).otherwise(0))
+    cells = [F.struct(F.lit(f).alias("floor"), of("diagonal", f).alias("d"), of("vertical", f).alias("v")) for f in floors]
+    total = F.sum(F.when(F.col("kind") == "recurrent", F.col("cnt")))
+    out = hist.groupBy(*keys).agg(F.array(*cells).alias("x"), *([total.alias("n_recurrent")] if totals is None else []))
+    if totals is not None:
+        out = out.join(totals.select(*keys, "n_recurrent"), list(keys))
+    out = out.where("n_recurrent > 0").select(*keys, "n_recurrent", F.explode("x").alias("x")).select(*keys, "n_recurrent", "x.*")
     det, lam = F.col("d") / F.col("n_recurrent"), F.col("v") / F.col("n_recurrent")
     return out.select(*keys, "floor", det.alias("DET"), lam.alias("LAM"), F.least(det, 1 - det).alias("DET_headroom"))
 

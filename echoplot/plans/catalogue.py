@@ -187,11 +187,9 @@ query("crqa_peak", f"{_PROFILE} SELECT subject, k AS peak_offset, round(density,
 n AS (SELECT subject, count(*)::DOUBLE AS n FROM pairs GROUP BY subject), a AS (SELECT subject, count(*) AS a FROM rec GROUP BY subject), b AS (SELECT subject, count(*) AS b FROM r2 GROUP BY subject), c AS (SELECT subject, count(*) AS c FROM rec JOIN r2 USING (subject, i, j) GROUP BY subject)
 SELECT subject, round(coalesce(c, 0) / n, 6) AS rr_joint, round((coalesce(c, 0) / n) / ((a / n) * (b / n)), 6) AS independence_ratio FROM n JOIN a USING (subject) JOIN b USING (subject) LEFT JOIN c USING (subject)""")
 def _joint(spark, d):
-    pts, pair, _, rec = parts(spark, d)
-    pair2 = R.pairs(pts, ["gap"], 1)
-    rec2 = R.recurrent(pair2, R.threshold(pair2, "target_rr", RR))
-    count = lambda df, name: df.groupBy("subject").agg(F.count(F.lit(1)).alias(name))
-    out = count(pair, "n").join(count(rec, "a"), "subject").join(count(rec2, "b"), "subject").join(count(R.joint([rec, rec2]), "c"), "subject", "left")
+    # both distances on one pair row: one join serves both thresholds and the joint count
+    pair = R.block_pairs(points(spark, d), {"a": ["value"], "b": ["gap"]}, 1)
+    out = R.joint_rates(pair, ("a", "b"), RR)
     rr = F.coalesce("c", F.lit(0)) / F.col("n")
     return rounded(out.select("subject", rr.alias("rr_joint"), (rr / (F.col("a") / F.col("n") * F.col("b") / F.col("n"))).alias("independence_ratio")))
 
@@ -226,9 +224,7 @@ query("rqa_relational", _measures(_CORE, _WHITE))(lambda spark, d: rounded(R.rqa
 
 @query("rqa_sweep", f"{_CORE}, {_DIAG}, {_VERT}, k AS (SELECT subject, count(*)::DOUBLE AS k FROM rec GROUP BY subject), l AS (SELECT unnest({list(FLOORS)})::INT AS floor), d AS (SELECT subject, floor, sum(CASE WHEN length >= floor THEN length ELSE 0 END) AS d FROM dg CROSS JOIN l GROUP BY 1, 2), v AS (SELECT subject, floor, sum(CASE WHEN length >= floor THEN length ELSE 0 END) AS v FROM vt CROSS JOIN l GROUP BY 1, 2) SELECT subject, floor, round(d / k, 6) AS DET, round(v / k, 6) AS LAM, round(least(d / k, 1 - d / k), 6) AS DET_headroom FROM d JOIN v USING (subject, floor) JOIN k USING (subject)")
 def _sweep(spark, d):
-    hist = R.kernel_histogram(points(spark, d), ["value"], RR)
-    total = hist.where("kind = 'recurrent'").select("subject", F.col("cnt").alias("n_recurrent"))
-    return rounded(R.sweep(hist, total, FLOORS))
+    return rounded(R.sweep(R.kernel_histogram(points(spark, d), ["value"], RR), floors=FLOORS))
 
 
 _WIN = f"""WITH {_PTS}, n AS (SELECT subject, count(*) AS n FROM pts GROUP BY subject), g AS (SELECT subject, unnest(range(0, n - {SIZE} + 1, {STEP})) AS s FROM n WHERE n >= {SIZE}), wp AS (SELECT p.subject, g.s // {STEP} AS win, p.i - g.s AS i, p.value FROM pts p JOIN g ON g.subject = p.subject AND p.i >= g.s AND p.i < g.s + {SIZE}),

@@ -48,6 +48,7 @@ def test_paths_agree_with_the_dense_matrix(spark, n, theiler):
     eps = kernels.pair_quantile(x, 0.2, theiler, "euclidean")
     want, total = naive(x, eps, theiler)
     got = kernels.recurrence_histogram(x, 0.2, theiler)
+    assert got == kernels.recurrence_histogram(x, 0.2, theiler, columns=7, dense=0)
     for kind in want:
         assert {a: c for k, a, c, _ in got if k == kind} == want[kind]
     assert next(c for k, _, c, _ in got if k == "recurrent") == total
@@ -59,6 +60,13 @@ def test_paths_agree_with_the_dense_matrix(spark, n, theiler):
         assert {r.length: r.cnt for r in rows if r.kind == kind} == want[kind]
 
 
+@pytest.mark.parametrize("theiler,q", [(0, 0.03), (1, 0.05), (2, 0.999), (1, 0.0), (1, 1.0)])
+def test_quantile_in_bins_equals_the_sorted_one(theiler, q):
+    for x in (np.random.default_rng(2).normal(size=(90, 2)), np.repeat([[0.0], [1.0], [1.5]], 30, axis=0)):
+        d = [np.round(kernels.gap(x[i], x[j]), 9) for i in range(90) for j in range(90) if abs(i - j) >= theiler]
+        assert kernels.pair_quantile(x, q, theiler, "euclidean", most=50) == pytest.approx(np.quantile(d, q), abs=2e-9)
+
+
 def test_lines_hold_all_recurrent_points():
     x = np.random.default_rng(1).normal(size=(60, 3))
     h = kernels.recurrence_histogram(x, 0.1)
