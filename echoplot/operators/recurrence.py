@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.units import per_unit
 from ..records import ParameterError
 
 METRICS = ("euclidean", "chebyshev", "manhattan", "cosine")
@@ -195,20 +196,8 @@ def unit_sizes(points: DataFrame, keys: tuple[str, ...] = ("subject",)) -> DataF
 
 def kernel_histogram(points: DataFrame, coords: list[str], target_rr: float = 0.05, theiler: int = 1, keys: tuple[str, ...] = ("subject",), metric: str = "euclidean") -> DataFrame:
     """Kernel path: keys, kind, length, cnt, and rows of kind `pairs` and `recurrent` with their counts; eps on each row."""
-    types = dict(points.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", kind string, length long, cnt long, eps double"
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("i")
-        out = kernels.recurrence_histogram(pdf[coords].to_numpy(float), target_rr, theiler, metric)
-        frame = pd.DataFrame(out, columns=["kind", "length", "cnt", "eps"])
-        for n, c in enumerate(keys):
-            frame.insert(n, c, pdf[c].iloc[0])
-        return frame
-
-    return points.select(*keys, "i", *coords).groupBy(*keys).applyInPandas(run, schema)
+    run = lambda x: kernels.recurrence_histogram(x, target_rr, theiler, metric)
+    return per_unit(points, keys, coords, run, "kind string, length long, cnt long, eps double")
 
 
 def rqa(points: DataFrame, coords: list[str], target_rr: float = 0.05, theiler: int = 1, l_min: int = 2, v_min: int = 2, w_min: int = 2, keys: tuple[str, ...] = ("subject",), path: str = "kernel") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.units import per_unit
 from ..records import ParameterError
 
 
@@ -227,13 +228,8 @@ def sample_entropy(df: DataFrame, c: str, r: float = 0.2) -> DataFrame:
 def kernel_measures(df: DataFrame, c: str) -> DataFrame:
     """Measures that are sequential or spectral, by a grouped kernel."""
 
-    def run(pdf):
-        import pandas as pd
-
-        x = pdf.sort_values("i")[c].to_numpy(float)
-        return pd.DataFrame({"subject": [pdf["subject"].iloc[0]], "lz": [kernels.lempel_ziv(x)], "spectral": [kernels.spectral_entropy(x)], "svd": [kernels.svd_entropy(x)]})
-
-    return df.select("subject", "i", c).groupBy("subject").applyInPandas(run, f"subject {dict(df.dtypes)['subject']}, lz double, spectral double, svd double")
+    run = lambda x: [(kernels.lempel_ziv(x[:, 0]), kernels.spectral_entropy(x[:, 0]), kernels.svd_entropy(x[:, 0]))]
+    return per_unit(df, ("subject",), [c], run, "lz double, spectral double, svd double")
 
 
 # groups

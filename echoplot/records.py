@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.units import dealt
+
 ROLES = ("raw", "band", "phase", "amplitude", "inst_freq", "state")
 
 
@@ -101,6 +103,7 @@ def events(spark: SparkSession, sf_dir: str) -> Record:
     """Events of each user: value, seconds since the one before, time of day as a phase."""
     us = "unix_micros(cast(ts as timestamp))"
     df = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", "value")
+    df = dealt(df, "user_id")  # once: what follows by subject keeps this partitioning
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     df = df.withColumn("us", F.expr(us)).withColumn("step", F.coalesce((F.col("us") - F.lag("us").over(w)) / 1e6, F.lit(0.0)))
     return from_table(df, "user_id", ["ts", "event_id"], {"value": "value", "gap": "step", "phase": "2 * pi() * ((us % 86400000000) / 86400000000.0D) - pi()"})
