@@ -145,3 +145,31 @@ def instantaneous_rate(df: DataFrame, phase: str, fs: float = 1.0) -> DataFrame:
     first, last = F.col("i") == F.min("i").over(S.everything()), after.isNull()
     rate = F.when(first & last, 0.0).when(first, after).when(last, F.col("step")).otherwise((F.col("step") + after) / 2)
     return x.select("subject", "i", (rate * fs / (2 * math.pi)).alias("rate"))
+
+
+def cao_ratios(df: DataFrame, c: str, m: int, tau: int = 1) -> DataFrame:
+    """subject, m, e, s: mean growth of nearest-neighbour distances by one more dimension, and mean gap of the added coordinate."""
+    e = S.embed(df, c, m + 1, tau)
+    last = e.select("subject", "i", F.col(f"x{m}").alias("u"))
+    far = nearest_distinct(e.drop(f"x{m}"), [f"x{k}" for k in range(m)]).join(last, ["subject", "i"]).join(last.select("subject", F.col("i").alias("j"), F.col("u").alias("v")), ["subject", "j"])
+    apart = F.abs(F.col("u") - F.col("v"))
+    return far.groupBy("subject").agg(F.lit(m).alias("m"), F.avg(F.hypot(F.col("d"), apart) / F.col("d")).alias("e"), F.avg(apart).alias("s"))
+
+
+def cao(df: DataFrame, c: str, tau: int = 1, m_max: int = 6) -> DataFrame:
+    """subject, m, e1, e2: e1 levels off at a sufficient dimension, e2 stays at 1 for noise."""
+    curve = None
+    for m in range(1, m_max + 2):
+        one = cao_ratios(df, c, m, tau)
+        curve = one if curve is None else curve.union(one)
+    w = Window.partitionBy("subject").orderBy("m")
+    up = lambda x: F.try_divide(F.lead(x).over(w), F.col(x))
+    return curve.select("subject", "m", up("e").alias("e1"), up("s").alias("e2"), F.lead("m").over(w).alias("next")).where("next = m + 1").drop("next")
+
+
+def estimate_m_cao(curve: DataFrame, tol: float = 0.05) -> DataFrame:
+    """subject, m, looks_stochastic: the first m whose e1 differs by less than `tol` from the one before, else that of the largest e1."""
+    w = Window.partitionBy("subject").orderBy("m")
+    at = curve.withColumn("step", F.round(F.abs(F.col("e1") - F.lag("e1").over(w)), 9))
+    m = F.coalesce(F.min(F.when(F.col("step") < tol, F.col("m"))), -F.max(F.struct("e1", -F.col("m")))["col2"])
+    return at.groupBy("subject").agg(m.alias("m"), (F.max(F.round(F.abs(F.col("e2") - 1), 9)) < tol).alias("looks_stochastic"))
