@@ -90,7 +90,7 @@ def classify_groups(table: DataFrame, features: list[str], model: str = "logisti
     subjects = data.groupBy("subject").agg(F.max("label").alias("label"))
     filled = [f"__{f}" for f in features]
     kw = {"featuresCol": "scaled", "labelCol": "label", "weightCol": "weight"}
-    fit = {"logistic": lambda: LogisticRegression(regParam=0.01, **kw), "forest": lambda: RandomForestClassifier(numTrees=100, seed=seed, **kw), "linear_svm": lambda: LinearSVC(regParam=0.01, **kw)}[model]
+    fit = {"logistic": lambda: LogisticRegression(regParam=0.01, **kw), "forest": lambda: RandomForestClassifier(numTrees=100, seed=seed, **kw), "linear_svm": lambda: LinearSVC(regParam=0.01, maxIter=25, **kw)}[model]
     out = None
     for repeat in range(n_repeats):
         dealt = data.join(folds(subjects, n_splits, repeat, seed).select("subject", "fold"), "subject")

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..operators import dynamics as D
+from ..operators import inference as I
+from ..operators import meta as M
 from ..operators import recurrence as R
 from ..operators import series as S
 from ..records import events
+from ..streaming import windows as W
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -331,3 +334,38 @@ n AS (SELECT subject, count(*) AS n FROM pts GROUP BY 1), h AS (SELECT subject,
 SELECT subject, round(coalesce(hits, 0) / (n * 4.0::DOUBLE), 6) AS agreement FROM n LEFT JOIN h USING (subject) WHERE n > 4""", lambda p: D.neighbour_agreement(p, ["value"], ["gap"], 4))
 simple("comodulogram", " ".join("SELECT subject, 'phase' AS phase_band, '{a}' AS amplitude_band, round(sqrt(pow(avg({a} * cos(phase)), 2) + pow(avg({a} * sin(phase)), 2)) / avg({a}), 6) AS value FROM pts GROUP BY subject {u}".format(a=a, u=u) for a, u in (("value", "UNION ALL"), ("gap", ""))), lambda p: D.comodulogram(p, ["phase"], ["value", "gap"]))
 simple("instantaneous_rate", ", t AS (SELECT subject, i, phase - lag(phase) OVER (PARTITION BY subject ORDER BY i) AS turn FROM pts), x AS (SELECT subject, i, coalesce(turn - 2 * pi() * round(turn / (2 * pi())), 0) AS step FROM t), y AS (SELECT *, lead(step) OVER (PARTITION BY subject ORDER BY i) AS a FROM x) SELECT subject, i, round((CASE WHEN i = 0 AND a IS NULL THEN 0 WHEN i = 0 THEN a WHEN a IS NULL THEN step ELSE (step + a) / 2 END) / (2 * pi()), 6)::DOUBLE AS rate FROM y", lambda p: D.instantaneous_rate(p, "phase"))
+
+
+def _course_values(spark, d):
+    return points(spark, d).where("i < 60").groupBy("subject", F.expr("int(i div 20)").alias("window")).agg(F.round(F.avg("value"), 9).alias("value")).withColumn("metric", F.lit("mean"))
+
+
+def _course(spark, d):
+    v = _course_values(spark, d)
+    units = v.select("subject", (F.col("subject") % 2).cast("int").alias("g")).distinct()
+    return I.group_timecourse(v, units, 200, 5)
+
+
+simple("cao_growth", f"{_NEAR} SELECT subject, 2 AS m, round(avg(more / d), 6) AS e, round(avg(abs(u - v)), 6) AS s FROM nn GROUP BY subject", lambda p: D.cao_ratios(p, "value", 2))
+query("group_timecourse", f"{_GROUP} SELECT 'mean' AS metric, win AS \"window\", CASE WHEN n_a >= 5 AND n_b >= 5 THEN round(auc, 6) END AS auc, n_a, n_b FROM c")(lambda spark, d: rounded(_course(spark, d)[0]))
+query("group_timecourse_summary")(lambda spark, d: rounded(_course(spark, d)[1]))
+
+
+@query("event_windows", "SELECT event_type, epoch_us(date_trunc('hour', ts)) AS start_us, count(*) AS n, CAST(count(*) - count(value) AS BIGINT) AS n_missing, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM events GROUP BY 1, 2")
+def _event_windows(spark, d):
+    measures = {k: v for k, v in W.channel_measures("value").items() if k != "std"}
+    out = W.windowed(spark.read.parquet(f"{d}/events.parquet").select("event_type", "ts", "value"), "ts", ["event_type"], measures, "1 hour")
+    return rounded(out.select("event_type", F.expr("unix_micros(cast(start as timestamp))").alias("start_us"), *measures))
+
+
+@query("meta_rqa")
+def _meta(spark, d):
+    w = S.into_windows(points(spark, d).select("subject", "i", "value"), SIZE, STEP)
+    table = R.rqa(w, ["value"], RR, keys=("subject", "window")).select("subject", "window", "DET", "LAM", "ENTR")
+    return rounded(M.meta_recurrence(table, ["DET", "LAM", "ENTR"], SIZE, STEP, 0.2))
+
+
+@query("classify_groups")
+def _classify(spark, d):
+    f = points(spark, d).groupBy("subject").agg(F.avg("value").alias("level"), F.stddev_pop("value").alias("spread"), F.avg("gap").alias("pace"))
+    return rounded(I.classify_groups(f.withColumn("label", (F.col("subject") % 2).cast("int")), ["level", "spread", "pace"], n_splits=2))
