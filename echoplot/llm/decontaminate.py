@@ -5,7 +5,9 @@ A window of m bytes that occurs in a document with at most e = rate * m edits sh
 least m + 1 - q - q * e of its q-grams with it, on at most e + 1 neighbouring diagonals.
 So: count shared q-grams in overlapping bands of diagonals, keep the regions that reach
 the bound, and verify those by banded alignment. A document is contaminated if a window
-of an item aligns within its edit budget.
+of an item aligns within its edit budget, or if any `PASSAGE` bytes in a row of an item,
+wherever they start, do so: for these the shared q-grams are counted in every stretch of
+the item of that length, and each stretch that reaches the bound is aligned.
 
 Texts are compared with A-Z lowered and runs of white space as one space. Windows under
 `least` bytes are no evidence and are left out. The index of the benchmark is sent to
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACE, U, chunks, mix, read, text_bytes
 
 Q, RATE, WINDOW, LEAST, BLOCK_BYTES = 10, 0.08, 160, 30, 4 << 20
+PASSAGE = 80
 BITS = 22
 
 
@@ -52,10 +55,13 @@ def grams(raw: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Index:
-    """Windows of benchmark items and where each of their q-grams stands."""
+    """Windows of benchmark items and where each of their q-grams stands, in windows and in the items of PASSAGE bytes or more."""
 
     def __init__(self, items: list[tuple[int, str | None]], q: int = Q, rate: float = RATE, window: int = WINDOW, least: int = LEAST):
         self.q, self.items, self.windows = q, [], []
+        self.long_items, self.long_texts = [], []
+        self.passage_budget = int(PASSAGE * rate)
+        self.passage_bound = max(1, PASSAGE + 1 - q - q * self.passage_budget)
         for item, text in items:
             raw, off = text_bytes(pa.array([text], pa.string()))
             low, _ = normal(raw, off)
@@ -67,6 +73,9 @@ class Index:
                 if len(piece) >= max(least, q):
                     self.items.append(-1 if item is None else item)
                     self.windows.append(piece)
+            if len(low) >= PASSAGE:
+                self.long_items.append(-1 if item is None else item)
+                self.long_texts.append(low)
         self.length = np.array([len(w) for w in self.windows], np.int64)
         self.budget = (self.length * rate).astype(np.int64)
         self.bound = np.maximum(1, self.length + 1 - q - q * self.budget)
@@ -76,6 +85,13 @@ class Index:
         self.win = np.repeat(np.arange(len(key)), [len(k) for k in key])[order]
         self.pos = np.concatenate([np.arange(len(k)) for k in key])[order] if key else np.zeros(0, np.int64)
         self.key, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
+        key = [grams(t, q) for t in self.long_texts]
+        hashes = np.concatenate(key) if key else np.zeros(0, U)
+        order = np.argsort(hashes, kind="stable")
+        self.long_of = np.repeat(np.arange(len(key)), [len(k) for k in key])[order]
+        self.long_pos = np.concatenate([np.arange(len(k)) for k in key])[order] if key else np.zeros(0, np.int64)
+        self.long_first = np.searchsorted(hashes[order], self.key, "left")
+        self.long_count = np.searchsorted(hashes[order], self.key, "right") - self.long_first
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.key >> U(64 - BITS)] = True
 
@@ -97,6 +113,44 @@ def edits(pattern: np.ndarray, region: np.ndarray, budget: int) -> int:
     return int(min(row.min(), budget + 1))
 
 
+def edits_each(patterns: np.ndarray, regions: np.ndarray, budget: int) -> np.ndarray:
+    """As edits, for each row of patterns and the row of regions beside it."""
+    n, m = regions.shape[1], patterns.shape[1]
+    step = np.arange(n + 1, dtype=np.int32)
+    row = np.zeros((len(patterns), n + 1), np.int32)
+    for i in range(m):
+        new = row + 1
+        new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + (regions != patterns[:, i : i + 1]))
+        row = np.minimum.accumulate(new - step, axis=1) + step
+        if row.min() > budget:
+            break
+    return np.minimum(row.min(1), budget + 1)
+
+
+def passage(index: Index, which: int, pos: np.ndarray, low: np.ndarray, start: int, stop: int, lo: int, width: int) -> int:
+    """The least edits of PASSAGE bytes in a row of an item against low[start:stop] on the diagonals from lo on,
+    over the stretches in which enough of the shared q-grams (at pos, ascending) stand; over the budget if none is within it."""
+    text, e, bound = index.long_texts[which], index.passage_budget, index.passage_bound
+    first, last = pos[: len(pos) - bound + 1], pos[bound - 1 :]
+    wide = last - first <= PASSAGE - index.q
+    # a stretch holds grams first to last if it starts from last + q - PASSAGE to first
+    mark = np.zeros(len(text) + 1, np.int64)
+    np.add.at(mark, np.maximum(last[wide] + index.q - PASSAGE, 0), 1)
+    np.add.at(mark, first[wide] + 1, -1)
+    at = np.flatnonzero(np.cumsum(mark) > 0)
+    at = at[at <= len(text) - PASSAGE]
+    least = e + 1
+    for k in range(0, len(at), 256):
+        a = at[k : k + 256, None]
+        place = a + lo - e + np.arange(width + PASSAGE + 2 * e)
+        inside = (place >= start) & (place < stop)
+        region = np.where(inside, low[np.clip(place, 0, len(low) - 1)], -1).astype(np.int16)
+        least = min(least, int(edits_each(text[a + np.arange(PASSAGE)].astype(np.int16), region, e).min()))
+        if least == 0:
+            break
+    return least
+
+
 def find(index: Index, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(text, item, place in the normal text, edits) of the windows found in a chunk of texts."""
     if not len(index.key):
@@ -146,6 +200,35 @@ def find(index: Index, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int,
                 d = edits(index.windows[w], low[lo:hi], e)
                 if d <= e and ((r, item) not in found or d < found[r, item][1]):
                     found[r, item] = (lo - int(off[r]), d)
+        # passages of items that no window has shown in the text
+        c = index.long_count[s]
+        of = np.repeat(np.arange(len(a)), c)
+        place = index.long_first[s][of] + np.arange(len(of)) - np.repeat(np.cumsum(c) - c, c)
+        long, pos = index.long_of[place], index.long_pos[place]
+        diagonal, texts = a[of] - pos, t[of]
+        wide, bound, more = 2 * (index.passage_budget + 1), index.passage_bound, {}
+        for shift in (0, 1):
+            band = (diagonal + shift * (wide // 2)) // wide
+            order = np.lexsort((pos, band, long, texts))
+            k = np.stack([texts[order], long[order], band[order]])
+            p = pos[order]
+            new = np.ones(k.shape[1], bool)
+            new[1:] = (k[:, 1:] != k[:, :-1]).any(0)
+            start = np.flatnonzero(new)
+            stop = np.append(start[1:], len(p))
+            group = np.cumsum(new) - 1
+            near = max(0, len(p) - bound + 1)
+            dense = (group[:near] == group[bound - 1 :]) & (p[bound - 1 :] - p[:near] <= PASSAGE - index.q)
+            for g in np.unique(group[:near][dense]):
+                r, w, b = (int(x) for x in k[:, start[g]])
+                item = index.long_items[w]
+                if (r, item) in found or more.get((r, item), (0, 1))[1] == 0:
+                    continue
+                lo = b * wide - shift * (wide // 2)
+                d = passage(index, w, p[start[g] : stop[g]], low, int(off[r]), int(off[r + 1]), lo, wide)
+                if d <= index.passage_budget and ((r, item) not in more or d < more[r, item][1]):
+                    more[r, item] = (max(0, lo + int(p[start[g]]) - int(off[r])), d)
+        found |= more
     return [(int(r), int(i), p, d) for (r, i), (p, d) in sorted(found.items())]
 
 

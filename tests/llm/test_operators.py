@@ -108,6 +108,41 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.matches(docs, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_decontamination_finds_excerpts_at_every_offset():
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz   ")
+    make = lambda k: "".join(rng.choice(letters, k)).replace(" ", "_")
+    items = [(1, make(394)), (2, make(230)), (3, make(161)), (4, make(120)), (5, make(60))]
+    index = decontaminate.Index(items)
+
+    def found(texts):
+        raw = "".join(texts).encode()
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        got = {}
+        for r, item, _, d in decontaminate.find(index, np.frombuffer(raw, np.uint8), off):
+            got.setdefault(r, []).append((item, d))
+        return got
+
+    for least in (80, 81, 120, 140, 160):
+        cuts = [(i, t[k : k + least]) for i, t in items for k in range(len(t) - least + 1)]
+        got = found([make(50) + c + make(70) for _, c in cuts])
+        assert [[i for i, _ in got.get(n, [])] for n in range(len(cuts))] == [[i] for i, _ in cuts]
+        assert least != 80 or all(got[n][0][1] == 0 for n in range(len(cuts)))
+    # up to six edits in 80 bytes, of each kind
+    cuts = []
+    for i, t in items[:3]:
+        for k in range(0, len(t) - 79, 3):
+            c = t[k : k + 80]
+            for n in np.sort(rng.choice(np.arange(2, 78), 6, replace=False))[::-1]:
+                c = [c[:n] + "#" + c[n + 1 :], c[:n] + c[n + 1 :], c[:n] + "#" + c[n:]][int(rng.integers(3))]
+            cuts.append((i, c))
+    got = found([c if n % 5 == 0 else make(40) + c + make(200) for n, (_, c) in enumerate(cuts)])
+    assert [[i for i, _ in got.get(n, [])] for n in range(len(cuts))] == [[i] for i, _ in cuts]
+    # no more than that: half a passage, or the passage's letters in another order
+    assert not found([make(50) + items[0][1][k : k + 50] + make(50) for k in range(0, 300, 7)] + [items[0][1][200:280][::-1]])
+    assert not decontaminate.find(decontaminate.Index([]), np.zeros(100, np.uint8), np.array([0, 100]))
+
+
 def test_sharding(docs, empty):
     n = docs.count()
     assert sorted(sharding.feistel(np.arange(1000), 1000)) == list(range(1000))
