@@ -11,7 +11,9 @@ zero bytes, in each text.
 The tree is sharded by the two last bytes: blocks ask each shard for their distinct
 (context, byte) strings, shards hold the deeper levels, and only the two top levels, at
 most 256 * 255 nodes, are merged and sent to all. Word counts of the base score go the
-same way. So everything gathered follows the corpus, and no table is limited.
+same way. No table is limited in its rows, but DEPTH limits the contexts: at four bytes their
+number levels off on a large corpus, and longer words and passages that recur cannot lower
+the code length. README.md has the measured figures of a deeper tree.
 
 Null and empty texts score 0 bits and one end token; a null id is held out (its text form
 is empty); repeated rows count each time; without training texts every bit has
