@@ -111,12 +111,14 @@ simple("window_grid_count", ", n AS (SELECT subject, count(*) AS n, round_even(c
 # distances, thresholds, structures
 for _m, _e in {"euclidean": "list_distance(a, b)", "chebyshev": "list_max(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2])))", "manhattan": "list_sum(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2])))", "cosine": "1 - list_cosine_similarity(a, b)"}.items():
 
-    def _dist(spark, d, m=_m):
-        e = spark.read.parquet(f"{d}/embeddings.parquet").where("label < 2")
+    def _dist(spark, d, m=_m, keep="label < 2"):
+        e = spark.read.parquet(f"{d}/embeddings.parquet").where(keep)
         a, b = e.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("a")), e.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
         return a.join(b, "label").where("i < j").select("i", "j", F.round(R.array_distance(F.col("a"), F.col("b"), m), 6).alias("d"))
 
     query(f"dist_{_m}", f"WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 2) SELECT i, j, round({_e}, 6)::DOUBLE AS d FROM (SELECT x.vec_id AS i, y.vec_id AS j, x.v AS a, y.v AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id)")(_dist)
+    # the pairs of every label
+    query(f"dist_{_m}_all", f"WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT i, j, round({_e}, 6)::DOUBLE AS d FROM (SELECT x.vec_id AS i, y.vec_id AS j, x.v AS a, y.v AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id)")(lambda spark, d, run=_dist: run(spark, d, keep="true"))
 
 
 def _eps(name: str, sql: str, **kw):
