@@ -17,7 +17,8 @@
 At 0.8 a pair misses all 32 bands of 4 rows with probability 5e-8, and the estimate of a
 pair at 0.8 is under the cut with about 1e-7.
 
-Rows that repeat an id are one document; a row without an id has no links and is its own
+Rows that repeat an id are one document: its texts' classes, each with an id of its own until
+then, are tied at the end. one_of_each judges each text by itself. A row without an id has no links and is its own
 group; documents without words have an empty set and no links; very long texts are
 processed whole. An empty table gives an empty result.
 """
@@ -78,11 +79,16 @@ def sets_of(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return h, np.searchsorted(at, np.arange(n + 1))
 
 
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>"
+SIGNED = "doc_id long, t long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>"
+
+
+def digests(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Two numbers for each set: its hash."""
+    return np.array([np.frombuffer(hashlib.blake2b(h[cut[i] : cut[i + 1]].tobytes(), digest_size=16).digest(), np.int64) for i in range(len(cut) - 1)])
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """Set size, set hash, b-bit signature and band keys of each document."""
+    """Text hash, set size, set hash, b-bit signature and band keys of each document."""
 
     def run(batches):
         for rows, raw, off in chunks(batches, "text"):
@@ -93,13 +99,13 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 for r in range(ROWS):
                     band = mix(band * U(0x9E3779B97F4A7C15) + minima.reshape(-1, BANDS, ROWS)[:, :, r])
                 band = mix(band + np.arange(BANDS, dtype=U))
-            digest = np.array([np.frombuffer(hashlib.blake2b(h[cut[i] : cut[i + 1]].tobytes(), digest_size=16).digest(), np.int64) for i in range(len(cut) - 1)])
+            digest = digests(h, cut)
             sig = packed(minima)
             full = np.diff(cut) > 0
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)), pa.array(band[full].astype(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(cut).astype(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([s.tobytes() for s in sig], pa.binary()), keys], ["doc_id", "n_shingles", "h1", "h2", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(np.diff(cut).astype(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([s.tobytes() for s in sig], pa.binary()), keys], ["doc_id", "t", "n_shingles", "h1", "h2", "sig", "bands"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text", "xxhash64(text) as t").mapInArrow(run, SIGNED)
 
 
 class _Forest:
@@ -224,23 +230,32 @@ def _linked(rows: DataFrame, low: float, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, class_id (least id of an equal set), component_id, kept."""
+def _classes(full: DataFrame) -> tuple[DataFrame, bool]:
+    """h1, h2, rep (least doc_id of the set), n, sig, bands, id; and whether a rep has several sets.
+    The id is the rep, or the set's hash where the rep stands for another set already."""
+    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = written(classes, "classes")
+    shared = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("h1", "h2")).alias("one")).where("c > 1").select(F.col("rep").alias("__rep"), "one")
+    if shared.isEmpty():
+        return classes.withColumn("id", F.col("rep")), False
+    own = F.col("__rep").isNull() | (F.struct("h1", "h2") == F.col("one"))
+    classes = classes.join(shared, F.col("rep") == F.col("__rep"), "left").withColumn("id", F.when(own, F.col("rep")).otherwise(F.col("h1")))
+    return written(classes.drop("__rep", "one"), "classes"), True
+
+
+def _settled(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame, bool, DataFrame]:
+    """Signed rows, classes, whether a rep has several classes, links (a, b) of class ids."""
     low = num / den - MARGIN
     every = written(signed(docs, k), "signed")
-    full = every.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    # an id on several texts ties their classes
-    again = full.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    ties = full.join(again, "doc_id", "left_semi").join(classes.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
+    classes, shared = _classes(every.where("n_shingles > 0 and doc_id is not null"))
 
     forest = written(clustered(classes, low), "forest")
     cluster = written(components(forest), "clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    rows = classes.select("id", "n", "sig").dropDuplicates(["id"]).join(cluster, "id")
+    rows = classes.select("id", "rep", "h1", "h2", "n", "sig").join(cluster, "id")
+    wanted = rows.select("rep")
     weight = rows.groupBy("cluster").agg(F.sum(F.col("n") * 8 + 100).alias("w")).select(F.col("cluster").alias("__c"), F.ceil(F.col("w") / block_bytes).cast("int").alias("blocks"))
     rows = rows.join(weight, F.col("cluster") == F.col("__c")).drop("__c").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = written(rows.join(_sets(docs, cluster.select("id"), k), "id"), "sets")
+    rows = written(rows.join(_sets(docs, wanted, k), ["rep", "h1", "h2"]), "sets")
 
     # 1. inside blocks: every candidate pair of a block is settled
     links = written(_linked(rows.select(F.xxhash64("cluster", "block").alias("key"), "id", "sig", "set", F.col("id").alias("comp"), F.lit(True).alias("first")), low, num, den), "links")
@@ -257,9 +272,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         one = out.drop("block").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(here, "id", "sig", "set", "comp", F.lit(True).alias("first"))
         two = large.join(meet, "cluster").where("block <> part or comp = main").select(here, "id", "sig", "set", "comp", F.lit(False).alias("first"))
         links = links.union(written(_linked(one.union(two), low, num, den), "links"))
+    return every, classes, shared, links
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, class_id (least id of an equal set), component_id, kept."""
+    every, classes, shared, links = _settled(docs, **options)
+    # an id on several texts ties their classes
+    full = every.where("n_shingles > 0 and doc_id is not null")
+    again = full.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    ties = full.join(again, "doc_id", "left_semi").join(classes.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
     comp = written(components(links.union(ties.select("a", "b"))), "components")
-    of = classes.select("h1", "h2", F.col("id").alias("class_id")).join(comp, F.col("class_id") == F.col("node"), "left")
-    of = of.select("h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component"))
+    of = classes.select("h1", "h2", "id", F.col("rep").alias("class_id")).join(comp, F.col("id") == F.col("node"), "left")
+    of = of.select("h1", "h2", "class_id", F.coalesce("component", "id").alias("component"))
+    if shared:  # a set's hash may be the least of a component
+        of = of.join(of.groupBy("component").agg(F.min("class_id").alias("least")), "component").select("h1", "h2", "class_id", F.col("least").alias("component"))
     out = every.select("doc_id", "n_shingles", "h1", "h2").join(of, ["h1", "h2"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = out.select("doc_id", "n_shingles", F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -267,29 +294,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without near duplicates of a kept one; of rows that repeat an id, one."""
-    found = written(near_duplicates(docs, **options).select("doc_id", "kept"), "kept")
-    gone = found.where("not kept").select("doc_id").distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rest = docs.join(gone, "doc_id", "left_anti")
+    """The rows of docs without near duplicates of a kept one; of rows that repeat an id and a set, one."""
+    every, classes, shared, links = _settled(docs, **options)
+    comp = written(components(links), "components")
+    of = classes.select("h1", "h2", "id", "rep").join(comp, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    if shared:  # of several sets of the least doc_id, one stays
+        first = of.groupBy("component").agg(F.min(F.struct("rep", "h1", "h2")).alias("first"))
+        of = of.join(first, "component").withColumn("stays", F.struct("rep", "h1", "h2") == F.col("first"))
+    else:
+        of = of.withColumn("stays", F.col("id") == F.col("component"))
+    of = of.select("h1", "h2", F.when(F.col("stays"), F.col("rep")).alias("stays"))
+    found = every.where("doc_id is not null").select("doc_id", "t", "n_shingles", "h1", "h2").join(of, ["h1", "h2"], "left")
+    kept = (F.col("n_shingles") == 0) | F.coalesce(F.col("stays") == F.col("doc_id"), F.lit(False))
+    found = written(found.select("doc_id", "t", "h1", "h2", kept.alias("kept")), "kept")
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
-        return rest.select(*docs.columns)
-    single = rest.join(again, "doc_id", "left_anti").select(*docs.columns)
-    first = rest.join(again, "doc_id", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+        return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("not kept").select("doc_id").distinct()
+    single = docs.join(gone.union(again), "doc_id", "left_anti").select(*docs.columns)
+    # rows of ids that stand on several are told by their texts
+    told = found.join(again, "doc_id", "left_semi").where("kept").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "h1", "h2").distinct()
+    several = docs.join(told, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__t")))
+    first = several.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "h1", "h2").orderBy("text")))
     return single.union(first.where("__n = 1").select(*docs.columns))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """id, set (sorted 64-bit shingle hashes) of the wanted documents."""
+    """rep, h1, h2, set (sorted 64-bit shingle hashes) of the wanted documents' texts."""
 
     def run(batches):
         for rows, raw, off in chunks(batches, "text"):
             with np.errstate(over="ignore"):
                 h, cut = sets_of(raw, off, k)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(len(cut) - 1)], pa.binary())], ["id", "set"])
+            digest = digests(h, cut)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(len(cut) - 1)], pa.binary())], ["rep", "h1", "h2", "set"])
 
-    found = docs.selectExpr("cast(doc_id as long) as id", "text").join(wanted, "id", "left_semi")
-    return found.mapInArrow(run, "id long, set binary")
+    found = docs.selectExpr("cast(doc_id as long) as rep", "text").join(wanted, "rep", "left_semi")
+    return found.mapInArrow(run, "rep long, h1 long, h2 long, set binary")
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:

@@ -81,6 +81,26 @@ def test_near_duplicates(docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id = 2").count() <= 1
 
 
+def test_near_duplicates_of_an_id_on_two_texts(spark):
+    rng = np.random.default_rng(11)
+    make = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(80))
+    # for each id from 0 to 9: two unlike texts, of which one or the other has a near copy under another id
+    rows, alone = [], {}
+    for i in range(10):
+        one, two = make(), make()
+        rows += [(i, one), (i, two), (100 + i, (one if i % 2 else two) + " tail"), (i, one)]
+        alone[i] = (one, two)
+    rows += [(200, alone[0][0] + " end"), (201, make()), (202, None), (202, ""), (None, "no id"), (50, make()), (50, rows[4][1] + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, k=4).collect()}
+    want = {(i, i, True) for i in range(10)} | {(100 + i, i, False) for i in range(10)} | {(200, 0, False), (201, 201, True), (202, 202, True), (None, None, True), (50, 1, False)}
+    assert got == want
+    # each text by itself: no unlike text goes, one of each near copies and equal rows stays
+    kept = sorted((r.doc_id, r.text) for r in neardup.one_of_each(df, k=4).where("doc_id is not null and doc_id <> 202").collect())
+    assert kept == sorted([(i, t) for i, x in alone.items() for t in x] + [rows[41], rows[45]])
+    assert neardup.one_of_each(df, k=4).where("doc_id is null or doc_id = 202").count() == 2
+
+
 def test_near_duplicates_in_many_blocks(spark):
     base = texts(5)[0].split()
     rows = []
