@@ -10,14 +10,18 @@
    all slots.
 4. The k-th slot of a source maps through the source's own pseudorandom permutation
    of block indices (another one for each pass over the source) to a block, and
-   blocks are joined by index.
+   blocks are joined by index. The last slot of a source takes only the words that its
+   target lacks, so the taken words of every source, however small, are its target
+   rounded to a word.
 
 Permutations are swap-or-not shuffles: exact on any length, no table, no sort.
 Prefix sums go through hash chunks of documents, so a hot source spreads over tasks.
 
 Null texts and texts without words have size 0 and are never taken; a null source is
 a source of its own, the last; an empty table gives an empty result. Rows that repeat
-an id have places of their own.
+an id have places of their own, in the order of size and text hash; a very long text
+spans many blocks. `mix` returns its own columns only; `mixed_texts` keeps the columns
+of docs, and columns that clash with working names (size, off) keep their values.
 """
 
 from __future__ import annotations
@@ -31,34 +35,47 @@ BLOCK, CAP, SEED, ROUNDS = 128, 3, 20250131, 20
 CHUNKS, SLOTS_PER_SHARD, RUN = 1024, 4096, 4096
 
 
-def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """Swap-or-not permutation of 0..n-1 at x, keyed."""
+def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS, back: bool = False) -> Column:
+    """Swap-or-not permutation of 0..n-1 at x, keyed; back: its inverse (each round is its own)."""
 
     def turn(at: Column, i: Column) -> Column:
         other = F.pmod(F.pmod(F.xxhash64(key, i), n) - at, n)
         return F.when(F.xxhash64(key, i, F.greatest(at, other)).bitwiseAND(1) == 1, other).otherwise(at)
 
-    return F.aggregate(F.array(*[F.lit(i) for i in range(rounds)]), x.cast("long"), turn)
+    order = range(rounds)[::-1] if back else range(rounds)
+    return F.aggregate(F.array(*[F.lit(i) for i in order]), x.cast("long"), turn)
+
+
+def block_key(seed: int, turn: Column) -> Column:
+    """Key of a source's permutation of its blocks in one pass."""
+    return F.xxhash64(F.lit(seed + 1), "source", turn)
 
 
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return without(docs, "size").withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_JAVA)), F.lit(0)).cast("long"))
+    """docs plus size (words) and __text (a hash that orders rows of one id)."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_JAVA)), F.lit(0)).cast("long")
+    return without(docs, "size").withColumn("size", size).withColumn("__text", F.xxhash64(text_col))
+
+
+def chunk_of(id_col: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col), F.col("__text")), F.lit(CHUNKS))
 
 
 def placed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """docs plus off (words of the source before the row), and sums by source and chunk."""
-    keyed = docs.withColumn("__chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(CHUNKS)))
+    keyed = docs.withColumn("__chunk", chunk_of(id_col))
     chunk = keyed.groupBy(F.col(source_col).alias("__source"), F.col("__chunk").alias("__c")).agg(F.sum("size").alias("__n"))
     upto = Window.partitionBy("__source").orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)
     before = chunk.withColumn("__before", F.sum("__n").over(upto) - F.col("__n")).drop("__n")
-    inside = Window.partitionBy(source_col, "__chunk").orderBy(id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(source_col, "__chunk").orderBy(id_col, "size", "__text").rowsBetween(Window.unboundedPreceding, 0)
     out = keyed.withColumn("__in", F.sum("size").over(inside) - F.col("size"))
     out = out.join(before.hint("merge"), F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__chunk") == F.col("__c")))
     return out.withColumn("off", F.col("__before") + F.col("__in")).select(*docs.columns, "off"), chunk
 
 
-def targets(chunk: DataFrame, cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """Per source: source_size, weight, target double, n_blocks, n_slots and first_slot."""
+def targets(chunk: DataFrame, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """Per source: source_size, weight, target double, n_blocks, n_slots, first_slot, all_slots, and how many
+    words the last slot takes (last_words)."""
     by = chunk.groupBy(F.col("__source").alias("source")).agg(F.sum("__n").alias("source_size"))
     # a row for each source from here on
     by = by.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
@@ -73,9 +90,18 @@ def targets(chunk: DataFrame, cap: float = CAP, block: int = BLOCK) -> DataFrame
     by = by.withColumn("level", F.min(F.when(F.col("__level") * F.col("weight") <= F.col("source_size") * cap, F.struct("__r", "__level"))).over(every)["__level"])
     by = by.withColumn("target", F.least(F.col("level") * F.col("weight"), (F.col("source_size") * cap).cast("double")))
     by = by.withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
-    by = by.withColumn("n_slots", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0).cast("long"))
+    # whole passes, then whole slots of one more pass; its permutation tells where the short block of the source stands
+    by = by.withColumn("__want", F.round("target").cast("long")).withColumn("__turn", F.expr("if(source_size > 0, __want div source_size, 0L)"))
+    by = by.withColumn("__left", F.col("__want") - F.col("__turn") * F.col("source_size")).withColumn("__short", F.expr(f"source_size - {block} * greatest(n_blocks - 1, 0)"))
+    by = by.withColumn("__spot", F.when(F.col("n_blocks") > 0, permuted(F.col("n_blocks") - 1, F.col("n_blocks"), block_key(seed, F.col("__turn")), back=True)).otherwise(0))
+    before, whole = F.expr(f"__spot * {block}"), F.expr(f"(__left - __short) div {block}")
+    slots = F.when(F.col("__left") <= before, F.expr(f"__left div {block}")).when(F.col("__left") < before + F.col("__short"), F.col("__spot")).otherwise(1 + whole)
+    rest = F.when(F.col("__left") <= before, F.col("__left") % block).when(F.col("__left") < before + F.col("__short"), F.col("__left") - before).otherwise((F.col("__left") - F.col("__short")) % block)
+    by = by.withColumn("__whole", F.col("__turn") * F.col("n_blocks") + slots).withColumn("__rest", rest)
+    by = by.withColumn("n_slots", F.when(F.col("source_size") > 0, F.col("__whole") + (F.col("__rest") > 0).cast("long")).otherwise(0).cast("long"))
+    by = by.withColumn("last_words", F.when(F.col("__rest") > 0, F.col("__rest")))
     by = by.withColumn("first_slot", F.sum("n_slots").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_slots")).withColumn("all_slots", F.sum("n_slots").over(every))
-    return by.select("source", "source_size", "weight", "target", "n_blocks", "n_slots", "first_slot", "all_slots")
+    return by.select("source", "source_size", "weight", "target", "n_blocks", "n_slots", "first_slot", "all_slots", "last_words")
 
 
 def _numbers(df: DataFrame, n: str, name: str) -> DataFrame:
@@ -91,35 +117,49 @@ def draw(by: DataFrame, seed: int = SEED, slots_per_shard: int = SLOTS_PER_SHARD
     slots = _numbers(by.where("n_slots > 0"), "n_slots", "k")
     at = permuted(F.col("first_slot") + F.col("k"), F.col("all_slots"), F.lit(seed))
     slots = slots.withColumn("shard", F.floor(at / F.lit(float(slots_per_shard))).cast("long"))
-    keys = ["source", "source_size", "target", "n_blocks"]
+    keys = ["source", "source_size", "target", "n_blocks", "n_slots", "last_words"]
     drawn = slots.groupBy(*keys, "shard").agg(F.count(F.lit(1)).alias("n_drawn"))
-    upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    return drawn.withColumn("first_k", F.sum("n_drawn").over(upto) - F.col("n_drawn"))
+    # prefix sums in two steps, through runs of shards: no task holds all shards of a source
+    drawn = drawn.withColumn("__run", F.expr(f"shard div {RUN}"))
+    runs = drawn.groupBy(F.col("source").alias("__s"), F.col("__run").alias("__r")).agg(F.sum("n_drawn").alias("__n"))
+    upto = Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("__before", F.sum("__n").over(upto) - F.col("__n")).drop("__n")
+    inside = Window.partitionBy("source", "__run").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = drawn.withColumn("__in", F.sum("n_drawn").over(inside) - F.col("n_drawn"))
+    drawn = drawn.join(runs.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__run") == F.col("__r")))
+    return drawn.select(*keys, "shard", "n_drawn", (F.col("__before") + F.col("__in")).alias("first_k"))
 
 
 def slots(drawn: DataFrame, seed: int = SEED) -> DataFrame:
-    """shard, source, k, block: every output slot and the block that fills it."""
+    """shard, source, k, block, words: every output slot, the block that fills it, and how many of the block's
+    first words it takes (null: all)."""
     out = _numbers(drawn, "n_drawn", "__i").withColumn("k", F.col("first_k") + F.col("__i"))
-    turn = F.expr("k div n_blocks")
-    return out.withColumn("block", permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(seed + 1), "source", turn))).select("shard", "source", "k", "block")
+    block = permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), block_key(seed, F.expr("k div n_blocks")))
+    return out.select("shard", "source", "k", block.alias("block"), F.when(F.col("k") == F.col("n_slots") - 1, F.col("last_words")).alias("words"))
 
 
 def block_uses(by: DataFrame, seed: int = SEED, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
-    """How often the mix takes each block: source, block, times."""
-    return slots(draw(by, seed, slots_per_shard), seed).groupBy(F.col("source").alias("__source"), F.col("block").alias("__block")).agg(F.count(F.lit(1)).alias("times"))
+    """How often the mix takes each block whole (times), and the first words that its source's last slot takes of it (part)."""
+    each = slots(draw(by, seed, slots_per_shard), seed).groupBy(F.col("source").alias("__source"), F.col("block").alias("__block"))
+    return each.agg(F.count_if(F.col("words").isNull()).alias("__times"), F.coalesce(F.max("words"), F.lit(0)).alias("__part"))
 
 
 def pieces(rows: DataFrame, uses: DataFrame, source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """rows (with size, off) by the blocks they reach into: lo and hi, counted in the row's own words, and times."""
     cut = rows.where("size > 0").withColumn("__b", F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})")))
     cut = cut.join(uses.hint("merge"), F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__b") == F.col("__block")))
-    return cut.withColumn("lo", F.greatest(F.col("__b") * block - F.col("off"), F.lit(0))).withColumn("hi", F.least((F.col("__b") + 1) * block - F.col("off"), F.col("size")))
+    begin = F.col("__b") * block - F.col("off")
+    lo, hi = F.greatest(begin, F.lit(0)), F.least(begin + block, F.col("size"))
+    edge = F.greatest(lo, F.least(hi, begin + F.col("__part")))
+    part = lambda a, b, n: F.struct(a.alias("lo"), b.alias("hi"), n.alias("times"))
+    cut = cut.withColumn("__x", F.explode(F.array(part(lo, edge, F.col("__times") + 1), part(edge, hi, F.col("__times")))))
+    return cut.where("__x.lo < __x.hi and __x.times > 0").select(*rows.columns, "__x.*")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """Per row: doc_id, source, size, off, source_size, target, taken."""
-    rows, chunk = placed(sized(docs).select("doc_id", "source", "size"))
-    by = targets(chunk, cap, block)
+    rows, chunk = placed(sized(docs).select("doc_id", "source", "size", "__text"))
+    by = targets(chunk, cap, block, seed)
     cut = pieces(rows, block_uses(by, seed), block=block)
     taken = cut.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("off").alias("__off")).agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
     rows = rows.join(by.select(F.col("source").alias("__src"), "source_size", "target"), F.col("source").eqNullSafe(F.col("__src")))
@@ -131,10 +171,14 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, cap: float = CAP, seed: int
     """The mix as documents, columns as in docs: a row taken in full is whole; one taken in
     part holds the words of its taken blocks, in order and with the white space after
     them; what is taken twice or thrice comes in a second or third row of the same id."""
+    # columns of docs that working names would hide wait under other names
+    hidden = {c: f"__own_{c}" for c in docs.columns if c in ("size", "off")}
+    for c, own in hidden.items():
+        docs = docs.withColumnRenamed(c, own)
     whole = written(placed(sized(docs))[0], "mix-rows")
-    slim = whole.select("doc_id", "source", "size", "off")
-    chunk = slim.groupBy(F.col("source").alias("__source"), F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)).alias("__c")).agg(F.sum("size").alias("__n"))
-    cut = pieces(slim, block_uses(targets(chunk, cap, block), seed), block=block)
+    slim = whole.select("doc_id", "source", "size", "off", "__text")
+    chunk = slim.groupBy(F.col("source").alias("__source"), chunk_of().alias("__c")).agg(F.sum("size").alias("__n"))
+    cut = pieces(slim, block_uses(targets(chunk, cap, block, seed), seed), block=block)
     plan = cut.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("off").alias("__off")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("__cut"))
     got = whole.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("off") == F.col("__off")) & (F.col("size") > 0))
     got = got.withColumn("__copy", F.explode(F.expr("sequence(1L, array_max(__cut.times))")))
@@ -146,7 +190,10 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, cap: float = CAP, seed: int
     out = part.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = out.select(*docs.columns)
+    for c, own in hidden.items():
+        out = out.withColumnRenamed(own, c)
+    return out
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
