@@ -8,8 +8,10 @@ pages are indexed, so ids of a few documents, or the counts alone, are read with
 rest. Files follow each other in doc_id order and `file_no` names their place.
 
 Null and empty texts are written as the end id alone; null ids come first; rows that
-repeat an id stand next to each other, ordered by length; an empty table gives an empty
-folder. The tokenizer file is a parameter, read on the executors.
+repeat an id stand next to each other, ordered by length and text, and `row_no` tells
+their places; a text of any length is one list; other columns of the input are left out;
+an empty table gives an empty folder. The tokenizer file is a parameter, read on the
+executors.
 """
 
 from __future__ import annotations
@@ -34,24 +36,27 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, row_group: int = ROW_GROUP, page: int = PAGE) -> DataFrame:
-    """Encodes and writes docs; the table as read back: doc_id, file_no int, n_tokens long, ids array<int>."""
+    """Encodes and writes docs; the table as read back: doc_id, file_no int, row_no long (place in the file),
+    n_tokens long, ids array<int>."""
     tokenizer = tokenizer or tokenizer_path()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        encode = encoder(tokenizer)
+        encode, written_rows = encoder(tokenizer), 0
         for rows, raw, off in chunks(batches, "text"):
             ids, cut = encode(raw, off)
             # the end id goes in at the end of each document
             full = np.insert(ids, cut[1:], end_id).astype(np.int32)
             cut = cut + np.arange(len(cut))
             lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(full))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(cut).astype(np.int64)), lists], ["doc_id", "n_tokens", "ids"])
+            place = np.arange(written_rows, written_rows + rows.num_rows)
+            written_rows += rows.num_rows
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(place), pa.array(np.diff(cut).astype(np.int64)), lists], ["doc_id", "row_no", "n_tokens", "ids"])
 
     dealt = docs.selectExpr("cast(doc_id as long) as doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.octet_length("text"), "text")
-    done = dealt.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>").withColumn("file_no", F.spark_partition_id())
+    done = dealt.mapInArrow(run, "doc_id long, row_no long, n_tokens long, ids array<int>").withColumn("file_no", F.spark_partition_id())
     options = {"parquet.block.size": row_group, "parquet.page.size": page, "parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_2_0", "parquet.dictionary.page.size": 2 << 20}
-    return written(done.select("doc_id", "file_no", "n_tokens", "ids"), "token-ids", **{k: str(v) for k, v in options.items()})
+    return written(done.select("doc_id", "file_no", "row_no", "n_tokens", "ids"), "token-ids", **{k: str(v) for k, v in options.items()})
 
 
 def digests(table: DataFrame) -> DataFrame:
@@ -59,17 +64,17 @@ def digests(table: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             flat, cut = lists.flatten().to_numpy().astype("<u4"), lists.offsets.to_numpy()
             cut = cut - (cut[0] if len(cut) else 0)
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(cut).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file_no", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(cut).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file_no", "row_no", "n_tokens", "ids_crc32"])
 
-    slim = table.select("doc_id", "file_no", "ids").mapInArrow(run, "doc_id long, file_no int, n_tokens long, ids_crc32 long")
+    slim = table.select("doc_id", "file_no", "row_no", "ids").mapInArrow(run, "doc_id long, file_no int, row_no long, n_tokens long, ids_crc32 long")
     # a row for each file
     sums = table.groupBy("file_no").agg(F.sum("n_tokens").alias("__n"))
     before = sums.select(F.col("file_no").alias("__f"), (F.sum("__n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    inside = Window.partitionBy("file_no").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("file_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = slim.withColumn("__in", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     return rows.join(before, F.col("file_no") == F.col("__f")).select("doc_id", (F.col("__before") + F.col("__in")).alias("start"), "n_tokens", "ids_crc32")
 
