@@ -13,16 +13,30 @@ from pyspark.sql import functions as F
 from .common import forget, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+HUBS, HUB = 100_000, 256
+
+
+def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """edges plus m of their node a. least: u, m, degree. Nodes of many edges would be hot keys of the
+    join: they are sent to all tasks instead. At most HUBS nodes can have so many, whatever the input."""
+    limit = max(HUB, 2 * n_edges // HUBS)
+    hubs = F.broadcast(least.where(F.col("degree") > limit).select(F.col("u").alias("h"), F.col("m").alias("hm")))
+    told = edges.join(hubs, F.col("a") == F.col("h"), "left")
+    near = told.where("h is null").select("a", "b").join(least.where(F.col("degree") <= limit).select("u", "m").hint("merge"), F.col("a") == F.col("u")).select("a", "b", "m")
+    return near.union(told.where("h is not null").select("a", "b", F.col("hm").alias("m")))
+
+
+def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     """edges (a, b), a > b. Large: a node's larger neighbours go to its least neighbour;
     small: it and its smaller neighbours do."""
+    degree = F.count(F.lit(1)).alias("degree")
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(F.col("a").alias("u"), "m")
-        out = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), degree).select(F.col("a").alias("u"), "m", "degree")
+        out = _with_least(both.where("b > a"), least, n_edges).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        out = edges.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), degree).select(F.col("a").alias("u"), "m", "degree")
+        out = _with_least(edges, least, n_edges).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -34,8 +48,10 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break
-        new = written(_star(_star(edges, True), False), "edges")
-        forget(edges)
+        # a large star makes no more edges than it is given
+        half = written(_star(edges, True, now[0]), "edges")
+        new = written(_star(half, False, now[0]), "edges")
+        forget(edges, half)
         edges, before = new, now
     # a star for each component: every node but the centre points to it
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

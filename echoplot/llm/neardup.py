@@ -109,16 +109,38 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 class _Forest:
+    """Union by size: of[i] is the component of i; a join renames the smaller side, so n joins cost n log n."""
+
     def __init__(self, label: np.ndarray):
-        _, self.of = np.unique(label, return_inverse=True)
+        kinds, self.of = np.unique(label, return_inverse=True)
         self.of = self.of.copy()
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.of[i], self.of[j]
-        if a == b:
-            return False
-        self.of[self.of == b] = a
-        return True
+        order = np.argsort(self.of, kind="stable")
+        self.size = np.bincount(self.of, minlength=len(kinds))
+        self.members = dict(enumerate(np.split(order, np.cumsum(self.size)[:-1])))
+        self.count = len(kinds)
+
+    def join_all(self, i: int, others: np.ndarray) -> list[int]:
+        """Joins i with each of others; those that were apart. Many at once cost one renaming."""
+        kinds, first = np.unique(self.of[others], return_index=True)
+        apart = kinds != self.of[i]
+        kinds, first = kinds[apart], first[apart]
+        if not len(kinds):
+            return []
+        a = int(self.of[i])
+        most = int(kinds[self.size[kinds].argmax()])
+        if self.size[most] > self.size[a]:
+            kinds = np.append(kinds[kinds != most], a)
+            a = most
+        moved = np.concatenate([self.members.pop(int(k)) for k in kinds])
+        self.of[moved] = a
+        self.members[a] = np.concatenate([self.members[a], moved])
+        self.size[a] += len(moved)
+        self.size[kinds] = 0
+        self.count -= len(kinds)
+        return [int(x) for x in others[first]]
+
+    def largest(self) -> int:
+        return int(self.size.argmax())
 
 
 def by_key(batches):
@@ -156,20 +178,29 @@ def bucket_forest(ids: np.ndarray, sig: np.ndarray, low: float) -> list[tuple[in
     while True:
         done[i] = True
         other = np.flatnonzero(forest.of != forest.of[i])
-        for j in other[estimate(sig[i], sig[other]) >= low]:
-            if forest.join(i, j):
-                out.append((ids[i], ids[j]))
-        group, size = np.unique(forest.of, return_counts=True)
-        rest = np.flatnonzero(~done & (forest.of != group[size.argmax()]))  # each pair of trees has one outside the largest
-        if len(group) == 1 or not len(rest):
+        out += [(ids[i], ids[j]) for j in forest.join_all(i, other[estimate(sig[i], sig[other]) >= low])]
+        rest = np.flatnonzero(~done & (forest.of != forest.largest()))  # each pair of trees has one outside the largest
+        if forest.count == 1 or not len(rest):
             return out
         i = rest[0]
 
 
-def clustered(classes: DataFrame, low: float) -> DataFrame:
-    """Forests of all buckets: pairs a < b. classes: id, sig, bands."""
+def clustered(classes: DataFrame, low: float, bucket: int = 20_000) -> DataFrame:
+    """Forests of all buckets: pairs a < b. classes: id, sig, bands.
+
+    A bucket of more than `bucket` members is dealt into blocks of about that many, and each two blocks meet
+    in a task of their own, so a band that much of the corpus agrees in is neither one task nor held at once."""
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = classes.select(F.explode("bands").alias("key"), "id", "sig").repartition(n, "key").sortWithinPartitions("key", "id")
+    members = classes.select(F.explode("bands").alias("key"), "id", "sig")
+    if classes.count() > bucket:
+        size = classes.select(F.explode("bands").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
+        # at most bands * classes / bucket keys
+        blocks = F.broadcast(size.select("k", F.ceil(F.col("n") / bucket).cast("int").alias("blocks")))
+        told = members.join(blocks, F.col("key") == F.col("k"), "left")
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        meets = F.when(F.col("k").isNull(), F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("key", F.least(b, own), F.greatest(b, own))))
+        members = told.select(F.explode(meets).alias("key"), "id", "sig")
+    dealt = members.repartition(n, "key").sortWithinPartitions("key", "id")
 
     def run(batches):
         pairs = []
@@ -208,9 +239,7 @@ def confirmed(ids: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], comp: np
             values = flat[reach]
             spot = np.minimum(np.searchsorted(sets[i], values), size[i] - 1)
             both = np.add.reduceat((sets[i][spot] == values).astype(np.int64), np.concatenate([[0], np.cumsum(size[part])[:-1]]))
-            for j in part[den * both >= num * (size[part] + size[i] - both)]:
-                if forest.join(i, j):
-                    out.append((ids[i], ids[j]))
+            out += [(ids[i], ids[j]) for j in forest.join_all(i, part[den * both >= num * (size[part] + size[i] - both)])]
             other = other[forest.of[other] != forest.of[i]]
     return out
 
