@@ -12,9 +12,13 @@ The fit uses at most `max_labels` labelled documents, those whose id hashes lowe
 documented bound); everything else covers all rows. Feature sums, not texts, come to the
 driver: at most `max_labels` rows of some twenty numbers.
 
-Null and empty texts are scored like others from their features; a null source is a site
-of its own; repeated rows are scored alike; without labels of both kinds a classifier
-rejects nothing; an empty table gives an empty result.
+Null and empty texts are scored like others from their features, very long ones whole; a
+null source or language is a site of its own; repeated rows are scored alike; rows of one
+id with different texts are scored by their own texts, and a label counts for any one of
+them; labels with a null are left out, and of several for an id the lower quality and the
+toxic one hold; without labels of both kinds a classifier rejects nothing; an empty table
+gives an empty result. `classify` returns its own columns only, `accepted` those of docs,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, RollingHash, chunks, read, row_counts, without, words, written
+from .common import LOWER, U, RollingHash, chunks, read, row_counts, words, written
 
 MAX_LABELS, LEXICON, SITE_REACH = 20_000, 2_000, 1.0
 REJECT = 0.5
@@ -161,23 +165,25 @@ class Model:
         self.low, self.tox = Logistic(x, rows["low"].to_numpy(float)), Logistic(x, rows["tox"].to_numpy(float))
 
 
-def evidence(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "source", "lang")) -> DataFrame:
-    """keep plus log-odds of low quality and of toxicity from the text alone."""
+def evidence(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "source", "lang"), text: str = "text", texts: bool = False) -> DataFrame:
+    """keep (and the text itself, if `texts`) plus log-odds of low quality and of toxicity from the text alone."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    out = [*keep, *([text] if texts else [])]
 
     def run(batches):
         m = shipped.value
-        for rows, raw, off in chunks(batches, "text"):
+        for rows, raw, off in chunks(batches, text):
             x = features(raw, off, m.bad, m.toxic)
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(m.low.log_odds(x)), pa.array(m.tox.log_odds(x))], [*keep, "low_odds", "tox_odds"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(out)], pa.array(m.low.log_odds(x)), pa.array(m.tox.log_odds(x))], [*out, "low_odds", "tox_odds"])
 
-    picked = docs.select(*keep, "text")
-    kinds = ", ".join(f"`{c}` {t}" for c, t in picked.drop("text").dtypes)
+    picked = docs.select(*keep, text)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in picked.select(*out).dtypes)
     return picked.mapInArrow(run, f"{kinds}, low_odds double, tox_odds double")
 
 
-def posteriors(scored: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """scored plus low_site and tox_site: the bounded difference of the path's posterior log-odds from the prior's."""
+def sites(scored: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """One row for each host and path (__h, __p; null is a value): low_site and tox_site, the bounded difference of the
+    path's posterior log-odds from the prior's."""
     p = lambda c: 1 / (1 + F.exp(-F.col(c)))
     paths = scored.groupBy(F.col(host).alias("__h"), F.col(path).alias("__p")).agg(F.count(F.lit(1)).alias("n"), F.sum(p("low_odds")).alias("low"), F.sum(p("tox_odds")).alias("tox"))
     hosts = paths.groupBy(F.col("__h").alias("__host")).agg(F.sum("n").alias("hn"), F.sum("low").alias("hlow"), F.sum("tox").alias("htox"))
@@ -193,8 +199,12 @@ def posteriors(scored: DataFrame, host: str = "source", path: str = "lang") -> D
         site = (F.col(k) + strength * rate) / (F.col("n") + strength)
         shift = F.log(site / (1 - site)) - float(_logit(mean))
         out = out.withColumn(f"{k}_site", F.greatest(F.lit(-SITE_REACH), F.least(F.lit(SITE_REACH), shift)))
-    sites = out.select("__h", "__p", "low_site", "tox_site")
-    return scored.join(sites, F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p"))).drop("__h", "__p")
+    return out.select("__h", "__p", "low_site", "tox_site")
+
+
+def posteriors(scored: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """scored plus the low_site and tox_site of each row's site."""
+    return scored.join(sites(scored, host, path), F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p"))).drop("__h", "__p")
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, reject: float = REJECT) -> DataFrame:
@@ -207,28 +217,21 @@ def classify(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, r
     return out.withColumn("kept", (F.col("p_low") < reject) & (F.col("p_toxic") < reject)).select("doc_id", "source", "lang", "low_odds", "tox_odds", "p_low", "p_toxic", "score", "kept")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier keeps. Rows are judged in place: no join with the texts."""
-    model = Model(docs, labels, **options)
-    plain = without(docs, "low_odds", "tox_odds", "low_site", "tox_site")
-    keep = tuple(c for c in plain.columns if c != "text")
-    slim = written(evidence(plain, model, ("source", "lang")), "evidence")
-    sites = posteriors(slim).select("source", "lang", "low_site", "tox_site").distinct()
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = shipped.value
-        for rows, raw, off in chunks(batches, "text"):
-            x = features(raw, off, m.bad, m.toxic)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(m.low.log_odds(x)), pa.array(m.tox.log_odds(x))], [*rows.schema.names, "low_odds", "tox_odds"])
-
-    picked = plain.select(*keep, "text")
-    kinds = ", ".join(f"`{c}` {t}" for c, t in picked.dtypes)
-    judged = picked.mapInArrow(run, f"{kinds}, low_odds double, tox_odds double")
-    site = sites.select(F.col("source").alias("__h"), F.col("lang").alias("__p"), "low_site", "tox_site")
-    judged = judged.join(site, F.col("source").eqNullSafe(F.col("__h")) & F.col("lang").eqNullSafe(F.col("__p")))
-    cut = float(_logit(REJECT))
-    return judged.where((F.col("low_odds") + F.col("low_site") < cut) & (F.col("tox_odds") + F.col("tox_site") < cut)).select(*docs.columns)
+def accepted(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, reject: float = REJECT) -> DataFrame:
+    """The rows of docs that the classifier keeps. Texts are read once: rows with their evidence are written, sites
+    come from its narrow columns. Columns of docs may have any names."""
+    model = Model(docs, labels, max_labels)
+    # every column by its place, so that no name of docs clashes with a working one
+    names = [f"__c{k}" for k in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names, strict=True))
+    plain = docs.toDF(*names)
+    keep = tuple(n for c, n in own.items() if c != "text")
+    judged = written(evidence(plain, model, keep, own["text"], texts=True), "evidence")
+    site = sites(judged, own["source"], own["lang"])
+    told = judged.join(site, F.col(own["source"]).eqNullSafe(F.col("__h")) & F.col(own["lang"]).eqNullSafe(F.col("__p")))
+    cut = float(_logit(reject))
+    kept = told.where((F.col("low_odds") + F.col("low_site") < cut) & (F.col("tox_odds") + F.col("tox_site") < cut))
+    return kept.select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
