@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import U, chunks, release, written
 
@@ -138,9 +139,27 @@ def groups(batches, column: int):
         yield held
 
 
+def partition_keys(spark, n: int) -> list[int]:
+    """For each of n partitions a number that hash partitioning deals to it."""
+    found: dict[int, int] = {}
+    top = 0
+    while len(found) < n:
+        rows = spark.range(top, top + 16 * n).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(n)).alias("p"))
+        for r in rows.groupBy("p").agg(F.min("k").alias("k")).collect():
+            found.setdefault(r.p, r.k)
+        top += 16 * n
+    return [found[p] for p in range(n)]
+
+
+def by_bucket(messages: DataFrame, n_buckets: int) -> DataFrame:
+    """Messages dealt so that every bucket has a task of its own: hashed, buckets would fall together in some tasks."""
+    keys = F.array(*[F.lit(k) for k in partition_keys(messages.sparkSession, n_buckets)])
+    return messages.repartition(n_buckets, F.element_at(keys, F.col("bucket") + 1)).sortWithinPartitions("bucket", "kind", "block")
+
+
 def answer(messages: DataFrame, n_buckets: int, fn: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
     """Every bucket's messages, merged by fn into answers; written to the shared folder."""
-    dealt = messages.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind", "block")
+    dealt = by_bucket(messages, n_buckets)
 
     def run(batches):
         for rows in groups(batches, 2):
@@ -165,7 +184,8 @@ def meet(table: DataFrame, answers: DataFrame, n: int, fn: Callable[[int, Block,
     return dealt.mapInArrow(run, schema)
 
 
-def bucket_count(table: DataFrame) -> int:
-    return int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
+def bucket_count(table: DataFrame, blocks_a_bucket: int = 8) -> int:
+    """Buckets for a table of blocks: the shuffle partitions, or more if a bucket would merge more than
+    about `blocks_a_bucket` blocks' worth of messages, so that its memory does not grow with the input."""
+    least = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-table.count() // blocks_a_bucket))

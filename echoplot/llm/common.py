@@ -7,6 +7,7 @@ Arrow buffers; a null text is an empty one.
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 
 import numpy as np
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2 << 20
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 U = np.uint64
 #: is this byte white space of the word rule
@@ -37,23 +37,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named (tests)."""
+    """The shared folder that spark.checkpoint.dir names. Where none is named, a local master, which
+    is one machine, takes a temporary folder; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = LOCAL_CHECKPOINTS
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="echoplot-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/echoplot/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors. All tables of an
+    application lie in one folder, which goes when the application ends."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/echoplot/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    own = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that no later plan reads."""
+    for df in tables:
+        _forget(df)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table made by written() that no later plan reads."""
+def _forget(df: DataFrame) -> None:
     spark = df.sparkSession
     for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/echoplot/" in p:
