@@ -158,7 +158,8 @@ def lempel_ziv(x: np.ndarray, normalise: bool = True) -> float:
     """Number of phrases of the median-binarised series (1976 parsing), over n / log2 n."""
     x = np.asarray(x, float)
     x = x[np.isfinite(x)]
-    s = "".join("1" if v > np.median(x) else "0" for v in x)
+    mid = np.median(x) if len(x) else 0.0
+    s = "".join("1" if v > mid else "0" for v in x)
     n, phrases, at = len(s), 0, 0
     while at < n:
         size = 1
@@ -184,6 +185,77 @@ def embed(x: np.ndarray, m: int, tau: int) -> np.ndarray:
     return np.column_stack([x[k * tau : k * tau + n] for k in range(m)]) if n > 0 else np.zeros((0, m))
 
 
+def log_scales(n: int, least: int = 8, count: int = 20) -> np.ndarray:
+    """Distinct whole numbers from `least` to a quarter of n, evenly spaced in their logarithm."""
+    top = max(least + 1, n // 4)
+    return np.unique(np.floor(np.logspace(np.log10(least), np.log10(top), count)).astype(int))
+
+
+def dfa_exponent(x: np.ndarray, scales=None, order: int = 1, min_points: int = 6) -> float:
+    """Slope of the log root mean square residual of polynomials in segments of the profile on the log scale."""
+    x = np.asarray(x, float)
+    y = np.cumsum(x - x.mean())
+    at, f = [], []
+    for s in log_scales(len(x)) if scales is None else scales:
+        k = len(x) // s
+        if k < 1 or s <= order + 1:
+            continue
+        t = np.arange(s)
+        seg = y[: k * s].reshape(k, s)
+        q, _ = np.linalg.qr(np.vander(t, order + 1))
+        r = seg - seg @ q @ q.T
+        rms = np.sqrt((r * r).mean(1).mean())
+        if rms > 0:
+            at.append(s)
+            f.append(rms)
+    return float(np.polyfit(np.log(at), np.log(f), 1)[0]) if len(at) >= min(min_points, 3) else float("nan")
+
+
+def higuchi_dimension(x: np.ndarray, k_max: int = 20, tolerance: float = 0.25) -> float:
+    """Slope of the log curve length on log 1/k, from k = 1 on while the slope from step to step stays within
+    `tolerance` of the first one."""
+    x = np.asarray(x, float)
+    n = len(x)
+    ks, lengths = [], []
+    for k in range(1, min(k_max, n // 2) + 1):
+        each = []
+        for m in range(k):
+            d = np.abs(np.diff(x[m::k]))
+            if len(d):
+                each.append(d.sum() * (n - 1) / (len(d) * k) / k)
+        if each and np.mean(each) > 0:
+            ks.append(k)
+            lengths.append(np.mean(each))
+    if len(ks) < 3:
+        return float("nan")
+    u, v = np.log(1 / np.array(ks)), np.log(lengths)
+    local = np.diff(v) / np.diff(u)
+    far = np.flatnonzero(np.abs(local - local[0]) > tolerance * max(abs(local[0]), 1e-12))
+    stop = max(3, int(far[0]) + 1 if len(far) else len(ks))
+    return float(np.polyfit(u[:stop], v[:stop], 1)[0])
+
+
+def permutation_entropy(x: np.ndarray, order: int = 3, delay: int = 1, normalise: bool = True) -> float:
+    y = embed(np.asarray(x, float), order, delay)
+    if not len(y):
+        return float("nan")
+    _, count = np.unique(np.argsort(y, axis=1, kind="stable"), axis=0, return_counts=True)
+    p = count / count.sum()
+    h = float(-(p * np.log(p)).sum())
+    return h / float(np.log(np.prod(np.arange(1, order + 1)))) if normalise else h
+
+
+def samples_per_turn(x: np.ndarray) -> float:
+    d = np.diff(np.asarray(x, float))
+    turns = int((d[1:] * d[:-1] < 0).sum())
+    return len(x) / turns if turns else float(len(x))
+
+
+def fine_scale(x: np.ndarray, target: float = 2.0, least: int = 64) -> int:
+    """Decimation that leaves about `target` samples a turn and at least `least` samples."""
+    return max(1, min(int(samples_per_turn(x) / target), len(x) // least))
+
+
 def svd_entropy(x: np.ndarray, m: int = 5, tau: int = 1) -> float:
     y = embed(np.asarray(x, float), m, tau)
     if len(y) < m:
@@ -194,9 +266,9 @@ def svd_entropy(x: np.ndarray, m: int = 5, tau: int = 1) -> float:
     return float(-(p * np.log(p)).sum() / np.log(m))
 
 
-def bandpass_taps(low: float, high: float, fs: float, min_cycles: float = 3.0) -> np.ndarray:
+def bandpass_taps(low: float, high: float, fs: float, min_cycles: float = 3.0, n: int | None = None) -> np.ndarray:
     """Windowed-sinc band-pass with unit gain at the band's centre."""
-    n = int(np.clip(np.ceil(min_cycles * fs / low), 15, 4 * fs)) | 1
+    n = n or bandpass_order(low, fs, min_cycles)[0]
     t = np.arange(n) - (n - 1) / 2
     h = 2 * high / fs * np.sinc(2 * high / fs * t) - 2 * low / fs * np.sinc(2 * low / fs * t)
     h *= np.hamming(n)
@@ -204,15 +276,174 @@ def bandpass_taps(low: float, high: float, fs: float, min_cycles: float = 3.0) -
     return h / np.abs(np.sum(h * np.exp(-2j * np.pi * centre / fs * np.arange(n))))
 
 
+def bandpass_order(low: float, fs: float, min_cycles: float = 3.0) -> tuple[int, bool]:
+    """Number of taps (odd), and whether it had to be held within 15 and four seconds."""
+    wanted = int(np.ceil(min_cycles * fs / low))
+    n = int(np.clip(wanted, 15, max(15, int(4 * fs)))) | 1
+    return n, n != wanted | 1
+
+
+def _held(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Causal filter as if the first value had stood for ever."""
+    return np.convolve(np.concatenate([np.full(len(taps) - 1, x[0]), x]), taps, "valid")
+
+
+def odd_extension(x: np.ndarray, pad: int) -> np.ndarray:
+    return np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad else x
+
+
 def zero_phase(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
     """Forward and backward filtering over odd extensions of the ends."""
     pad = min(3 * len(taps), len(x) - 1)
-    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    y = np.convolve(y, taps)[: len(y)]
-    y = np.convolve(y[::-1], taps)[: len(y)][::-1]
+    y = _held(odd_extension(x, pad), taps)
+    y = _held(y[::-1], taps)[::-1]
     return y[pad : pad + len(x)]
 
 
+def recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Causal recursive filter (a[0] = 1) that starts in the steady state of the first value."""
+    n = len(a) - 1
+    companion = np.zeros((n, n))
+    companion[:, 0] = -a[1:]
+    companion[np.arange(n - 1), np.arange(1, n)] = 1
+    state = np.linalg.solve(np.eye(n) - companion, b[1:] - a[1:] * b[0]) * x[0]
+    out = np.empty(len(x))
+    for i, v in enumerate(x):
+        y = b[0] * v + state[0]
+        state[:-1] = state[1:]
+        state[-1] = 0
+        state += b[1:] * v - a[1:] * y
+        out[i] = y
+    return out
+
+
+def zero_phase_recursive(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Forward and backward through second-order sections, over odd extensions of the ends."""
+    pad = min(3 * (2 * len(sections) + 1), len(x) - 1)
+    y = odd_extension(np.asarray(x, float), pad)
+    for _ in range(2):
+        for b, a in sections:
+            y = recursive(b, a, y)
+        y = y[::-1]
+    return y[pad : pad + len(x)]
+
+
+def butter_sections(order: int, fs: float, low: float | None = None, high: float | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Butterworth second-order sections: low-pass (high alone) or band-pass (both), by the bilinear transform."""
+    poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
+    warp = lambda f: 2 * fs * np.tan(np.pi * f / fs)
+    if low is None:
+        w = warp(high)
+        s, zeros = poles * w, np.zeros(0)
+        gain = w**order
+    else:
+        w1, w2 = warp(low), warp(high)
+        mid, width = np.sqrt(w1 * w2), w2 - w1
+        half = poles * width / 2
+        root = np.sqrt(half * half - mid * mid + 0j)
+        s, zeros = np.concatenate([half + root, half - root]), np.zeros(order)
+        gain = width**order
+    z = (2 * fs + s) / (2 * fs - s)
+    gain = gain * np.prod(2 * fs - zeros).real / np.prod(2 * fs - s).real
+    ends = np.concatenate([(2 * fs + zeros) / (2 * fs - zeros), -np.ones(len(s) - len(zeros))]).real
+    upper = z[z.imag > 1e-12]
+    upper = upper[np.argsort(np.abs(upper))]
+    real = np.sort(z[np.abs(z.imag) <= 1e-12].real)
+    pairs = [(p, np.conj(p)) for p in upper] + [(real[k], real[k + 1]) for k in range(0, len(real) - 1, 2)]
+    odd = [real[-1]] if len(real) % 2 else []
+    plus, minus = sorted(ends[ends > 0]), sorted(ends[ends <= 0])
+    out = []
+    for p, q in pairs:
+        e = [plus.pop() if plus else minus.pop(), minus.pop() if minus else plus.pop()]
+        out.append((np.poly(e), np.poly([p, q]).real))
+    for p in odd:
+        e = minus.pop() if minus else plus.pop()
+        out.append((np.append(np.poly([e]), 0), np.append(np.poly([p]), 0).real))
+    out[0] = (out[0][0] * gain, out[0][1])
+    return out
+
+
+def notch_section(freq: float, fs: float, q: float = 30.0) -> tuple[np.ndarray, np.ndarray]:
+    """Second-order notch whose width at -3 dB is freq / q."""
+    w = 2 * np.pi * freq / fs
+    beta = np.tan(w / q / 2)
+    gain = 1 / (1 + beta)
+    return gain * np.array([1, -2 * np.cos(w), 1]), np.array([1, -2 * gain * np.cos(w), 2 * gain - 1])
+
+
+def resample_poly(x: np.ndarray, up: int, down: int) -> np.ndarray:
+    """Polyphase resampling by up / down with a Kaiser-windowed sinc (beta 5, ten zero crossings a side)."""
+    g = int(np.gcd(up, down))
+    up, down = up // g, down // g
+    if up == down:
+        return np.asarray(x, float).copy()
+    most = max(up, down)
+    half = 10 * most
+    t = np.arange(-half, half + 1)
+    h = np.sinc(t / most) / most * np.kaiser(2 * half + 1, 5.0)
+    h = h / h.sum() * up
+    n_out = -(-len(x) * up // down)
+    out = np.zeros(n_out)
+    at = np.arange(n_out) * down + half  # place in the filtered, up-sampled series
+    for k in range(-(-len(h) // up)):
+        # the k-th input sample back from the newest one under the filter
+        newest = at // up - k
+        tap = at - newest * up
+        ok = (newest >= 0) & (newest < len(x)) & (tap < len(h))
+        out[ok] += np.asarray(x, float)[newest[ok]] * h[tap[ok]]
+    return out
+
+
+def resample_fourier(x: np.ndarray, n: int) -> np.ndarray:
+    """Resampling to n points of one period by its spectrum; the middle frequency of an even length is split or joined."""
+    m = len(x)
+    z, out = np.fft.rfft(x), np.zeros(n // 2 + 1, complex)
+    k = min(m, n) // 2 + 1
+    out[:k] = z[:k]
+    if min(m, n) % 2 == 0:
+        out[min(m, n) // 2] *= 2 if n < m else (0.5 if n > m else 1)
+    return np.fft.irfft(out, n) * n / m
+
+
+def gaussian_smooth(x: np.ndarray, cutoff: float, fs: float) -> np.ndarray:
+    """Gaussian weights whose gain is one half at the cut-off; ends mirrored, four deviations a side."""
+    sigma = fs * np.sqrt(np.log(2) / 2) / (np.pi * cutoff)
+    r = int(4 * sigma + 0.5)
+    t = np.arange(-r, r + 1)
+    w = np.exp(-0.5 * (t / sigma) ** 2)
+    at = np.arange(-r, len(x) + r) % (2 * len(x))
+    at = np.where(at < len(x), at, 2 * len(x) - 1 - at)
+    return np.convolve(x[at], w / w.sum(), "valid")
+
+
+def tukey(n: int, share: float = 0.1) -> np.ndarray:
+    edge = int(share * (n - 1) / 2)
+    w = np.ones(n)
+    if edge > 0:
+        ramp = 0.5 * (1 + np.cos(np.pi * (2 * np.arange(edge + 1) / (share * (n - 1)) - 1)))
+        w[: edge + 1], w[n - edge - 1 :] = ramp, ramp[::-1]
+    return w
+
+
+def gradient(x: np.ndarray) -> np.ndarray:
+    return np.gradient(x) if len(x) > 1 else np.zeros(len(x))
+
+
+def hilbert_components(x: np.ndarray, fs: float = 1.0, edge: str = "none", edge_samples: int = 0, unwrap: bool = False) -> np.ndarray:
+    """Columns phase, amplitude, instantaneous frequency. edge: mirror (odd ends before the transform), taper (cosine
+    ends) or none; trimming is the caller's."""
+    n, pad = len(x), 0
+    if edge == "mirror":
+        pad = min(max(edge_samples, 1), n - 1)
+        x = odd_extension(x, pad)
+    elif edge == "taper":
+        x = x * tukey(n)
+    phase, amplitude = hilbert(x)
+    phase, amplitude = phase[pad : pad + n], amplitude[pad : pad + n]
+    whole = np.unwrap(phase)
+    return np.column_stack([whole if unwrap else phase, amplitude, gradient(whole) * fs / (2 * np.pi)])
+
+
 def hilbert(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phase and amplitude of the analytic signal."""
     n = len(x)
@@ -251,6 +482,31 @@ def coloured_noise(n: int, beta: float, rng: np.random.Generator) -> np.ndarray:
     return x / x.std()
 
 
+def noise_at_snr(signal: np.ndarray, snr_db: float, rng: np.random.Generator, beta: float = 0.0) -> np.ndarray:
+    """The signal with noise whose power lies snr_db under the signal's."""
+    noise = coloured_noise(len(signal), beta, rng)
+    return signal + noise * signal.std() * 10 ** (-snr_db / 20)
+
+
+def henon(n: int, a: float = 1.4, b: float = 0.3, start: tuple = (0.1, 0.3), transient: int = 1000) -> np.ndarray:
+    x, y = start
+    out = np.zeros((n, 2))
+    for k in range(-transient, n):
+        x, y = 1 - a * x * x + y, b * x
+        if k >= 0:
+            out[k] = x, y
+    return out
+
+
+def mackey_glass(n: int, tau: int = 17, beta: float = 0.2, gamma: float = 0.1, power: int = 10, transient: int = 1000, start: float = 1.2) -> np.ndarray:
+    """The delay equation by steps of one; the past before the start is constant."""
+    x = np.full(n + transient + tau + 1, start)
+    for k in range(tau, len(x) - 1):
+        x[k + 1] = x[k] + beta * x[k - tau] / (1 + x[k - tau] ** power) - gamma * x[k]
+    return x[-n:, None]
+
+
+# right sides, steps and starts of the published systems (fixed values)
 SYSTEMS = {
     "lorenz": (lambda y: np.array([10 * (y[1] - y[0]), y[0] * (28 - y[2]) - y[1], y[0] * y[1] - 8 / 3 * y[2]]), 0.01, (1.0, 1.0, 1.0)),
     "rossler": (lambda y: np.array([-y[1] - y[2], y[0] + 0.2 * y[1], 0.2 + y[2] * (y[0] - 5.7)]), 0.05, (1.0, 1.0, 1.0)),

@@ -14,8 +14,19 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def per_unit(df: DataFrame, keys: tuple[str, ...], cols: list[str], run: Callable[[np.ndarray], list[tuple]], fields: str) -> DataFrame:
-    """keys and `fields` (DDL) from run(points x cols) of each unit, in the order of `i`.
+def per_series(df: DataFrame, keys: tuple[str, ...], cols: list[str], run: Callable[[np.ndarray], np.ndarray], out: list[str]) -> DataFrame:
+    """keys, i (from 0) and the double columns `out` from run(points x cols) -> points' x out of each unit."""
+
+    def columns(x):
+        y = np.asarray(run(x), float)
+        return [np.arange(len(y)), *y.T]
+
+    return per_unit(df, keys, cols, columns, ", ".join(["i long", *[f"`{c}` double" for c in out]]), columnar=True)
+
+
+def per_unit(df: DataFrame, keys: tuple[str, ...], cols: list[str], run: Callable[[np.ndarray], list], fields: str, columnar: bool = False) -> DataFrame:
+    """keys and `fields` (DDL) from run(points x cols) of each unit, in the order of `i`. run returns rows, or
+    with `columnar` an array for each field.
 
     Partitions are sorted by unit, and one pass cuts them at the units' ends: memory is a batch or the
     largest unit, and there is no call of pandas for each unit. Null keys are a unit of their own;
@@ -23,7 +34,7 @@ def per_unit(df: DataFrame, keys: tuple[str, ...], cols: list[str], run: Callabl
     """
     types = dict(df.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + fields
-    names = [f.split()[0] for f in fields.split(", ")]
+    names = [f.split()[0].strip("`") for f in fields.split(", ")]
 
     def units(tables: list):
         import pyarrow as pa
@@ -42,6 +53,11 @@ def per_unit(df: DataFrame, keys: tuple[str, ...], cols: list[str], run: Callabl
         import pyarrow as pa
 
         x = np.column_stack([t[c].to_numpy().astype(float) for c in cols])
+        if columnar:
+            parts = [run(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            at = pa.array(np.repeat(cuts[:-1], [len(p[0]) for p in parts]))
+            out = {k: t[k].take(at) for k in keys} | {n: pa.array(np.concatenate([p[j] for p in parts]), arrow[j]) for j, n in enumerate(names)}
+            return pa.table(out).to_batches()
         rows, at = [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             got = run(x[a:b])

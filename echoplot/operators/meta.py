@@ -43,7 +43,8 @@ def meta_space(table: DataFrame, metrics: list[str], scaling: str = "zscore", wi
         elif scaling == "robust":
             span = F.col(f"__{m}")[2] - F.col(f"__{m}")[0]
             df = df.withColumn(m, (x - F.col(f"__{m}")[1]) / F.when(span > 0, span).otherwise(1.0))
-    return df.select("subject", "i", *varied)
+    # rounded, so that ties of distances fall alike on every engine
+    return df.select("subject", "i", *[F.round(m, R.DIGITS).alias(m) for m in varied])
 
 
 def meta_recurrence(table: DataFrame, metrics: list[str], size: int, step: int, target_rr: float = 0.05, scaling: str = "zscore", l_min: int = 2) -> DataFrame:

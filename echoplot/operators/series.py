@@ -232,6 +232,27 @@ def kernel_measures(df: DataFrame, c: str) -> DataFrame:
     return per_unit(df, ("subject",), [c], run, "lz double, spectral double, svd double")
 
 
+def svd_entropy(df: DataFrame, c: str, m: int = 5, tau: int = 1) -> DataFrame:
+    """subject, svd: entropy of the singular values of the delay embedding, over log m. The Gram matrix is an aggregate;
+    only its m x m numbers a subject meet a kernel."""
+    import pandas as pd
+
+    e = embed(df, c, m, tau)
+    cells = [F.sum(F.col(f"x{a}") * F.col(f"x{b}")) for a in range(m) for b in range(m)]
+    gram = e.groupBy("subject").agg(F.array(*cells).alias("g"), F.count(F.lit(1)).alias("n"))
+
+    def entropy(g: pd.Series) -> pd.Series:
+        import numpy as np
+
+        values = np.linalg.eigvalsh(np.stack(g.to_list()).reshape(-1, m, m))
+        s = np.sqrt(np.maximum(values, 0))
+        p = s / np.maximum(s.sum(1, keepdims=True), 1e-300)
+        return pd.Series(-(p * np.log(np.where(p > 0, p, 1))).sum(1) / np.log(m))
+
+    entropy.__annotations__ = {"g": pd.Series, "return": pd.Series}
+    return gram.where(F.col("n") >= m).select("subject", F.pandas_udf(entropy, "double")("g").alias("svd"))
+
+
 # groups
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..operators import comparability as K
 from ..operators import dynamics as D
 from ..operators import inference as I
 from ..operators import meta as M
@@ -111,14 +110,12 @@ simple("window_grid_count", ", n AS (SELECT subject, count(*) AS n, round_even(c
 # distances, thresholds, structures
 for _m, _e in {"euclidean": "list_distance(a, b)", "chebyshev": "list_max(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2])))", "manhattan": "list_sum(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2])))", "cosine": "1 - list_cosine_similarity(a, b)"}.items():
 
-    def _dist(spark, d, m=_m, keep="label < 2"):
-        e = spark.read.parquet(f"{d}/embeddings.parquet").where(keep)
+    def _dist(spark, d, m=_m):
+        e = spark.read.parquet(f"{d}/embeddings.parquet")
         a, b = e.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("a")), e.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
         return a.join(b, "label").where("i < j").select("i", "j", F.round(R.array_distance(F.col("a"), F.col("b"), m), 6).alias("d"))
 
-    query(f"dist_{_m}", f"WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 2) SELECT i, j, round({_e}, 6)::DOUBLE AS d FROM (SELECT x.vec_id AS i, y.vec_id AS j, x.v AS a, y.v AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id)")(_dist)
-    # the pairs of every label
-    query(f"dist_{_m}_all", f"WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT i, j, round({_e}, 6)::DOUBLE AS d FROM (SELECT x.vec_id AS i, y.vec_id AS j, x.v AS a, y.v AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id)")(lambda spark, d, run=_dist: run(spark, d, keep="true"))
+    query(f"dist_{_m}", f"WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT i, j, round({_e}, 6)::DOUBLE AS d FROM (SELECT x.vec_id AS i, y.vec_id AS j, x.v AS a, y.v AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id)")(_dist)
 
 
 def _eps(name: str, sql: str, **kw):
@@ -258,19 +255,11 @@ def _windowed_global(spark, d):
     return rounded(out.select(*keys, "RR", "DET", "Lmax"))
 
 
-@query("feature_matrix", f"WITH {_PTS}, f AS (SELECT subject, i // 20 AS w, avg(value) AS m FROM pts WHERE i < 60 GROUP BY 1, 2) SELECT subject, round(max(CASE WHEN w = 0 THEN m END), 6) AS w0, round(max(CASE WHEN w = 1 THEN m END), 6) AS w1, round(max(CASE WHEN w = 2 THEN m END), 6) AS w2 FROM f GROUP BY subject")
+@query("feature_matrix", f"WITH {_PTS}, f AS (SELECT subject, i // 20 AS w, avg(value) AS m FROM pts GROUP BY 1, 2) SELECT subject, " + ", ".join(f"round(max(CASE WHEN w = {w} THEN m END), 6) AS w{w}" for w in range(5)) + " FROM f GROUP BY subject")
 def _features(spark, d):
-    p = points(spark, d).where("i < 60").withColumn("w", F.expr("concat('w', i div 20)"))
-    return rounded(p.groupBy("subject").pivot("w", ["w0", "w1", "w2"]).agg(F.avg("value")))
-
-
-@query("feature_matrix_all")
-def _features_all(spark, d):
     """Every window of every subject; a column for each window number present."""
-    p = points(spark, d).withColumn("w", F.expr("i div 20"))
-    numbers = sorted(r.w for r in p.select("w").distinct().collect())
-    wide = p.groupBy("subject").pivot("w", numbers).agg(F.avg("value"))
-    return rounded(wide.select("subject", *[F.col(str(w)).alias(f"w{w}") for w in numbers]))
+    table = points(spark, d).groupBy("subject", F.expr("int(i div 20)").alias("window")).agg(F.avg("value").alias("value"))
+    return rounded(K.feature_matrix(table, "value"))
 
 
 @query("build_features", f"WITH {_PTS} SELECT subject, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std, round(regr_slope(value, i), 6) AS value_trend FROM pts GROUP BY subject")
@@ -278,60 +267,24 @@ def _build(spark, d):
     return rounded(points(spark, d).groupBy("subject").agg(F.avg("value").alias("value_mean"), F.stddev_samp("value").alias("value_std"), F.regr_slope("value", F.col("i").cast("double")).alias("value_trend")))
 
 
-_GROUP = f"""WITH {_PTS}, f AS (SELECT subject, CAST(i // 20 AS INT) AS win, round(avg(value), 9) AS v, CAST(subject % 2 AS INT) AS g FROM pts WHERE i < 60 GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY win ORDER BY v) + (count(*) OVER (PARTITION BY win, v) - 1) / 2.0 AS r FROM f), s AS (SELECT win, count(v) FILTER (g = 0) AS n_a, count(v) FILTER (g = 1) AS n_b, avg(v) FILTER (g = 0) AS mean_a, avg(v) FILTER (g = 1) AS mean_b, var_samp(v) FILTER (g = 0) AS va, var_samp(v) FILTER (g = 1) AS vb, sum(r) FILTER (g = 1) AS rb FROM r GROUP BY win),
-c AS (SELECT win, n_a, n_b, mean_a, mean_b, (mean_b - mean_a) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)) AS cohens_d, (rb - n_b * (n_b + 1) / 2.0)::DOUBLE / (n_a * n_b) AS auc FROM s)"""
-
-
-# every window in which both groups have two subjects or more
-_GROUP_ALL = _GROUP.replace(" WHERE i < 60", "").removesuffix(")") + " WHERE n_a >= 2 AND n_b >= 2)"
+_GROUP = f"""WITH {_PTS}, f AS (SELECT subject, CAST(i // 20 AS INT) AS win, round(avg(value), 9) AS v, CAST(subject % 2 AS INT) AS g FROM pts GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY win ORDER BY v) + (count(*) OVER (PARTITION BY win, v) - 1) / 2.0 AS r FROM f), s AS (SELECT win, count(v) FILTER (g = 0) AS n_a, count(v) FILTER (g = 1) AS n_b, avg(v) FILTER (g = 0) AS mean_a, avg(v) FILTER (g = 1) AS mean_b, var_samp(v) FILTER (g = 0) AS va, var_samp(v) FILTER (g = 1) AS vb, sum(r) FILTER (g = 1) AS rb FROM r GROUP BY win),
+c AS (SELECT win, n_a, n_b, mean_a, mean_b, (mean_b - mean_a) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)) AS cohens_d, (rb - n_b * (n_b + 1) / 2.0)::DOUBLE / (n_a * n_b) AS auc FROM s WHERE n_a >= 2 AND n_b >= 2)"""
 
 
-def _groups(spark, d, keep="i < 60"):
-    f = points(spark, d).where(keep).groupBy("subject", F.expr("int(i div 20)").alias("win")).agg(F.round(F.avg("value"), 9).alias("v")).withColumn("g", F.col("subject") % 2)
+def _groups(spark, d):
+    """Windows in which both groups have two subjects or more."""
+    f = points(spark, d).groupBy("subject", F.expr("int(i div 20)").alias("win")).agg(F.round(F.avg("value"), 9).alias("v")).withColumn("g", F.col("subject") % 2)
     return S.rank_auc(f, "v", "g", "win")
 
 
 query("group_comparison", f"{_GROUP} SELECT win, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(cohens_d, 6) AS cohens_d, round(auc, 6) AS auc FROM c")(lambda spark, d: rounded(_groups(spark, d)))
-query("group_comparison_all", f"{_GROUP_ALL} SELECT win, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(cohens_d, 6) AS cohens_d, round(auc, 6) AS auc FROM c")(lambda spark, d: rounded(_groups(spark, d, "true")))
 query("rank_metrics", f"{_GROUP} SELECT 'value' AS metric, round(avg(abs(auc - 0.5) + 0.5), 6) AS mean_auc, round(max(abs(auc - 0.5) + 0.5), 6) AS max_auc FROM c")(lambda spark, d: rounded(_groups(spark, d).groupBy(F.lit("value").alias("metric")).agg(F.avg(F.abs(F.col("auc") - 0.5) + 0.5).alias("mean_auc"), F.max(F.abs(F.col("auc") - 0.5) + 0.5).alias("max_auc"))))
-query("rank_metrics_all", f"{_GROUP_ALL} SELECT 'value' AS metric, round(avg(abs(auc - 0.5) + 0.5), 6) AS mean_auc, round(max(abs(auc - 0.5) + 0.5), 6) AS max_auc FROM c")(lambda spark, d: rounded(_groups(spark, d, "true").groupBy(F.lit("value").alias("metric")).agg(F.avg(F.abs(F.col("auc") - 0.5) + 0.5).alias("mean_auc"), F.max(F.abs(F.col("auc") - 0.5) + 0.5).alias("max_auc"))))
 simple("comparability", ", n AS (SELECT subject, count(*) AS n FROM pts GROUP BY subject) SELECT 'n_samples' AS axis, min(n) AS least, max(n) AS most, (max(n) - min(n))::DOUBLE / max(n) <= 0.05 AS ok FROM n", lambda p: R.unit_sizes(p).groupBy(F.lit("n_samples").alias("axis")).agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumn("ok", (F.col("most") - F.col("least")) / F.col("most") <= 0.05))
-simple("corr_sum", f", {_PAIRS}, r AS (SELECT unnest([0.5, 1.0, 2.0, 4.0, 8.0])::DOUBLE AS radius) SELECT subject, radius, CAST(sum((d <= radius)::INT) AS BIGINT) AS n, round(sum((d <= radius)::INT)::DOUBLE / count(*), 6) AS c FROM pairs CROSS JOIN r GROUP BY 1, 2", lambda p: R.pairs(p, ["value"], 1).withColumn("radius", F.explode(F.array(*[F.lit(x) for x in (0.5, 1.0, 2.0, 4.0, 8.0)]))).groupBy("subject", "radius").agg(F.count_if(F.col("d") <= F.col("radius")).alias("n"), F.avg((F.col("d") <= F.col("radius")).cast("double")).alias("c")))
+simple("corr_sum", f", {_PAIRS}, r AS (SELECT unnest([0.5, 1.0, 2.0, 4.0, 8.0])::DOUBLE AS radius) SELECT subject, radius, CAST(sum((d <= radius)::INT) AS BIGINT) AS n, round(sum((d <= radius)::INT)::DOUBLE / count(*), 6) AS c FROM pairs CROSS JOIN r GROUP BY 1, 2", lambda p: D.correlation_curve(p, ["value"], [0.5, 1.0, 2.0, 4.0, 8.0], counts=True))
 simple("nn_stats", f", {_PAIRS}, m AS (SELECT subject, i, min(d) AS d FROM pairs GROUP BY 1, 2) SELECT subject, round(avg(d), 6) AS nn_mean, round(stddev_pop(d) / avg(d), 6) AS nn_cv FROM m GROUP BY subject HAVING avg(d) > 0", lambda p: R.pairs(p, ["value"], 1).groupBy("subject", "i").agg(F.min("d").alias("d")).groupBy("subject").agg(F.avg("d").alias("nn_mean"), F.stddev_pop("d").alias("s")).where("nn_mean > 0").select("subject", "nn_mean", (F.col("s") / F.col("nn_mean")).alias("nn_cv")))
 query("corpus_join", "SELECT coalesce(d.doc_id, l.doc_id) AS subject, d.doc_id IS NOT NULL AS has_file, l.doc_id IS NOT NULL AS has_label, l.quality FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(True).alias("f")).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality", F.lit(True).alias("l")), "doc_id", "full").select(F.col("doc_id").alias("subject"), F.col("f").isNotNull().alias("has_file"), F.col("l").isNotNull().alias("has_label"), "quality"))
 
 
-@query("generate_systems")
-def _systems(spark, d):
-    """Trajectories of the named systems, one task each."""
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        name = pdf["system"].iloc[0]
-        x = kernels.integrate(name, 500)
-        return pd.DataFrame({"system": name, "i": np.arange(len(x)), "x": x[:, 0], "y": x[:, 1]})
-
-    names = spark.createDataFrame([(n,) for n in kernels.SYSTEMS], "system string")
-    return names.groupBy("system").applyInPandas(run, "system string, i long, x double, y double")
-
-
-@query("lyapunov")
-def _lyapunov(spark, d):
-    """Divergence curve of each subject's delay embedding."""
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        y = kernels.embed(pdf.sort_values("i")["value"].to_numpy(float), 3, 1)
-        c = kernels.divergence(y, 10) if len(y) > 40 else np.full(10, math.nan)
-        return pd.DataFrame({"subject": pdf["subject"].iloc[0], "step": np.arange(10), "log_distance": c})
-
-    return points(spark, d).select("subject", "i", "value").groupBy("subject").applyInPandas(run, "subject long, step long, log_distance double")
-
-
 # embedding choice, invariants, comparisons
 _NEAR = """, e AS (SELECT * FROM (SELECT subject, i, value AS x0, lead(value, 1) OVER w AS x1, lead(value, 2) OVER w AS x2 FROM pts WINDOW w AS (PARTITION BY subject ORDER BY i)) WHERE x2 IS NOT NULL),
 z AS (SELECT subject, sqrt(var_pop(x0) + var_pop(x1)) AS size FROM e GROUP BY subject),
@@ -353,20 +306,19 @@ simple("comodulogram", " ".join("SELECT subject, 'phase' AS phase_band, '{a}' AS
 simple("instantaneous_rate", ", t AS (SELECT subject, i, phase - lag(phase) OVER (PARTITION BY subject ORDER BY i) AS turn FROM pts), x AS (SELECT subject, i, coalesce(turn - 2 * pi() * round(turn / (2 * pi())), 0) AS step FROM t), y AS (SELECT *, lead(step) OVER (PARTITION BY subject ORDER BY i) AS a FROM x) SELECT subject, i, round((CASE WHEN i = 0 AND a IS NULL THEN 0 WHEN i = 0 THEN a WHEN a IS NULL THEN step ELSE (step + a) / 2 END) / (2 * pi()), 6)::DOUBLE AS rate FROM y", lambda p: D.instantaneous_rate(p, "phase"))
 
 
-def _course_values(spark, d, keep="i < 60"):
-    return points(spark, d).where(keep).groupBy("subject", F.expr("int(i div 20)").alias("window")).agg(F.round(F.avg("value"), 9).alias("value")).withColumn("metric", F.lit("mean"))
+def _course_values(spark, d):
+    return points(spark, d).groupBy("subject", F.expr("int(i div 20)").alias("window")).agg(F.round(F.avg("value"), 9).alias("value")).withColumn("metric", F.lit("mean"))
 
 
-def _course(spark, d, keep="i < 60"):
-    v = _course_values(spark, d, keep)
+def _course(spark, d):
+    v = _course_values(spark, d)
     units = v.select("subject", (F.col("subject") % 2).cast("int").alias("g")).distinct()
-    return I.group_timecourse(v, units, 200, 5)
+    return I.group_timecourse(v, units, 2000, 5)
 
 
 simple("cao_growth", f"{_NEAR} SELECT subject, 2 AS m, round(avg(more / d), 6) AS e, round(avg(abs(u - v)), 6) AS s FROM nn GROUP BY subject", lambda p: D.cao_ratios(p, "value", 2))
-query("group_timecourse", f"{_GROUP} SELECT 'mean' AS metric, win AS \"window\", CASE WHEN n_a >= 5 AND n_b >= 5 THEN round(auc, 6) END AS auc, n_a, n_b FROM c")(lambda spark, d: rounded(_course(spark, d)[0]))
-query("group_timecourse_all", f"{_GROUP.replace(' WHERE i < 60', '')} SELECT 'mean' AS metric, win AS \"window\", CASE WHEN n_a >= 5 AND n_b >= 5 THEN round(auc, 6) END AS auc, n_a, n_b FROM c")(lambda spark, d: rounded(_course(spark, d, "true")[0]))
-query("group_timecourse_summary")(lambda spark, d: rounded(_course(spark, d, "true")[1]))
+query("group_timecourse", f"{_GROUP.replace(' WHERE n_a >= 2 AND n_b >= 2', '')} SELECT 'mean' AS metric, win AS \"window\", CASE WHEN n_a >= 5 AND n_b >= 5 THEN round(auc, 6) END AS auc, n_a, n_b FROM c")(lambda spark, d: rounded(_course(spark, d)[0]))
+query("group_timecourse_summary")(lambda spark, d: rounded(_course(spark, d)[1]))
 
 
 @query("event_windows", "SELECT event_type, epoch_us(date_trunc('hour', ts)) AS start_us, count(*) AS n, CAST(count(*) - count(value) AS BIGINT) AS n_missing, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM events GROUP BY 1, 2")

@@ -32,13 +32,14 @@ def sniff_format(path: str) -> str:
     return kind
 
 
+#: parts of names that tell a role (fixed values)
+ROLE_PARTS = {"phase": ("phase", "phi", "ph"), "amplitude": ("amp", "amplitude", "env", "envelope"), "inst_freq": ("freq", "ifreq", "instfreq"), "state": ("cos", "sin")}
+
+
 def guess_role(name: str) -> str:
-    """Role by the name of a channel; raw where the name tells nothing."""
-    low = name.lower()
-    for role, hint in (("phase", r"^ph(ase|i)?(_|$)|_ph(ase|i)?$"), ("amplitude", r"amp|env"), ("inst_freq", r"freq"), ("state", r"^(cos|sin)(_|$)")):
-        if re.search(hint, low):
-            return role
-    return "raw"
+    """Role by the parts of a channel's name between underscores; raw where they tell nothing."""
+    parts = set(name.lower().split("_"))
+    return next((role for role, known in ROLE_PARTS.items() if parts & set(known)), "raw")
 
 
 def _stem(path: str) -> str:
