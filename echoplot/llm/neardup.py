@@ -10,8 +10,9 @@
    candidate pair lies inside one.
 4. A cluster's full shingle sets are shipped once, in blocks of bounded size, and pairs
    are confirmed there on full sets: best estimates first, and only while both sides are
-   in different components. In clusters of several blocks, what stays outside the largest
-   component then meets every block. So every candidate pair is in one component, refused
+   in different components. In clusters of several blocks, the first members of the
+   blocks' components meet, and what then stays outside the largest component meets every
+   block. So every candidate pair is in one component, refused
    on full sets, or clearly under the threshold, and no pairs are shipped.
 
 At 0.8 a pair misses all 32 bands of 4 rows with probability 5e-8, and the estimate of a
@@ -289,8 +290,13 @@ def _settled(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_b
     # 1. inside blocks: every candidate pair of a block is settled
     links = written(_linked(rows.select(F.xxhash64("cluster", "block").alias("key"), "id", "sig", "set", F.col("id").alias("comp"), F.lit(True).alias("first")), low, num, den), "links")
     if not rows.where("blocks > 1").isEmpty():
-        # 2. clusters of several blocks: what is outside a cluster's largest component meets every block
+        # 2. clusters of several blocks: of every component of a block, its first member meets the others', so that what
+        # hangs together is one component before anything meets every block
         large = rows.where("blocks > 1")
+        heads = large.join(components(links).where("node <> component").select(F.col("node").alias("id")), "id", "left_anti")
+        first = heads.select(F.xxhash64("cluster", F.expr("hash(id) % greatest(1, blocks div 64)")).alias("key"), "id", "sig", "set", F.col("id").alias("comp"), F.lit(True).alias("first"))
+        links = written(links.union(_linked(first, low, num, den)), "links")
+        # 3. what is outside a cluster's largest component then meets every block
         comp = written(components(links), "components")
         large = large.join(comp, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
         main = large.groupBy("cluster", "comp").count().groupBy(F.col("cluster").alias("__c")).agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
