@@ -1,23 +1,32 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 Every byte is decomposed into eight binary decisions; each decision node has a context
-tree over the bytes before it, up to DEPTH of them. A context's counts give a
-Krichevsky-Trofimov estimate; a node's weighted probability is half its own estimate's and
-half the product of its children's. Scoring mixes the estimates of all depths along the
-context path by the posterior weights that the training texts give; a path ends at the
-deepest context seen in training. Texts are lower-cased (A-Z); contexts start afresh, as
-zero bytes, in each text.
-
-The tree is sharded by the two last bytes: blocks ask each shard for their distinct
-(context, byte) strings, shards hold the deeper levels, and only the two top levels, at
-most 256 * 255 nodes, are merged and sent to all. Word counts of the base score go the
-same way. No table is limited in its rows, but DEPTH limits the contexts: at four bytes their
-number levels off on a large corpus, and longer words and passages that recur cannot lower
-the code length. README.md has the measured figures of a deeper tree.
+tree over the bytes before it. A context's counts give a Krichevsky-Trofimov estimate; a
+node's weighted probability is half its own estimate's and half the product of its
+children's. Scoring mixes the estimates of all depths along the context path by the
+posterior weights that the training texts give; a path ends at the deepest context seen in
+training. Texts are lower-cased (A-Z); contexts start afresh, as zero bytes, in each text.
+
+Depths: 0 to `depth` bytes one by one, for all contexts, and below them long contexts. A
+string of ANCHOR bytes whose hash is 0 modulo SPARSE is an anchor; the long context of a
+byte is the text from the start of the last whole anchor before it, ANCHOR bytes or more
+and REACH more at most. Long contexts that the training texts hold twice or more are
+children of their last `depth` bytes' context; what follows rarer ones, or no anchor, is
+one more child, since a context seen once tells nothing that its parent does not. So words
+and passages that recur anywhere in the training texts are learned at their own length, and
+what the model holds grows with the corpus.
+
+Rounds (see blocks.py): (a) blocks tell their anchors, and hear which occur twice; (b) for
+these they tell the strings that follow, and hear how often each long context and byte
+occur; (c) they tell their distinct (context, byte) strings of `depth` bytes, and words,
+and hear probabilities. Short contexts are sharded by their two last bytes, anchors by their
+hash; only the two top levels, at most 256 * 255 nodes, are merged and sent to all. Word
+counts of the base score go with (c). No table is limited.
 
 Null and empty texts score 0 bits and one end token; a null id is held out (its text form
-is empty); repeated rows count each time; without training texts every bit has
-probability one half; an empty table gives an empty result.
+is empty); repeated rows count each time; very long texts are scored whole; without training
+texts every bit has probability one half, and a decision that a long context has not met has
+it there; other columns of the input are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, answer, ask, blocks, bucket_count, groups, meet, packed, squeezed, unpacked, unsqueezed
-from .common import LOWER, U, RollingHash, mix, read, row_counts, words, written
+from .blocks import MESSAGE, Block, answer, ask, batch, blocks, bucket_count, by_bucket, groups, meet, packed, squeezed, unpacked, unsqueezed
+from .common import LOWER, U, RollingHash, mix, read, release, row_counts, words, written
 
 DEPTH = 4
-WORDS, GRAMS = 1, 2
+ANCHOR, SPARSE, REACH = 12, 16, 255
+#: kinds of messages; LONG and SPLIT go from shards of anchors to shards of short contexts
+WORDS, GRAMS, SEEN, STRINGS, LONG, SPLIT = 1, 2, 3, 4, 5, 6
 LOG2 = math.log(2)
 MASK = U(2**56 - 1)
 
@@ -56,84 +67,346 @@ def held_out(block: Block) -> np.ndarray:
     return np.array([zlib.crc32(b"" if m else str(i).encode()) % 10 == 0 for i, m in zip(block.ids.tolist(), block.missing, strict=True)], bool)
 
 
-def gram_keys(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+def gram_keys(raw: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
     """For each byte: the byte before it, the one before that, ... (most significant first), and itself last."""
     key = np.zeros(len(raw), U)
     row_start = np.repeat(off[:-1], np.diff(off))
     place = np.arange(len(raw)) - row_start
-    for back in range(1, DEPTH + 1):
-        before = np.zeros(len(raw), U)
+    early = np.flatnonzero(place < depth)
+    for back in range(1, depth + 1):
+        before = np.zeros(len(raw), np.uint8)
         before[back:] = raw[:-back] if back < len(raw) else raw[:0]
-        before[place < back] = 0
-        key = key << U(8) | before
-    return key << U(8) | raw.astype(U)
+        before[early[place[early] < back]] = 0
+        key <<= U(8)
+        key |= before
+    key <<= U(8)
+    key |= raw
+    return key
+
+
+def gram_bucket(key: np.ndarray, n: int, depth: int) -> np.ndarray:
+    return (mix(key >> U(8 * (depth - 1))) % U(n)).astype(np.int64)
+
+
+def distinct(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers under 2**width, and which of them each number is. Number and place are sorted as one."""
+    n = len(key)
+    bits = max(1, n.bit_length())
+    if not n or width + bits > 64:
+        return np.unique(key, return_inverse=True)
+    both = key << U(bits) | np.arange(n, dtype=U)
+    both.sort()
+    place = (both & U((1 << bits) - 1)).astype(np.int64)
+    both >>= U(bits)
+    new = np.ones(n, bool)
+    new[1:] = both[1:] != both[:-1]
+    which = np.empty(n, np.int32)
+    which[place] = np.cumsum(new, dtype=np.int32) - 1
+    return both[new], which
+
+
+class Anchors:
+    """Anchors of a stretch of whole documents: hash, row, and the bytes from begin to stop that they are the last anchor of."""
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray):
+        self.hash = RollingHash(raw)
+        gram = self.hash.grams(ANCHOR)
+        at = np.flatnonzero(gram & U(SPARSE - 1) == 0)
+        row = np.searchsorted(off, at, "right") - 1
+        inside = at + ANCHOR < off[row + 1]  # a byte at least comes after the anchor
+        at, self.row = at[inside], row[inside]
+        self.begin = at + ANCHOR
+        end = off[self.row + 1]
+        later = np.append(self.begin[1:], len(raw) + ANCHOR)
+        self.stop = np.minimum(np.minimum(later, end), self.begin + REACH)
+        self.key = gram[at] >> U(8)
+
+
+class Strings:
+    """What follows a block's repeated anchors: distinct strings ordered by bucket, anchor and hash, with training counts."""
+
+    def __init__(self, parts: list[Anchors], seen: np.ndarray, train: list[np.ndarray], n: int):
+        key = np.concatenate([p.key for p in parts]) if parts else np.zeros(0, U)
+        whole = np.concatenate([p.hash.spans(p.begin - ANCHOR, p.stop) for p in parts]) if parts else np.zeros(0, U)
+        self.asks = seen  # of the anchors of all parts
+        which = np.flatnonzero(seen)
+        key, whole = key[which], whole[which]
+        bucket = (mix(key) % U(n)).astype(np.int64)
+        order = np.lexsort((whole, key, bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = whole[order][1:] != whole[order][:-1]
+        self.of = np.zeros(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.key, self.bucket, self.first = key[first], bucket[first], which[first]
+        weight = np.concatenate(train) if train else np.zeros(0)
+        self.count = np.bincount(self.of, weight[which], len(first)).astype(np.uint32)
+
+
+class Long:
+    """A block's anchors and strings, as far as the rounds have come."""
+
+    def __init__(self, block: Block, train: np.ndarray, n: int):
+        self.block, self.n = block, n
+        self.parts, self.raws, self.train = [], [], []
+        for at, to in block.pieces():
+            raw, off = LOWER[block.raw[block.off[at] : block.off[to]]], block.off[at : to + 1] - block.off[at]
+            part = Anchors(raw, off)
+            self.parts.append(part)
+            self.raws.append(raw)
+            self.train.append(train[at:to][part.row].astype(float))
+        key = np.concatenate([p.key for p in self.parts]) if self.parts else np.zeros(0, U)
+        kind, which = np.unique(key, return_inverse=True)
+        bucket = (mix(kind) % U(n)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.zeros(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.kind, self.bucket, self.which = kind[order], bucket[order], place[which]
+        weight = np.concatenate(self.train) if self.train else np.zeros(0)
+        self.count = np.bincount(self.which, weight, len(kind)).astype(np.uint32)
+
+    def anchors(self, number: int) -> list[tuple]:
+        cut = np.searchsorted(self.bucket, np.arange(self.n + 1))
+        return [(number, SEEN, b, packed(squeezed(self.kind[cut[b] : cut[b + 1]]), self.count[cut[b] : cut[b + 1]])) for b in range(self.n) if cut[b + 1] > cut[b]]
+
+    def strings(self, by: dict) -> Strings:
+        seen = np.concatenate([unpacked(by[SEEN][b])[0] for b in sorted(by[SEEN])]) if by.get(SEEN) else np.zeros(len(self.kind), np.uint8)
+        return Strings(self.parts, seen[self.which].astype(bool), self.train, self.n)
+
+    def asked(self, number: int, s: Strings, depth: int) -> list[tuple]:
+        """The strings, each with the last `depth` bytes of its anchor before it."""
+        cut = np.searchsorted(s.bucket, np.arange(self.n + 1))
+        edge = np.concatenate([[0], np.cumsum([len(p.key) for p in self.parts])])
+        part = np.searchsorted(edge, s.first, "right") - 1
+        size, texts = np.zeros(len(s.first), np.int64), np.empty(len(s.first), object)
+        for k, p in enumerate(self.parts):
+            mine = np.flatnonzero(part == k)
+            own = s.first[mine] - edge[k]
+            size[mine] = p.stop[own] - p.begin[own]
+            raw = self.raws[k].tobytes()
+            texts[mine] = [raw[a - depth : b] for a, b in zip(p.begin[own], p.stop[own], strict=True)]
+        out = []
+        for b in range(self.n):
+            x = slice(cut[b], cut[b + 1])
+            if cut[b + 1] > cut[b]:
+                out.append((number, STRINGS, b, packed(squeezed(s.key[x]), s.count[x], size[x].astype(np.uint8), np.frombuffer(b"".join(texts[x]), np.uint8))))
+        return out
 
+    def met(self, by: dict, s: Strings):
+        """For each part: place and what is known of its bytes with a long context; uses, and rows of the eight estimates (or -1)."""
+        length, uses, splits = [], [], []
+        for b in sorted(by.get(STRINGS, {})):
+            one, n, est = unpacked(by[STRINGS][b])
+            length.append(one)
+            uses.append(n)
+            splits.append(est)
+        length = np.concatenate(length).astype(np.int64) if length else np.zeros(0, np.int64)
+        uses = np.concatenate(uses) if uses else np.zeros(0, np.uint32)
+        splits = np.concatenate(splits).reshape(-1, 8) if splits else np.zeros((0, 8), np.float32)
+        start = np.concatenate([[0], np.cumsum(length)])
+        row = np.cumsum(uses == 0) - 1
+        row[uses > 0] = -1
+        edge = np.concatenate([[0], np.cumsum([len(p.key) for p in self.parts])])
+        of = np.full(edge[-1], -1)
+        of[s.asks] = s.of
+        out = []
+        for k, p in enumerate(self.parts):
+            e = of[edge[k] : edge[k + 1]]
+            own = np.flatnonzero(e >= 0)
+            n = length[e[own]]
+            step = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n)
+            at = np.repeat(start[e[own]], n) + step
+            out.append((np.repeat(p.begin[own], n) + step, uses[at], row[at]))
+        return out, splits
+
+
+def reply_seen(rows: list[tuple]) -> list[tuple]:
+    """Which of the asked anchors the training texts hold twice or more."""
+    bucket = rows[0][2]
+    asked, _, total = _merged(rows, SEEN)
+    return [(block, SEEN, bucket, packed((total[which] > 1).astype(np.uint8))) for block, which in asked]
+
+
+def reply_strings(rows: list[tuple], n: int, depth: int) -> list[tuple]:
+    """For each asked string: how many of its bytes, from the first on, have a long context that occurs twice; of each such
+    byte, how often the context occurs if this byte always follows it, else 0 and the eight estimates of its own decisions.
+    For the shards of short contexts: sums of the log estimates of all long contexts, by short context and byte where one
+    byte always follows (LONG), by decision elsewhere (SPLIT)."""
+    bucket = rows[0][2]
+    got = [(block, *unpacked(data)) for block, _, _, data in rows]
+    key = np.concatenate([unsqueezed(x[1]) for x in got])
+    count, size = (np.concatenate([x[k] for x in got]).astype(np.int64) for k in (2, 3))
+    text = np.concatenate([x[4] for x in got])
+    begin = np.cumsum(size + depth) - size  # of the strings proper, in text
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    at = np.repeat(begin, size) + step
+    context = mix(RollingHash(text).spans(np.repeat(begin, size), at) + np.repeat(key, size) * U(0x9E3779B97F4A7C15))
+    kind, first, which = np.unique(context, return_index=True, return_inverse=True)
+    weight = np.repeat(count, size).astype(float)
+    total = np.bincount(which, weight, len(kind))
+    twice = total > 1
+    byte = text[at].astype(np.int64)
+    pair, pfirst, pwhich = np.unique(which * 256 + byte, return_index=True, return_inverse=True)
+    uses = np.bincount(pwhich, weight, len(pair))
+    followers = np.bincount(pair[uses > 0] // 256, minlength=len(kind))
+    alone = twice & (followers == 1)
+    always = alone[which] & (uses[pwhich] > 0)
+    held = twice[which]  # contexts of a string grow, so this holds for its first bytes only
+    length = np.add.reduceat(held, np.cumsum(size) - size) if len(size) else np.zeros(0, np.int64)
+    n_always = np.where(always, total[which], 0).astype(np.uint32)
+    # the eight decisions of bytes in contexts that split, and of bytes that a context has not met
+    loose = np.flatnonzero(held & ~always)
+    est = np.full((len(loose), 8), 0.5, np.float32)
+    short = np.zeros(len(kind), U)
+    for back in range(1, depth + 1):
+        short = short << U(8) | text[at[first] - back].astype(U)
+    split_keys, split_sums = [np.zeros(0, U)], [np.zeros(0)]
+    split = twice & (followers > 1)
+    mine = np.flatnonzero(split[pair // 256] & (uses > 0))
+    for bit in range(8):
+        node = pair[mine] // 256 << 8 | 1 << bit | pair[mine] % 256 >> (8 - bit)
+        names, where = np.unique(node, return_inverse=True)
+        one = (pair[mine] >> (7 - bit)) & 1
+        ones, zeros = np.bincount(where, uses[mine] * one, len(names)), np.bincount(where, uses[mine] * (1 - one), len(names))
+        split_keys.append(short[names >> 8] << U(8) | (names & 255).astype(U))
+        split_sums.append(log_kt(zeros, ones))
+        # of the loose bytes: those of split contexts find their node; others follow the one byte of their context as far as it goes
+        c, v = which[loose], byte[loose]
+        want = c << 8 | 1 << bit | v >> (8 - bit)
+        spot = np.minimum(np.searchsorted(names, want), max(0, len(names) - 1))
+        hit = (names[spot] == want) if len(names) else np.zeros(len(loose), bool)
+        o, z = (ones[spot], zeros[spot]) if len(names) else (np.zeros(len(loose)),) * 2
+        bit_one = (v >> (7 - bit)) & 1 > 0
+        est[hit, bit] = ((np.where(bit_one, o, z) + 0.5) / (o + z + 1))[hit]
+        straight = alone[c]
+        if straight.any():
+            sole = _sole(pair, uses, len(kind))[c]
+            along = straight & ((sole >> (8 - bit)) == (v >> (8 - bit)))
+            same = ((sole >> (7 - bit)) & 1 > 0) == bit_one
+            est[along, bit] = ((np.where(same, total[c], 0) + 0.5) / (total[c] + 1))[along]
+    # LONG: by short context and byte, over the contexts that one byte always follows
+    sole = _sole(pair, uses, len(kind))
+    steady = np.flatnonzero(alone)
+    name, where = np.unique(short[steady] << U(8) | sole[steady].astype(U), return_inverse=True)
+    sums = np.bincount(where, log_kt(np.zeros(len(steady)), total[steady]), len(name)) if len(steady) else np.zeros(0)
+    skey, where = np.unique(np.concatenate(split_keys), return_inverse=True)
+    ssum = np.bincount(where, np.concatenate(split_sums), len(skey)) if len(skey) else np.zeros(0)
+    out = []
+    for tag, k, v in ((LONG, name, sums), (SPLIT, skey, ssum)):
+        to = gram_bucket(k, n, depth)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(n + 1))
+        out += [(-2, tag, b, packed(squeezed(k[order[cut[b] : cut[b + 1]]]), v[order[cut[b] : cut[b + 1]]].astype(np.float32))) for b in range(n) if cut[b + 1] > cut[b]]
+    place = np.flatnonzero(held)
+    edge = np.concatenate([[0], np.cumsum([len(x[3]) for x in got])])
+    bytes_edge = np.concatenate([[0], np.cumsum(size)])[edge]
+    loose_at = np.searchsorted(loose, bytes_edge)
+    held_at = np.searchsorted(place, bytes_edge)
+    for j, x in enumerate(got):
+        p = place[held_at[j] : held_at[j + 1]]
+        out.append((x[0], STRINGS, bucket, packed(length[edge[j] : edge[j + 1]].astype(np.uint8), n_always[p], est[loose_at[j] : loose_at[j + 1]].ravel())))
+    return out
+
+
+def _sole(pair: np.ndarray, uses: np.ndarray, n: int) -> np.ndarray:
+    """The byte that follows each context, where there is one only."""
+    out = np.zeros(n, np.int64)
+    met = uses > 0
+    out[pair[met] // 256] = pair[met] % 256
+    return out
+
+
+class Grams:
+    """A block's distinct words and short contexts with bytes, each ordered by bucket and key, and where its pieces have them."""
+
+    def __init__(self, block: Block, train: np.ndarray, n: int, depth: int, long: Long, met: list):
+        self.pieces, word_parts, gram_parts = [], [], []
+        for k, (at, to) in enumerate(block.pieces()):
+            raw, off = long.raws[k], block.off[at : to + 1] - block.off[at]
+            start, stop, row = words(raw, off)
+            kind, which = np.unique(RollingHash(raw).spans(start, stop) & MASK, return_inverse=True) if len(start) else (np.zeros(0, U), np.zeros(0, np.int64))
+            word_parts.append((kind, np.bincount(which, train[at:to][row], len(kind)).astype(np.int64)))
+            place = met[k][0]
+            deep = np.zeros(len(raw), bool)
+            deep[place] = True
+            gkind, gwhich = distinct(gram_keys(raw, off, depth), 8 * (depth + 1))
+            learned = np.repeat(train[at:to], np.diff(off))
+            every = np.bincount(gwhich, learned, len(gkind))
+            rest = np.bincount(gwhich, learned & ~deep, len(gkind))
+            gram_parts.append((gkind, every, rest, np.bincount(gwhich[place], minlength=len(gkind)) > 0))
+            self.pieces.append((at, to, off, row, kind, which, gkind, gwhich, place))
+        self.word, (self.word_count,) = _summed(word_parts)
+        self.gram, (self.every, self.rest, deep) = _summed(gram_parts, 3)
+        self.deep = deep > 0
+        with np.errstate(over="ignore"):
+            self.word_bucket, self.gram_bucket = (mix(self.word) % U(n)).astype(np.int64), gram_bucket(self.gram, n, depth)
+        self.word_order, self.gram_order = np.argsort(self.word_bucket, kind="stable"), np.argsort(self.gram_bucket, kind="stable")
 
-def gram_bucket(key: np.ndarray, n: int) -> np.ndarray:
-    return (mix(key >> U(8 * (DEPTH - 1))) % U(n)).astype(np.int64)
+    def asked(self, number: int, n: int) -> list[tuple]:
+        out = []
+        o = self.word_order
+        cut = np.searchsorted(self.word_bucket[o], np.arange(n + 1))
+        out += [(number, WORDS, b, packed(squeezed(self.word[x]), self.word_count[x].astype(np.uint32))) for b in range(n) if len(x := o[cut[b] : cut[b + 1]])]
+        o = self.gram_order
+        cut = np.searchsorted(self.gram_bucket[o], np.arange(n + 1))
+        out += [(number, GRAMS, b, packed(squeezed(self.gram[x]), self.every[x].astype(np.uint32), (self.every - self.rest)[x].astype(np.uint32), self.deep[x].astype(np.uint8))) for b in range(n) if len(x := o[cut[b] : cut[b + 1]])]
+        return out
 
 
-def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and summed counts of several such lists."""
+def _summed(parts: list[tuple], columns: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys of several such lists, and their columns summed."""
     key = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, U)
-    count = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
     kind, which = np.unique(key, return_inverse=True)
-    return kind, np.bincount(which, count, len(kind)).astype(np.int64)
+    return kind, [np.bincount(which, np.concatenate([p[k + 1] for p in parts]), len(kind)).astype(np.int64) if parts else np.zeros(0, np.int64) for k in range(columns)]
 
 
-def block_keys(block: Block, train: np.ndarray, n: int) -> tuple:
-    """Distinct words and grams of a block with their training counts, each ordered by bucket and key."""
-    word_parts, gram_parts = [], []
-    with np.errstate(over="ignore"):
-        for at, to in block.pieces():
-            raw, off = LOWER[block.raw[block.off[at] : block.off[to]]], block.off[at : to + 1] - block.off[at]
-            start, stop, row = words(raw, off)
-            if len(start):
-                kind, which = np.unique(RollingHash(raw).spans(start, stop) & MASK, return_inverse=True)
-                word_parts.append((kind, np.bincount(which, train[at:to][row], len(kind)).astype(np.int64)))
-            kind, which = np.unique(gram_keys(raw, off), return_inverse=True)
-            gram_parts.append((kind, np.bincount(which, np.repeat(train[at:to], np.diff(off)), len(kind)).astype(np.int64)))
-        (w, wc), (g, gc) = _distinct(word_parts), _distinct(gram_parts)
-        wb, gb = (mix(w) % U(n)).astype(np.int64), gram_bucket(g, n)
-    wo, go = np.argsort(wb, kind="stable"), np.argsort(gb, kind="stable")
-    return w[wo], wc[wo], wb[wo], g[go], gc[go], gb[go]
-
-
-def _merged(rows: list[tuple], kind: int):
+def _merged(rows: list[tuple], kind: int, columns: int = 1):
     """Keys and total counts of a bucket's messages of a kind, and where each message's keys are."""
     got = [(block, *unpacked(data)) for block, k, _, data in rows if k == kind]
     keys = [unsqueezed(x[1]) for x in got]
     kinds, which = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
-    total = np.bincount(which, np.concatenate([x[2] for x in got]), len(kinds)).astype(np.int64) if keys else np.zeros(0, np.int64)
+    totals = [np.bincount(which, np.concatenate([x[2 + c] for x in got]), len(kinds)) if keys else np.zeros(0) for c in range(columns)]
     cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
-    return [(x[0], which[cut[i] : cut[i + 1]]) for i, x in enumerate(got)], kinds, total
+    return [(x[0], which[cut[i] : cut[i + 1]], *x[2 + columns :]) for i, x in enumerate(got)], kinds, *totals
 
 
 class Shard:
-    """Levels 2 to DEPTH of the context trees whose last two bytes fall into a bucket."""
+    """Levels 2 to `depth` of the context trees whose last two bytes fall into a bucket, and what lies below them."""
 
-    def __init__(self, key: np.ndarray, count: np.ndarray):
-        self.key, self.count = key, count.astype(float)
+    def __init__(self, rows: list[tuple], depth: int):
+        self.asked, self.key, self.count, deep = _merged(rows, GRAMS, 2)
+        self.depth, self.rest = depth, self.count - deep
+        _, name, sums = _merged(rows, LONG)
+        self.long = np.zeros(len(self.key))
+        if len(name):
+            self.long[np.searchsorted(self.key, name)] = sums
+        _, self.split_key, self.split_sum = _merged(rows, SPLIT)
 
     def level(self, bit: int, depth: int):
         """Nodes of one binary decision at one depth: index of each key's node, zeros, ones, a key of each node."""
         byte = self.key & U(255)
-        node = (self.key >> U(8 * (DEPTH + 1 - depth))) << U(8) | (U(1) << U(bit)) | byte >> U(8 - bit)
-        _, first, which = np.unique(node, return_index=True, return_inverse=True)
+        node = (self.key >> U(8 * (self.depth + 1 - depth))) << U(8) | (U(1) << U(bit)) | byte >> U(8 - bit)
+        names, first, which = np.unique(node, return_index=True, return_inverse=True)
         one = ((byte >> U(7 - bit)) & U(1)).astype(float)
-        return which, np.bincount(which, self.count * (1 - one)), np.bincount(which, self.count * one), first, one
+        return which, np.bincount(which, self.count * (1 - one)), np.bincount(which, self.count * one), first, one, names
 
     def levels(self, bit: int):
-        """Levels DEPTH down to 2, each with log estimates and weighted probabilities."""
+        """Levels `depth` down to 2, each with log estimates and weighted probabilities; and zeros and ones of what no long context holds."""
         out, below = {}, None
-        for depth in range(DEPTH, 1, -1):
-            which, zeros, ones, first, one = self.level(bit, depth)
+        for depth in range(self.depth, 1, -1):
+            which, zeros, ones, first, one, names = self.level(bit, depth)
             own = log_kt(zeros, ones)
             if below is None:
-                weighted = own
+                z, o = np.bincount(which, self.rest * (1 - one)), np.bincount(which, self.rest * one)
+                children = np.where(z + o > 0, log_kt(z, o), 0) + np.bincount(which, self.long)
+                spot = np.searchsorted(names, self.split_key)
+                mine = np.flatnonzero(self.split_key & U(255) >= U(1 << bit))
+                mine = mine[(self.split_key[mine] & U(255)) < U(2 << bit)]
+                np.add.at(children, spot[mine], self.split_sum[mine])
+                out["rest"] = z, o
             else:
                 children = np.bincount(which[below[3]], below[6], len(own))
-                weighted = np.logaddexp(own, children) - LOG2
+            weighted = np.logaddexp(own, children) - LOG2
             out[depth] = below = (which, zeros, ones, first, one, own, weighted)
         return out
 
@@ -142,34 +415,54 @@ class Shard:
         parts = []
         for bit in range(8):
             _, zeros, ones, first, _, _, weighted = self.levels(bit)[2]
-            last = (self.key[first] >> U(8 * DEPTH)).astype(np.int64)
+            last = (self.key[first] >> U(8 * self.depth)).astype(np.int64)
             node = (U(1) << U(bit) | (self.key[first] & U(255)) >> U(8 - bit)).astype(np.int64)
             kind, which = np.unique(last * 256 + node, return_inverse=True)
             parts.append(np.column_stack([kind, np.bincount(which, zeros), np.bincount(which, ones), np.bincount(which, weighted)]))
         return np.concatenate(parts)
 
-    def log10(self, top: Top) -> np.ndarray:
-        """log10 probability of each key's byte in its context."""
-        total = np.zeros(len(self.key))
-        last = (self.key >> U(8 * DEPTH)).astype(np.int64)
+    def told(self, top: Top) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each key's byte: log10 probability without a long context; and for each of its decisions, what the contexts down
+        to `depth` give, and the weight that is left for a long one."""
+        total, given, left = np.zeros(len(self.key)), np.zeros((8, len(self.key))), np.zeros((8, len(self.key)))
+        last = (self.key >> U(8 * self.depth)).astype(np.int64)
         for bit in range(8):
             levels = self.levels(bit)
-            one = levels[DEPTH][4]
+            one = levels[self.depth][4] > 0
             node = (U(1) << U(bit) | (self.key & U(255)) >> U(8 - bit)).astype(np.int64)
             # estimate, stop weight and presence of each depth on the path
             path = [(top.estimate0[node], top.stop0[node], np.ones(len(last), bool)), (top.estimate1[last, node], top.stop1[last, node], top.seen1[last, node])]
-            for depth in range(2, DEPTH + 1):
+            for depth in range(2, self.depth + 1):
                 which, zeros, ones, _, _, own, weighted = levels[depth]
-                stop = np.exp(own - LOG2 - weighted) if depth < DEPTH else np.ones(len(own))
-                path.append((((ones + 0.5) / (zeros + ones + 1))[which], stop[which], (zeros + ones > 0)[which]))
+                path.append((((ones + 0.5) / (zeros + ones + 1))[which], np.exp(own - LOG2 - weighted)[which], (zeros + ones > 0)[which]))
+            z, o = (x[levels[self.depth][0]] for x in levels["rest"])
             mass, p = np.ones(len(last)), np.zeros(len(last))
-            for d, (estimate, stop, _) in enumerate(path):
-                deeper = path[d + 1][2] if d < DEPTH else np.zeros(len(last), bool)
-                stop = np.where(deeper, np.minimum(stop, 1), 1.0)
-                p += mass * stop * estimate
-                mass = mass * (1 - stop)
-            total += np.log10(np.where(one > 0, p, 1 - p))
-        return total
+            for d, (estimate, stop, here) in enumerate(path):
+                own = np.where(one, estimate, 1 - estimate)
+                deeper = path[d + 1][2] if d < self.depth else z + o > 0
+                weight = np.minimum(stop, 1)
+                if d == self.depth:  # a long context is a child whose node has been seen
+                    given[bit] = p + mass * np.where(here, weight, 1.0) * own
+                    left[bit] = mass * np.where(here, 1 - weight, 0.0)
+                weight = np.where(deeper, weight, 1.0)
+                p = p + mass * weight * own
+                mass = mass * (1 - weight)
+            rest = (o + 0.5) / (z + o + 1)
+            p = p + mass * np.where(one, rest, 1 - rest)
+            total += np.log10(p)
+        return total, given, left
+
+
+def shortened(given: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """What contexts give as half floats: itself under one half, else minus what is missing from one beside `left`, so that
+    probabilities near 0 and near 1 both keep their three digits."""
+    return np.where(given < 0.5, given, -np.maximum(1 - given - left, 0)).astype(np.float16)
+
+
+def with_long(code: np.ndarray, left: np.ndarray, estimate: np.ndarray) -> np.ndarray:
+    """Probability of a decision from what short contexts give, the weight left, and a long context's estimate."""
+    code, left = code.astype(float), left.astype(float)
+    return np.where(np.signbit(code), 1 + code - left * (1 - estimate), code + left * estimate)
 
 
 class Top:
@@ -192,31 +485,52 @@ class Top:
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """One row per row of docs; see SCHEMA."""
+def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """One row per row of docs; see SCHEMA. depth: of the short contexts, 2 to 6 bytes."""
+    if not 2 <= depth <= 6:
+        raise ValueError("depth lies within 2 and 6")
     table = blocks(docs)
-    n = bucket_count(docs)
+    n = bucket_count(table)
+
+    def send_anchors(number: int, block: Block) -> list[tuple]:
+        with np.errstate(over="ignore"):
+            return Long(block, ~held_out(block), n).anchors(number)
 
-    def send(number: int, block: Block) -> list[tuple]:
+    seen = answer(ask(table, send_anchors), n, reply_seen)
+
+    def send_strings(number: int, block: Block, by: dict):
+        with np.errstate(over="ignore"):
+            long = Long(block, ~held_out(block), n)
+            yield batch(long.asked(number, long.strings(by), depth))
+
+    def strings_told(rows: list[tuple]) -> list[tuple]:
+        with np.errstate(over="ignore"):
+            return reply_strings(rows, n, depth)
+
+    known = seen.union(answer(meet(table, seen, n, send_strings, MESSAGE), n, strings_told))
+
+    def so_far(block: Block, by: dict):
         train = ~held_out(block)
-        w, wc, wb, g, gc, gb = block_keys(block, train, n)
-        out = []
-        for kind, key, count, bucket in ((WORDS, w, wc, wb), (GRAMS, g, gc, gb)):
-            cut = np.searchsorted(bucket, np.arange(n + 1))
-            out += [(number, kind, b, packed(squeezed(key[cut[b] : cut[b + 1]]), count[cut[b] : cut[b + 1]])) for b in range(n) if cut[b + 1] > cut[b]]
-        return out
+        with np.errstate(over="ignore"):
+            long = Long(block, train, n)
+            met, splits = long.met(by, long.strings(by))
+            return Grams(block, train, n, depth, long, met), met, splits
+
+    def send_grams(number: int, block: Block, by: dict):
+        yield batch(so_far(block, by)[0].asked(number, n))
 
-    asked = written(ask(table, send), "asked")
+    asked = written(meet(table, known, n, send_grams, MESSAGE), "asked").union(known.where("block = -2"))
+    release(docs.sparkSession)
 
     def tops(batches):
         for rows in groups(batches, 2):
-            _, key, count = _merged(rows, GRAMS)
-            t = Shard(key, count).tops()
+            t = Shard(rows, depth).tops()
             yield pa.RecordBatch.from_arrays([pa.array(t[:, 0].astype(np.int64)), *(pa.array(t[:, c]) for c in (1, 2, 3))], ["node", "zeros", "ones", "weighted"])
 
-    grams = asked.where(f"kind = {GRAMS}").repartition(n, "bucket").sortWithinPartitions("bucket", "block")
+    grams = by_bucket(asked.where(f"kind <> {WORDS}"), n)
     top_rows = grams.mapInArrow(tops, "node long, zeros double, ones double, weighted double").groupBy("node").agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"), F.sum("weighted").alias("w")).orderBy("node").toPandas()
     top = docs.sparkSession.sparkContext.broadcast(Top(top_rows.to_numpy(float).reshape(-1, 4)))
+    release(docs.sparkSession)
 
     def reply(rows: list[tuple]) -> list[tuple]:
         bucket, out = rows[0][2], []
@@ -224,10 +538,12 @@ def score(docs: DataFrame) -> DataFrame:
         out += [(block, WORDS, bucket, packed(count[which].astype(np.int64))) for block, which in asked_w]
         # block -1: the bucket's own numbers of distinct training words and of their uses
         out.append((-1, WORDS, bucket, packed(np.array([(count > 0).sum(), count.sum()], np.int64))))
-        asked_g, key, count = _merged(rows, GRAMS)
-        if len(key):
-            p = Shard(key, count).log10(top.value).astype(np.float32)
-            out += [(block, GRAMS, bucket, packed(p[which])) for block, which in asked_g]
+        shard = Shard(rows, depth)
+        if len(shard.key):
+            p, given, left = shard.told(top.value)
+            for block, which, deep in shard.asked:
+                mine = which[deep > 0]
+                out.append((block, GRAMS, bucket, packed(p[which].astype(np.float32), shortened(given[:, mine], left[:, mine]).ravel(), left[:, mine].astype(np.float16).ravel())))
         return out
 
     # both kinds of a bucket in one task
@@ -239,45 +555,54 @@ def score(docs: DataFrame) -> DataFrame:
                 v, c = unpacked(data.as_py())[0]
                 yield pa.RecordBatch.from_arrays([pa.array([int(v)]), pa.array([int(c)])], ["v", "c"])
 
-    sums = answers.where("block < 0").mapInArrow(summary, "v long, c long").agg(F.sum("v"), F.sum("c")).first()
+    sums = answers.where("block = -1").mapInArrow(summary, "v long, c long").agg(F.sum("v"), F.sum("c")).first()
     ends = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 != 0).count()
     total, kinds = int(sums[1] or 0) + ends, int(sums[0] or 0) + (ends > 0)
     floor = total + 0.1 * (kinds + 1)
 
     def finish(number: int, block: Block, by: dict):
         out_of = held_out(block)
-        w, _, wb, g, _, gb = block_keys(block, ~out_of, n)
-
-        def told(kind, kind_dtype):
-            parts = [unpacked(by[kind][b])[0] for b in sorted(by.get(kind, {}))]
-            return np.concatenate(parts) if parts else np.zeros(0, kind_dtype)
-
-        wc, gp = told(WORDS, np.int64), told(GRAMS, np.float32).astype(float)
-        wo, go = np.argsort(w), np.argsort(g)
-        w, wc, g, gp = w[wo], wc[wo], g[go], gp[go]
+        g, met, splits = so_far(block, by)
+        told = [unpacked(by[WORDS][b])[0] for b in sorted(by.get(WORDS, {}))]
+        wc = np.zeros(len(g.word), np.int64)
+        wc[g.word_order] = np.concatenate(told) if told else np.zeros(0, np.int64)
+        told = [unpacked(by[GRAMS][b]) for b in sorted(by.get(GRAMS, {}))]
+        gp = np.zeros(len(g.gram))
+        gp[g.gram_order] = np.concatenate([t[0] for t in told]) if told else np.zeros(0)
+        deep_order = g.gram_order[g.deep[g.gram_order]]
+        given, left = np.zeros((8, len(g.gram)), np.float16), np.zeros((8, len(g.gram)), np.float16)
+        if told:
+            given[:, deep_order] = np.concatenate([t[1].reshape(8, -1) for t in told], axis=1)
+            left[:, deep_order] = np.concatenate([t[2].reshape(8, -1) for t in told], axis=1)
         size = len(block.ids)
-        n_words, known, base, log10 = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
-        with np.errstate(over="ignore"):
-            for at, to in block.pieces():
-                raw, off = LOWER[block.raw[block.off[at] : block.off[to]]], block.off[at : to + 1] - block.off[at]
-                start, stop, row = words(raw, off)
-                if len(start):
-                    c = wc[np.searchsorted(w, RollingHash(raw).spans(start, stop) & MASK)]
-                    n_words[at:to] = row_counts(row, to - at)
-                    known[at:to] = np.bincount(row[c > 0], minlength=to - at)
-                    base[at:to] = np.bincount(row, np.log10((c + 0.1) / floor), to - at)
-                if len(raw):
-                    p = gp[np.searchsorted(g, gram_keys(raw, off))]
-                    log10[at:to] = np.bincount(np.repeat(np.arange(to - at), np.diff(off)), p, to - at)
+        n_words, known_words, base, log10 = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
+        for (at, to, off, row, kind, which, gkind, gwhich, place), (_, uses, split) in zip(g.pieces, met, strict=True):
+            if len(kind):
+                c = wc[np.searchsorted(g.word, kind)][which]
+                n_words[at:to] = row_counts(row, to - at)
+                known_words[at:to] = np.bincount(row[c > 0], minlength=to - at)
+                base[at:to] = np.bincount(row, np.log10((c + 0.1) / floor), to - at)
+            if len(gkind):
+                spot = np.searchsorted(g.gram, gkind)
+                p = gp[spot][gwhich]
+                if len(place):
+                    own = spot[gwhich[place]]
+                    sure = (uses + 0.5) / (uses + 1.0)
+                    found = np.zeros(len(place))
+                    for bit in range(8):
+                        e = np.where(split >= 0, splits[np.maximum(split, 0), bit] if len(splits) else 0.5, sure)
+                        found += np.log10(with_long(given[bit, own], left[bit, own], e))
+                    p[place] = found
+                log10[at:to] = np.bincount(np.repeat(np.arange(to - at), np.diff(off)), p, to - at)
         base += math.log10((ends + 0.1) / floor)
         length = np.diff(block.off)
         ids = pa.array(block.ids, mask=block.missing.astype(bool))
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(out_of), pa.array(n_words + 1), pa.array(known + (ends > 0)), pa.array(np.full(size, total)), pa.array(base), pa.array(log10), pa.array(-log10 / math.log10(2) / np.maximum(length, 1))],
+            [ids, pa.array(out_of), pa.array(n_words + 1), pa.array(known_words + (ends > 0)), pa.array(np.full(size, total)), pa.array(base), pa.array(log10), pa.array(-log10 / math.log10(2) / np.maximum(length, 1))],
             [x.split()[0] for x in SCHEMA.split(", ")],
         )
 
-    return meet(table, answers, n, finish, SCHEMA)
+    return meet(table, known.union(answers), n, finish, SCHEMA)
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
