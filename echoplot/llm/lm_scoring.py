@@ -106,11 +106,12 @@ def distinct(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Anchors:
-    """Anchors of a stretch of whole documents: hash, row, and the bytes from begin to stop that they are the last anchor of."""
+    """Anchors of a stretch of whole documents: hash, row, the bytes from begin to stop that they are the last anchor of,
+    and the hash of anchor and bytes."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray):
-        self.hash = RollingHash(raw)
-        gram = self.hash.grams(ANCHOR)
+        sums = RollingHash(raw)
+        gram = sums.grams(ANCHOR)
         at = np.flatnonzero(gram & U(SPARSE - 1) == 0)
         row = np.searchsorted(off, at, "right") - 1
         inside = at + ANCHOR < off[row + 1]  # a byte at least comes after the anchor
@@ -120,6 +121,7 @@ class Anchors:
         later = np.append(self.begin[1:], len(raw) + ANCHOR)
         self.stop = np.minimum(np.minimum(later, end), self.begin + REACH)
         self.key = gram[at] >> U(8)
+        self.whole = sums.spans(at, self.stop)
 
 
 class Strings:
@@ -127,7 +129,7 @@ class Strings:
 
     def __init__(self, parts: list[Anchors], seen: np.ndarray, train: list[np.ndarray], n: int):
         key = np.concatenate([p.key for p in parts]) if parts else np.zeros(0, U)
-        whole = np.concatenate([p.hash.spans(p.begin - ANCHOR, p.stop) for p in parts]) if parts else np.zeros(0, U)
+        whole = np.concatenate([p.whole for p in parts]) if parts else np.zeros(0, U)
         self.asks = seen  # of the anchors of all parts
         which = np.flatnonzero(seen)
         key, whole = key[which], whole[which]
@@ -227,85 +229,107 @@ def reply_seen(rows: list[tuple]) -> list[tuple]:
     return [(block, SEEN, bucket, packed((total[which] > 1).astype(np.uint8))) for block, which in asked]
 
 
-def reply_strings(rows: list[tuple], n: int, depth: int) -> list[tuple]:
+def reply_strings(rows: list[tuple], n: int, depth: int, most: int = 400_000) -> list[tuple]:
     """For each asked string: how many of its bytes, from the first on, have a long context that occurs twice; of each such
     byte, how often the context occurs if this byte always follows it, else 0 and the eight estimates of its own decisions.
     For the shards of short contexts: sums of the log estimates of all long contexts, by short context and byte where one
-    byte always follows (LONG), by decision elsewhere (SPLIT)."""
+    byte always follows (LONG), by decision elsewhere (SPLIT). Anchors are taken some at a time, `most` bytes or one anchor."""
     bucket = rows[0][2]
     got = [(block, *unpacked(data)) for block, _, _, data in rows]
     key = np.concatenate([unsqueezed(x[1]) for x in got])
     count, size = (np.concatenate([x[k] for x in got]).astype(np.int64) for k in (2, 3))
     text = np.concatenate([x[4] for x in got])
     begin = np.cumsum(size + depth) - size  # of the strings proper, in text
-    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    at = np.repeat(begin, size) + step
-    context = mix(RollingHash(text).spans(np.repeat(begin, size), at) + np.repeat(key, size) * U(0x9E3779B97F4A7C15))
+    sums = RollingHash(text)
+    order = np.argsort(key, kind="stable")
+    load = np.cumsum(size[order])
+    new = np.flatnonzero(np.append(key[order][1:] != key[order][:-1], True)) + 1  # where anchors end
+    length, held_from, loose_from, loose_count = (np.zeros(len(key), np.int64) for _ in range(4))
+    uses, estimates, long, split = [np.zeros(0, np.uint32)], [np.zeros((0, 8), np.float32)], [], []
+    at = n_held = n_loose = 0
+    while at < len(order):
+        to = int(np.searchsorted(load, (load[at - 1] if at else 0) + most, "right"))
+        to = int(new[np.searchsorted(new, max(to, at + 1))])
+        e = order[at:to]
+        at = to
+        one = contexts(sums, text, key[e], count[e], size[e], begin[e], depth)
+        length[e], loose_count[e] = one[0], one[3]
+        held_from[e], loose_from[e] = n_held + np.cumsum(one[0]) - one[0], n_loose + np.cumsum(one[3]) - one[3]
+        n_held, n_loose = n_held + len(one[1]), n_loose + len(one[2])
+        uses.append(one[1])
+        estimates.append(one[2])
+        long.append(one[4])
+        split.append(one[5])
+    uses, estimates = np.concatenate(uses), np.concatenate(estimates)
+    out = []
+    for tag, parts in ((LONG, long), (SPLIT, split)):
+        k, where = np.unique(np.concatenate([np.zeros(0, U), *[x[0] for x in parts]]), return_inverse=True)
+        v = np.bincount(where, np.concatenate([np.zeros(0), *[x[1] for x in parts]]), len(k)) if len(k) else np.zeros(0)
+        to = gram_bucket(k, n, depth)
+        o = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[o], np.arange(n + 1))
+        out += [(-2, tag, b, packed(squeezed(k[o[cut[b] : cut[b + 1]]]), v[o[cut[b] : cut[b + 1]]].astype(np.float32))) for b in range(n) if cut[b + 1] > cut[b]]
+    edge = np.concatenate([[0], np.cumsum([len(x[3]) for x in got])])
+    for j, x in enumerate(got):
+        mine = slice(edge[j], edge[j + 1])
+        out.append((x[0], STRINGS, bucket, packed(length[mine].astype(np.uint8), uses[_ranges(held_from[mine], length[mine])], estimates[_ranges(loose_from[mine], loose_count[mine])].ravel())))
+    return out
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one after another."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+def contexts(sums: RollingHash, text: np.ndarray, key: np.ndarray, count: np.ndarray, size: np.ndarray, begin: np.ndarray, depth: int) -> tuple:
+    """Of strings after whole anchors: bytes in contexts that occur twice; for each such byte the context's uses if it always
+    follows, else 0; estimates of the others' decisions, and how many of them each string has; (keys, sums) of LONG and of SPLIT."""
+    at = _ranges(begin, size)
+    context = mix(sums.spans(np.repeat(begin, size), at) + np.repeat(key, size) * U(0x9E3779B97F4A7C15))
     kind, first, which = np.unique(context, return_index=True, return_inverse=True)
     weight = np.repeat(count, size).astype(float)
     total = np.bincount(which, weight, len(kind))
     twice = total > 1
     byte = text[at].astype(np.int64)
-    pair, pfirst, pwhich = np.unique(which * 256 + byte, return_index=True, return_inverse=True)
-    uses = np.bincount(pwhich, weight, len(pair))
-    followers = np.bincount(pair[uses > 0] // 256, minlength=len(kind))
+    pair, pwhich = np.unique(which * 256 + byte, return_inverse=True)
+    met = np.bincount(pwhich, weight, len(pair))
+    followers = np.bincount(pair[met > 0] >> 8, minlength=len(kind))
     alone = twice & (followers == 1)
-    always = alone[which] & (uses[pwhich] > 0)
+    always = alone[which] & (met[pwhich] > 0)
     held = twice[which]  # contexts of a string grow, so this holds for its first bytes only
-    length = np.add.reduceat(held, np.cumsum(size) - size) if len(size) else np.zeros(0, np.int64)
-    n_always = np.where(always, total[which], 0).astype(np.uint32)
+    string = np.repeat(np.arange(len(size)), size)
+    length = np.bincount(string[held], minlength=len(size))
+    uses = np.where(always, total[which], 0).astype(np.uint32)[held]
     # the eight decisions of bytes in contexts that split, and of bytes that a context has not met
     loose = np.flatnonzero(held & ~always)
+    c, v = which[loose], byte[loose]
     est = np.full((len(loose), 8), 0.5, np.float32)
     short = np.zeros(len(kind), U)
     for back in range(1, depth + 1):
         short = short << U(8) | text[at[first] - back].astype(U)
-    split_keys, split_sums = [np.zeros(0, U)], [np.zeros(0)]
-    split = twice & (followers > 1)
-    mine = np.flatnonzero(split[pair // 256] & (uses > 0))
+    sole = _sole(pair, met, len(kind))
+    keys, logs = [], []
+    mine = np.flatnonzero((twice & (followers > 1))[pair >> 8] & (met > 0))
     for bit in range(8):
-        node = pair[mine] // 256 << 8 | 1 << bit | pair[mine] % 256 >> (8 - bit)
+        node = pair[mine] >> 8 << 8 | 1 << bit | (pair[mine] & 255) >> (8 - bit)
         names, where = np.unique(node, return_inverse=True)
         one = (pair[mine] >> (7 - bit)) & 1
-        ones, zeros = np.bincount(where, uses[mine] * one, len(names)), np.bincount(where, uses[mine] * (1 - one), len(names))
-        split_keys.append(short[names >> 8] << U(8) | (names & 255).astype(U))
-        split_sums.append(log_kt(zeros, ones))
-        # of the loose bytes: those of split contexts find their node; others follow the one byte of their context as far as it goes
-        c, v = which[loose], byte[loose]
-        want = c << 8 | 1 << bit | v >> (8 - bit)
-        spot = np.minimum(np.searchsorted(names, want), max(0, len(names) - 1))
-        hit = (names[spot] == want) if len(names) else np.zeros(len(loose), bool)
-        o, z = (ones[spot], zeros[spot]) if len(names) else (np.zeros(len(loose)),) * 2
+        ones, zeros = np.bincount(where, met[mine] * one, len(names)), np.bincount(where, met[mine] * (1 - one), len(names))
+        keys.append(short[names >> 8] << U(8) | (names & 255).astype(U))
+        logs.append(log_kt(zeros, ones))
+        # a loose byte finds its node if its context splits; else it goes with its context's one byte as far as that goes
         bit_one = (v >> (7 - bit)) & 1 > 0
-        est[hit, bit] = ((np.where(bit_one, o, z) + 0.5) / (o + z + 1))[hit]
-        straight = alone[c]
-        if straight.any():
-            sole = _sole(pair, uses, len(kind))[c]
-            along = straight & ((sole >> (8 - bit)) == (v >> (8 - bit)))
-            same = ((sole >> (7 - bit)) & 1 > 0) == bit_one
-            est[along, bit] = ((np.where(same, total[c], 0) + 0.5) / (total[c] + 1))[along]
-    # LONG: by short context and byte, over the contexts that one byte always follows
-    sole = _sole(pair, uses, len(kind))
+        if len(names):
+            want = c << 8 | 1 << bit | v >> (8 - bit)
+            spot = np.minimum(np.searchsorted(names, want), len(names) - 1)
+            hit = names[spot] == want
+            est[hit, bit] = ((np.where(bit_one, ones[spot], zeros[spot]) + 0.5) / (ones[spot] + zeros[spot] + 1))[hit]
+        along = alone[c] & (sole[c] >> (8 - bit) == v >> (8 - bit))
+        same = ((sole[c] >> (7 - bit)) & 1 > 0) == bit_one
+        est[along, bit] = ((np.where(same, total[c], 0) + 0.5) / (total[c] + 1))[along]
     steady = np.flatnonzero(alone)
-    name, where = np.unique(short[steady] << U(8) | sole[steady].astype(U), return_inverse=True)
-    sums = np.bincount(where, log_kt(np.zeros(len(steady)), total[steady]), len(name)) if len(steady) else np.zeros(0)
-    skey, where = np.unique(np.concatenate(split_keys), return_inverse=True)
-    ssum = np.bincount(where, np.concatenate(split_sums), len(skey)) if len(skey) else np.zeros(0)
-    out = []
-    for tag, k, v in ((LONG, name, sums), (SPLIT, skey, ssum)):
-        to = gram_bucket(k, n, depth)
-        order = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[order], np.arange(n + 1))
-        out += [(-2, tag, b, packed(squeezed(k[order[cut[b] : cut[b + 1]]]), v[order[cut[b] : cut[b + 1]]].astype(np.float32))) for b in range(n) if cut[b + 1] > cut[b]]
-    place = np.flatnonzero(held)
-    edge = np.concatenate([[0], np.cumsum([len(x[3]) for x in got])])
-    bytes_edge = np.concatenate([[0], np.cumsum(size)])[edge]
-    loose_at = np.searchsorted(loose, bytes_edge)
-    held_at = np.searchsorted(place, bytes_edge)
-    for j, x in enumerate(got):
-        p = place[held_at[j] : held_at[j + 1]]
-        out.append((x[0], STRINGS, bucket, packed(length[edge[j] : edge[j + 1]].astype(np.uint8), n_always[p], est[loose_at[j] : loose_at[j + 1]].ravel())))
-    return out
+    name = short[steady] << U(8) | sole[steady].astype(U)
+    return length, uses, est, np.bincount(string[loose], minlength=len(size)), (name, log_kt(np.zeros(len(steady)), total[steady])), (np.concatenate(keys), np.concatenate(logs))
 
 
 def _sole(pair: np.ndarray, uses: np.ndarray, n: int) -> np.ndarray:

@@ -1,4 +1,7 @@
-"""Repeated 50-byte strings across documents, by prefix doubling on sampled positions.
+"""Repeated 50-byte strings across documents: prefix doubling's ranks on sampled positions, by exact hash classes.
+
+`doubled` is plain prefix doubling with sorts over every position; `repeated`, which the query uses, keeps its idea of
+comparing longer and longer strings by pairs of ranks and of dropping unique ones, but not its sorts:
 
 Ranks stand for equality classes of byte strings, positions for where they start; a round
 groups (rank, rank at an offset) pairs of the live positions and leaves out those that are
@@ -19,7 +22,8 @@ Blocks of documents ask for their distinct entries (see blocks.py), so a string
 the corpus is one entry a block. Ranks are 64-bit and wider hashes, used in pairs.
 
 A null text is empty; a null id is larger than all others; rows of equal id do not remove
-each other's text; an empty table gives an empty result.
+each other's text; very long texts are taken whole, in blocks of their own; other columns of
+the input are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from .blocks import Block, answer, ask, blocks, bucket_count, meet, packed, squeezed, unpacked, unsqueezed
-from .common import U, RollingHash, mix, read
+from .blocks import MESSAGE, Block, answer, ask, batch, blocks, bucket_count, meet, packed, squeezed, unpacked, unsqueezed
+from .common import U, RollingHash, chunks, mix, read, written
 
 LENGTH, ANCHOR = 50, 24
 RUNS, WINDOWS = 1, 2
@@ -170,7 +175,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def repeated(docs: DataFrame) -> DataFrame:
     """One row per row of docs; see SCHEMA."""
     table = blocks(docs)
-    n = bucket_count(docs)
+    n = bucket_count(table)
 
     def send(number: int, block: Block) -> list[tuple]:
         with np.errstate(over="ignore"):
@@ -180,15 +185,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     runs = answer(ask(table, send), n, _reply)
 
     def send_windows(number: int, block: Block, answers: dict):
-        from .blocks import batch
-
         with np.errstate(over="ignore"):
             v = View(block, n)
             entries, _, _ = v.windows(v.judged(answers)[1])
             yield batch(entries.messages(number, WINDOWS, n, v.ids))
 
-    from .blocks import MESSAGE
-
     windows = answer(meet(table, runs, n, send_windows, MESSAGE), n, _reply)
 
     def finish(number: int, block: Block, answers: dict):
@@ -226,6 +227,56 @@ def repeated(docs: DataFrame) -> DataFrame:
     return meet(table, runs.union(windows), n, finish, SCHEMA)
 
 
+def doubled(docs: DataFrame, first: int = 16) -> DataFrame:
+    """The same rows by plain prefix doubling over every position: Spark sorts (rank, rank at an offset) of the live
+    positions for lengths 16, 32 and 50, ranks them anew, and drops the unique ones.
+
+    One round ships every live position several times, so this is for corpora whose repeats are wanted once and for
+    checking the sampled path; README.md has the measured figures. Rows must differ in doc_id."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def start(batches):
+        for rows, raw, off in chunks(batches, "text"):
+            with np.errstate(over="ignore"):
+                gram = RollingHash(raw).grams(first)
+            row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(gram)]
+            place = np.arange(len(gram)) - off[row]
+            inside = np.flatnonzero(place + first <= np.diff(off)[row])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row[inside])), pa.array(place[inside]), pa.array(gram[inside].astype(np.int64))], ["doc_id", "p", "r"])
+
+    live = slim.mapInArrow(start, "doc_id long, p long, r long")
+    length = first
+    while True:
+        # rank anew: positions of one rank in more than one document live on
+        by = Window.partitionBy("r").orderBy("doc_id")
+        ranked = live.withColumn("least", F.first("doc_id").over(by)).withColumn("most", F.last("doc_id").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        live = written(ranked.where("least < most").select("doc_id", "p", "r", "least"), "live")
+        if length == LENGTH:
+            break
+        step = min(length, LENGTH - length)
+        later = live.select(F.col("doc_id").alias("d2"), (F.col("p") - step).alias("p2"), F.col("r").alias("r2"))
+        live = live.join(later, (F.col("doc_id") == F.col("d2")) & (F.col("p") == F.col("p2"))).select("doc_id", "p", F.xxhash64("r", "r2").alias("r"))
+        length += step
+    gone = live.where("doc_id > least").select("doc_id", "p")
+    spans = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("p"))  # of one document
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for text, places in zip(batch.column(1), batch.column(2), strict=True):
+                raw = np.frombuffer(text.as_py().encode(), np.uint8)
+                step = np.zeros(len(raw) + 1, np.int64)
+                at = np.array(places.as_py() or [], np.int64)
+                np.add.at(step, at, 1)
+                np.add.at(step, at + LENGTH, -1)
+                cover = np.cumsum(step[:-1]) > 0
+                runs = int((cover & ~np.concatenate([[False], cover[:-1]])).sum()) if len(raw) else 0
+                out.append((len(raw), int(cover.sum()), runs, hashlib.sha256(raw[~cover].tobytes()).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], pa.string() if k == 3 else pa.int64()) for k in range(4))], [x.split()[0] for x in SCHEMA.split(", ")])
+
+    return slim.join(spans, "doc_id", "left").mapInArrow(cut, SCHEMA)
+
+
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated(read(spark, sf_dir, "documents"))
 

@@ -314,6 +314,15 @@ def test_texts_over_many_chunks_and_blocks(spark):
     assert {r.doc_id: r.n_words for r in quality_rules.repetition(df).collect()}[1] == 1_200_000
 
 
+def test_plain_prefix_doubling_agrees(spark):
+    rng = np.random.default_rng(21)
+    base = make(rng, 60)
+    texts = [base, make(rng, 20) + base[30:140], base[:49], base[:50], base[10:61] + "x" + base[62:120], None, "", "z" * 120, "zz" * 40, base + base, make(rng, 50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    told = lambda d: sorted(tuple(r) for r in d.collect())
+    assert told(substring_dedup.doubled(df)) == told(substring_dedup.repeated(df))
+
+
 def labelled(rng, n=240):
     """Clean, low-quality and toxic texts with labels on two thirds of them."""
     rows, labels = [], []
