@@ -43,7 +43,7 @@ from .blocks import MESSAGE, Block, answer, ask, batch, blocks, bucket_count, by
 from .common import LOWER, U, RollingHash, mix, read, release, row_counts, words, written
 
 DEPTH = 4
-ANCHOR, SPARSE, REACH = 12, 16, 255
+ANCHOR, SPARSE, REACH = 20, 32, 255
 #: kinds of messages; LONG and SPLIT go from shards of anchors to shards of short contexts
 WORDS, GRAMS, SEEN, STRINGS, LONG, SPLIT = 1, 2, 3, 4, 5, 6
 LOG2 = math.log(2)
