@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import environment_stamp, get_config, output_path, set_config
 from ..records import Record, provenance_frame
@@ -18,6 +19,8 @@ def set_output_dir(path: str) -> str:
 
 
 def _csv(df: DataFrame, path: str, one: bool = False) -> str:
+    """Arrays, maps and structs become JSON text, as CSV has none."""
+    df = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(f"`{c}`") for c, t in df.dtypes])
     (df.coalesce(1) if one else df).write.mode("overwrite").option("header", "true").csv(path)
     return path
 

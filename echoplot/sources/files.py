@@ -263,5 +263,6 @@ def export_frame(df: DataFrame, root: str, name: str, record: Record | None = No
     path = f"{root.rstrip('/')}/{name}"
     df.write.mode("overwrite").option("header", "true").csv(path)
     if record is not None:
-        record.provenance(df.sparkSession).coalesce(1).write.mode("overwrite").option("header", "true").csv(path + "_provenance")
+        steps = record.provenance(df.sparkSession)
+        steps.select(*[F.to_json(c).alias(c) if t.startswith("array") else c for c, t in steps.dtypes]).coalesce(1).write.mode("overwrite").option("header", "true").csv(path + "_provenance")
     return path

@@ -19,7 +19,7 @@ def test_distances_of_every_label(spark, tmp_path):
         "cosine": lambda a, b: 1 - (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()),
     }
     for m, f in far.items():
-        got = {(r.i, r.j): r.d for r in catalogue.QUERIES[f"dist_{m}_all"](spark, str(tmp_path)).collect()}
+        got = {(r.i, r.j): r.d for r in catalogue.QUERIES[f"dist_{m}"](spark, str(tmp_path)).collect()}
         want = {(i, j): f(np.array(a), np.array(b)) for i, a, x in rows for j, b, y in rows if i < j and x == y}
         assert len(got) == 30 and got == pytest.approx(want, abs=2e-6)
 
@@ -33,21 +33,21 @@ def test_every_window_of_every_subject(spark, tmp_path):
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
     mean = {(u, i // 20): x[i : i + 20].mean() for u, x in series.items() for i in range(0, len(x), 20)}
 
-    got = run("feature_matrix_all")
+    got = run("feature_matrix")
     assert list(got[0].asDict()) == ["subject", *[f"w{w}" for w in range(12)]]
     assert {(r.subject, w): r[f"w{w}"] for r in got for w in range(12) if r[f"w{w}"] is not None} == pytest.approx(mean, abs=1e-6)
 
     sides = {w: [[m for (u, k), m in mean.items() if k == w and u % 2 == g] for g in (0, 1)] for w in range(12)}
     auc = {w: np.mean([(y > x) + (y == x) / 2 for x in a for y in b]) for w, (a, b) in sides.items() if a and b}
     two = {w for w, (a, b) in sides.items() if min(len(a), len(b)) >= 2}
-    got = {r.win: r for r in run("group_comparison_all")}
+    got = {r.win: r for r in run("group_comparison")}
     assert set(got) == two and {3, 4} <= two
     assert {w: r.auc for w, r in got.items()} == pytest.approx({w: auc[w] for w in two}, abs=1e-6)
     assert {w: (r.n_a, r.n_b) for w, r in got.items()} == {w: tuple(map(len, sides[w])) for w in two}
-    best = run("rank_metrics_all")[0]
+    best = run("rank_metrics")[0]
     assert (best.mean_auc, best.max_auc) == pytest.approx((np.mean([abs(auc[w] - 0.5) + 0.5 for w in two]), max(abs(auc[w] - 0.5) + 0.5 for w in two)), abs=1e-6)
 
-    got = {r.window: r for r in run("group_timecourse_all")}
+    got = {r.window: r for r in run("group_timecourse")}
     assert set(got) == set(range(12)) and got[11].auc is None and got[3].auc == pytest.approx(auc[3], abs=1e-6)
     tested = sum(min(map(len, x)) >= 5 for x in sides.values())
     assert tested > 3 and run("group_timecourse_summary")[0].n_windows_tested == tested
