@@ -125,32 +125,51 @@ def recurrence_histogram(x: np.ndarray, target_rr: float, theiler: int = 1, metr
     return [*out, ("pairs", 0, cells, eps), ("recurrent", 0, recurrent, eps)]
 
 
-def _strip_histogram(x: np.ndarray, eps: float, theiler: int, metric: str, columns: int) -> tuple[dict, int]:
-    n = len(x)
-    hist = {k: np.zeros(n + 1, np.int64) for k in ("diagonal", "vertical", "white_vertical")}
-    recurrent = 0
-    for k in range(max(theiler, 1), n):
+def diagonal_histogram(x: np.ndarray, offsets, eps: float, metric: str = "euclidean") -> tuple[np.ndarray, int]:
+    """Lengths of lines on diagonals above the identity and their twins below, and the recurrent cells of both."""
+    hist, recurrent = np.zeros(len(x) + 1, np.int64), 0
+    for k in offsets:
         hit = np.round(gap(x[k:], x[:-k], metric), DIGITS) <= eps
         recurrent += 2 * int(hit.sum())
-        hist["diagonal"][: n + 1] += 2 * np.bincount(runs(hit), minlength=n + 1)
+        found = np.bincount(runs(hit))
+        hist[: len(found)] += 2 * found
+    return hist, recurrent
+
+
+def column_histogram(x: np.ndarray, first: int, last: int, eps: float, theiler: int, metric: str = "euclidean") -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of vertical lines and of white ones that do not touch the band, in columns first to last - 1."""
+    n = len(x)
+    i, j = np.arange(n)[:, None], np.arange(first, last)
+    hit = np.round(gap(x[:, None, :], x[None, j, :], metric), DIGITS) <= eps
+    band = np.abs(i - j[None, :]) < theiler
+    hit &= ~band
+    white = ~hit & ~band
+    edge = np.zeros((1, len(j)), np.int8)
+    step = np.diff(np.concatenate([edge, white.astype(np.int8), edge]), axis=0).T
+    c, start = np.nonzero(step == 1)
+    _, stop = np.nonzero(step == -1)
+    near = np.concatenate([np.zeros((1, len(j)), bool), band, np.zeros((1, len(j)), bool)])
+    free = ~near[start, c] & ~near[stop + 1, c]
+    return np.bincount(runs(hit), minlength=n + 1), np.bincount((stop - start)[free], minlength=n + 1)
+
+
+def strip_width(n: int, dim: int, most: int = 2_000_000) -> int:
+    """Columns whose differences to all points are about `most` numbers."""
+    return int(np.clip(most // max(1, n * dim), 4, 256))
+
+
+def _strip_histogram(x: np.ndarray, eps: float, theiler: int, metric: str, columns: int) -> tuple[dict, int]:
+    n = len(x)
+    hist = {k: np.zeros(n + 1, np.int64) for k in ("vertical", "white_vertical")}
+    hist["diagonal"], recurrent = diagonal_histogram(x, range(max(theiler, 1), n), eps, metric)
     if theiler == 0:
         recurrent += n
         hist["diagonal"][n] += 1
-    i = np.arange(n)[:, None]
+    columns = min(columns, strip_width(n, x.shape[1]))
     for at in range(0, n, columns):
-        j = np.arange(at, min(n, at + columns))
-        hit = np.round(gap(x[:, None, :], x[None, j, :], metric), DIGITS) <= eps
-        band = np.abs(i - j[None, :]) < theiler
-        hit &= ~band
-        hist["vertical"] += np.bincount(runs(hit), minlength=n + 1)
-        white = ~hit & ~band
-        edge = np.zeros((1, len(j)), np.int8)
-        step = np.diff(np.concatenate([edge, white.astype(np.int8), edge]), axis=0).T
-        c, start = np.nonzero(step == 1)
-        _, stop = np.nonzero(step == -1)
-        near = np.concatenate([np.zeros((1, len(j)), bool), band, np.zeros((1, len(j)), bool)])
-        free = ~near[start, c] & ~near[stop + 1, c]
-        hist["white_vertical"] += np.bincount((stop - start)[free], minlength=n + 1)
+        v, w = column_histogram(x, at, min(n, at + columns), eps, theiler, metric)
+        hist["vertical"] += v
+        hist["white_vertical"] += w
     return hist, recurrent
 
 

@@ -3,7 +3,8 @@
 Relational path: pairs are an equi-join on the subject with the Theiler band as a residual
 condition, thresholds are grouped quantiles, lines are gaps and islands. Kernel path: one
 grouped numpy kernel a subject, which never holds a pair table (see functions.kernels).
-Both give the same histograms. Distances are rounded at 9 digits before they are compared,
+Spread path: the same kernels over strips of a subject, for records of very many points.
+All give the same histograms. Distances are rounded at 9 digits before they are compared,
 so that ties fall alike on every engine.
 """
 
@@ -200,10 +201,131 @@ def kernel_histogram(points: DataFrame, coords: list[str], target_rr: float = 0.
     return per_unit(points, keys, coords, run, "kind string, length long, cnt long, eps double")
 
 
+def _strips(points: DataFrame, coords: list[str], keys: tuple[str, ...], strips: int, run, fields: str, beside: DataFrame | None = None) -> DataFrame:
+    """keys and `fields` from run(points x coords, strip, row of `beside`) of each unit and strip. A unit's points are one row,
+    which goes to as many tasks as there are strips."""
+    import numpy as np
+    import pyarrow as pa
+
+    whole = points.select(*keys, "i", *coords).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", *coords))).alias("__x"))
+    extra = []
+    if beside is not None:
+        extra = [c for c in beside.columns if c not in keys]
+        whole = whole.join(beside, list(keys))
+    dealt = whole.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))).select(*keys, "__s", *extra, "__x")
+    n_tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n_tasks, "__s", *keys)
+    types = dict(points.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + fields
+    names = [f.split()[0] for f in fields.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    arrow = [kinds[f.split()[1]] for f in fields.split(", ")]
+    n_keys, n_extra = len(keys), len(extra)
+
+    def walk(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = batch.column(n_keys + 1 + n_extra)[r].values
+                x = np.column_stack([own.field(c).to_numpy(zero_copy_only=False).astype(float) for c in coords])
+                told = {c: batch.column(n_keys + 1 + k)[r].as_py() for k, c in enumerate(extra)}
+                got = run(x, batch.column(n_keys)[r].as_py(), told)
+                at = pa.array(np.full(len(got[0]), r))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(n_keys)), *(pa.array(g, t) for g, t in zip(got, arrow, strict=True))], [*keys, *names])
+
+    return dealt.mapInArrow(walk, schema)
+
+
+def spread_threshold(points: DataFrame, coords: list[str], target_rr: float, theiler: int = 1, keys: tuple[str, ...] = ("subject",), metric: str = "euclidean", strips: int = 32, bins: int = 1 << 16) -> DataFrame:
+    """keys, eps: the exact quantile of the admissible pairs' distances, each unit's diagonals dealt over strips. Counts
+    in even bins up to the widest distance that the coordinates allow find the bins that hold the quantile; distances in
+    these are then counted one by one."""
+    import numpy as np
+
+    low = max(theiler, 1)
+    k = list(keys)
+
+    def spans(x, strip):
+        for d in range(low + strip, len(x), strips):
+            yield np.round(kernels.gap(x[d:], x[:-d], metric), DIGITS)
+
+    def widest(x):
+        if metric == "cosine":
+            return 2.0
+        return float(kernels.gap(x.max(0)[None], x.min(0)[None], metric)[0]) * (1 + 1e-9) + 10.0**-DIGITS
+
+    def count(x, strip, _):
+        width, found = widest(x) / bins, np.zeros(bins, np.int64)
+        for d in spans(x, strip):
+            found += 2 * np.bincount(np.minimum((d / width).astype(np.int64), bins - 1), minlength=bins)
+        if theiler == 0 and strip == 0:
+            found[0] += len(x)
+        at = np.flatnonzero(found)
+        return at, found[at], np.full(len(at), width)
+
+    counts = _strips(points, coords, keys, strips, count, "bin long, n long, width double").groupBy(*k, "bin").agg(F.sum("n").alias("n"), F.first("width").alias("width"))
+    upto = Window.partitionBy(*k).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(*k)
+    ranked = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(every)})
+    at = F.lit(target_rr) * (F.col("total") - 1)
+    first = F.floor(at)
+    ranked = ranked.withColumns({"first": first, "last": F.least(first + 1, F.col("total") - 1), "share": at - first})
+    holds = lambda r: (F.col("upto") > F.col(r)) & (F.col("upto") - F.col("n") <= F.col(r))
+    wanted = ranked.groupBy(*k).agg(F.min(F.when(holds("first"), F.col("bin"))).alias("lo"), F.max(F.when(holds("last"), F.col("bin"))).alias("hi"), F.min(F.when(holds("first"), F.col("upto") - F.col("n"))).alias("below"), F.first("first").alias("first"), F.first("last").alias("last"), F.first("share").alias("share"), F.first("width").alias("width"))
+
+    def inside(x, strip, told):
+        found: dict[float, int] = {}
+        for d in spans(x, strip):
+            b = np.minimum((d / told["width"]).astype(np.int64), bins - 1)
+            for v, c in zip(*np.unique(d[(b >= told["lo"]) & (b <= told["hi"])], return_counts=True), strict=True):
+                found[v] = found.get(v, 0) + 2 * int(c)
+        if theiler == 0 and strip == 0 and told["lo"] == 0:
+            found[0.0] = found.get(0.0, 0) + len(x)
+        return list(found), list(found.values())
+
+    values = _strips(points, coords, keys, strips, inside, "d double, n long", wanted.select(*k, "lo", "hi", "width")).groupBy(*k, "d").agg(F.sum("n").alias("n"))
+    placed = values.withColumn("upto", F.sum("n").over(Window.partitionBy(*k).orderBy("d").rowsBetween(Window.unboundedPreceding, 0))).join(wanted, k).withColumn("upto", F.col("upto") + F.col("below"))
+    got = placed.groupBy(*k).agg(F.min(F.when(F.col("upto") > F.col("first"), F.col("d"))).alias("a"), F.min(F.when(F.col("upto") > F.col("last"), F.col("d"))).alias("b"), F.first("share").alias("share"))
+    return got.select(*k, F.round(F.col("a") + (F.col("b") - F.col("a")) * F.col("share"), DIGITS).alias("eps"))
+
+
+def spread_histogram(points: DataFrame, coords: list[str], target_rr: float = 0.05, theiler: int = 1, keys: tuple[str, ...] = ("subject",), metric: str = "euclidean", strips: int = 32) -> DataFrame:
+    """The same rows as kernel_histogram, with each unit's diagonals and columns dealt over `strips` tasks: for units of so
+    many points that one task would take long. A task holds a unit's points and some columns, never a matrix."""
+    import numpy as np
+
+    eps = spread_threshold(points, coords, target_rr, theiler, keys, metric, strips)
+
+    def lines(x, strip, told):
+        n, e = len(x), told["eps"]
+        diagonal, recurrent = kernels.diagonal_histogram(x, range(max(theiler, 1) + strip, n, strips), e, metric)
+        if theiler == 0 and strip == 0:
+            recurrent += n
+            diagonal[n] += 1
+        vertical, white = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        width = kernels.strip_width(n, x.shape[1])
+        for at in range(strip * width, n, strips * width):
+            v, w = kernels.column_histogram(x, at, min(n, at + width), e, theiler, metric)
+            vertical += v
+            white += w
+        cells = n * n - sum((n if d == 0 else 2 * (n - d)) for d in range(min(theiler, n))) if strip == 0 else 0
+        kinds, lengths, counts = [], [], []
+        for kind, h in (("diagonal", diagonal), ("vertical", vertical), ("white_vertical", white)):
+            at = np.flatnonzero(h)
+            at = at[at > 0]
+            kinds += [kind] * len(at)
+            lengths += at.tolist()
+            counts += h[at].tolist()
+        return [*kinds, "pairs", "recurrent"], [*lengths, 0, 0], [*counts, cells, recurrent]
+
+    each = _strips(points, coords, keys, strips, lines, "kind string, length long, cnt long", eps)
+    return each.groupBy(*keys, "kind", "length").agg(F.sum("cnt").alias("cnt")).join(eps, list(keys)).select(*keys, "kind", "length", "cnt", "eps")
+
+
 def rqa(points: DataFrame, coords: list[str], target_rr: float = 0.05, theiler: int = 1, l_min: int = 2, v_min: int = 2, w_min: int = 2, keys: tuple[str, ...] = ("subject",), path: str = "kernel") -> DataFrame:
     """Threshold by recurrence rate, histograms, measures."""
-    if path == "kernel":
-        return quantify(kernel_histogram(points, coords, target_rr, theiler, keys), None, l_min, v_min, w_min, keys)
+    if path in ("kernel", "spread"):
+        hist = kernel_histogram if path == "kernel" else spread_histogram
+        return quantify(hist(points, coords, target_rr, theiler, keys), None, l_min, v_min, w_min, keys)
     pair = pairs(points, coords, theiler)
     eps = threshold(pair, "target_rr", target_rr, keys=keys)
     hist = line_histogram(recurrent(pair, eps, keys), unit_sizes(points, keys), theiler, keys)

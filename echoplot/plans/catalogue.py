@@ -221,6 +221,7 @@ SELECT q.subject, {r("k::DOUBLE / n", "RR")}, {r("CASE WHEN k > 0 THEN coalesce(
 
 
 query("rqa_all", _measures(_CORE, _WHITE))(lambda spark, d: rounded(R.rqa(points(spark, d), ["value"], RR)))
+query("rqa_spread", _measures(_CORE, _WHITE))(lambda spark, d: rounded(R.quantify(R.spread_histogram(points(spark, d), ["value"], RR, strips=4))))
 query("rqa_relational", _measures(_CORE, _WHITE))(lambda spark, d: rounded(R.rqa(points(spark, d), ["value"], RR, path="relational")))
 
 

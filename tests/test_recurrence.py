@@ -113,3 +113,13 @@ def test_entry_imports():
 
     q = e.queries()
     assert "rqa_all" in q and set(e.oracle_sql()) <= set(q)
+
+
+def test_spread_units_agree_with_whole_ones(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, i, float(a), float(b)) for s, n in ((0, 90), (1, 401), (2, 7), (3, 1)) for i, (a, b) in enumerate(np.round(rng.normal(size=(n, 2)).cumsum(0) if s else rng.integers(0, 4, (n, 2)), 2))]
+    df = spark.createDataFrame(rows, "subject long, i long, a double, b double").repartition(3)
+    told = lambda d: sorted(tuple(r) for r in d.where("cnt > 0").collect())
+    for theiler, rr in ((1, 0.1), (0, 0.05), (3, 0.3)):
+        whole = told(R.kernel_histogram(df.where("subject <> 3"), ["a", "b"], rr, theiler))
+        assert told(R.spread_histogram(df.where("subject <> 3"), ["a", "b"], rr, theiler, strips=5)) == whole
