@@ -135,7 +135,8 @@ def line_histogram(rec: DataFrame, sizes: DataFrame, theiler: int = 1, keys: tup
     diagonal = _islands(rec.withColumn("k", F.col("j") - F.col("i")), [*k, "k"], "i").groupBy(*k, "length").agg(F.count(F.lit(1)).alias("cnt")).withColumn("kind", F.lit("diagonal"))
     vertical = _islands(rec, [*k, "j"], "i").groupBy(*k, "length").agg(F.count(F.lit(1)).alias("cnt")).withColumn("kind", F.lit("vertical"))
     # white lines: gaps between markers of a column; one that touches the band is none
-    column = sizes.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    width = F.col("m") if "m" in sizes.columns else F.col("n")  # a cross structure has columns of its own
+    column = sizes.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), width - 1)))
     marks = rec.select(*k, "i", "j", F.lit(0).alias("band"))
     marks = marks.union(column.select(*k, F.lit(-1).cast("long"), "j", F.lit(0))).union(column.select(*k, F.col("n"), "j", F.lit(0)))
     if theiler > 0:
@@ -159,9 +160,10 @@ def _line_stats(l_min: int, v_min: int, w_min: int) -> list[Column]:
     return out
 
 
-def quantify(hist: DataFrame, sizes: DataFrame | None = None, l_min: int = 2, v_min: int = 2, w_min: int = 2, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
+def quantify(hist: DataFrame, sizes: DataFrame | None = None, l_min: int = 2, v_min: int = 2, w_min: int = 2, keys: tuple[str, ...] = ("subject",), identity: DataFrame | None = None) -> DataFrame:
     """The measures of each unit, in one aggregation of its histogram. sizes: keys, n_pairs, n_recurrent;
-    without it, the histogram's rows of kind `pairs` and `recurrent` tell them."""
+    without it, the histogram's rows of kind `pairs` and `recurrent` tell them. identity (keys, n): DET and LAM are
+    shares of the recurrent cells and the n cells of the line of identity, which the band leaves out."""
     k = list(keys)
     stats = _line_stats(l_min, v_min, w_min)
     if sizes is None:
@@ -169,19 +171,22 @@ def quantify(hist: DataFrame, sizes: DataFrame | None = None, l_min: int = 2, v_
     out = hist.groupBy(*k).agg(*stats)
     if sizes is not None:
         out = sizes.join(out, k, "left")
+    whole = F.col("n_recurrent")
+    if identity is not None:
+        out, whole = out.join(identity.select(*k, F.col("n").alias("__n")), k), F.col("n_recurrent") + F.col("__n")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     spread = lambda c, low: F.when(z(f"{c}_longest") - low + 1 > 1, z(f"{c}_entropy") / F.log(z(f"{c}_longest") - low + 1)).otherwise(0.0)
     return out.select(
         *k,
         (F.col("n_recurrent") / F.col("n_pairs")).alias("RR"),
-        ratio(z("d_points"), F.col("n_recurrent")).alias("DET"),
+        ratio(z("d_points"), whole).alias("DET"),
         ratio(z("d_points"), z("d_lines")).alias("L"),
         z("d_longest").alias("Lmax"),
         F.when(z("d_longest") > 0, 1 / z("d_longest")).otherwise(F.lit(float("inf"))).alias("DIV"),
         z("d_entropy").alias("ENTR"),
         spread("d", l_min).alias("ENTR_norm"),
-        ratio(z("v_points"), F.col("n_recurrent")).alias("LAM"),
+        ratio(z("v_points"), whole).alias("LAM"),
         ratio(z("v_points"), z("v_lines")).alias("TT"),
         z("v_longest").alias("Vmax"),
         ratio(z("w_points"), z("w_lines")).alias("W"),
@@ -321,15 +326,19 @@ def spread_histogram(points: DataFrame, coords: list[str], target_rr: float = 0.
     return each.groupBy(*keys, "kind", "length").agg(F.sum("cnt").alias("cnt")).join(eps, list(keys)).select(*keys, "kind", "length", "cnt", "eps")
 
 
-def rqa(points: DataFrame, coords: list[str], target_rr: float = 0.05, theiler: int = 1, l_min: int = 2, v_min: int = 2, w_min: int = 2, keys: tuple[str, ...] = ("subject",), path: str = "kernel") -> DataFrame:
-    """Threshold by recurrence rate, histograms, measures."""
+def rqa(points: DataFrame, coords: list[str], target_rr: float = 0.05, theiler: int = 1, l_min: int = 2, v_min: int = 2, w_min: int = 2, keys: tuple[str, ...] = ("subject",), path: str = "kernel", denominator: str = "theiler_corrected") -> DataFrame:
+    """Threshold by recurrence rate, histograms, measures. denominator="all" counts the line of identity as recurrent,
+    where the band leaves it out."""
+    if denominator not in ("theiler_corrected", "all"):
+        raise ParameterError(f"unknown denominator {denominator!r}")
+    identity = unit_sizes(points, keys) if denominator == "all" and theiler > 0 else None
     if path in ("kernel", "spread"):
         hist = kernel_histogram if path == "kernel" else spread_histogram
-        return quantify(hist(points, coords, target_rr, theiler, keys), None, l_min, v_min, w_min, keys)
+        return quantify(hist(points, coords, target_rr, theiler, keys), None, l_min, v_min, w_min, keys, identity)
     pair = pairs(points, coords, theiler)
     eps = threshold(pair, "target_rr", target_rr, keys=keys)
     hist = line_histogram(recurrent(pair, eps, keys), unit_sizes(points, keys), theiler, keys)
-    return quantify(hist, rate(pair, eps, keys).select(*keys, "n_pairs", "n_recurrent"), l_min, v_min, w_min, keys)
+    return quantify(hist, rate(pair, eps, keys).select(*keys, "n_pairs", "n_recurrent"), l_min, v_min, w_min, keys, identity)
 
 
 def sweep(hist: DataFrame, totals: DataFrame | None = None, floors=(2, 3, 4, 6, 8), keys: tuple[str, ...] = ("subject",)) -> DataFrame:

@@ -15,13 +15,14 @@ from ..operators import preprocess as P
 from ..operators import recurrence as R
 from ..operators import series as S
 from ..operators import spaces as SS
+from ..operators import structures as ST
 from ..operators import windowed as W
 from ..records import events
 from ..sinks import images
 from ..sources import generators as G
 from ..sources.memory import quality_report
 from . import figures as FIG
-from .catalogue import _CORE, _DIAG, _PAIRS, _PTS, RR, SIZE, STEP, parts, points, query, rounded, simple
+from .catalogue import _CORE, _CROSS, _DIAG, _PAIRS, _PTS, _REC, _VERT, RR, SIZE, STEP, parts, points, query, rounded, simple
 
 
 def record(spark, d):
@@ -301,3 +302,16 @@ z AS (SELECT subject, s, n, 0::BIGINT AS pos, 0 AS phrases FROM s UNION ALL SELE
 # singular values are the roots of the Gram matrix's eigenvalues; two of them have a closed form
 query("svd_entropy_two", f"""WITH {_PTS}, e AS (SELECT subject, value AS x, lead(value) OVER (PARTITION BY subject ORDER BY i) AS y FROM pts), g AS (SELECT subject, sum(x * x) AS a, sum(y * y) AS b, sum(x * y) AS c FROM e WHERE y IS NOT NULL GROUP BY 1), v AS (SELECT subject, sqrt((a + b + sqrt(pow(a - b, 2) + 4 * c * c)) / 2) AS p, sqrt(greatest((a + b - sqrt(pow(a - b, 2) + 4 * c * c)) / 2, 0)) AS q FROM g)
 SELECT subject, round(-(p / (p + q) * ln(p / (p + q)) + q / (p + q) * ln(q / (p + q))) / ln(2), 5) AS svd FROM v""")(lambda spark, d: rounded(S.svd_entropy(points(spark, d), "value", 2), 5))
+
+# whole structures
+query("rqa_identity_counted", f"{_CORE}, {_N}, {_DIAG}, k AS (SELECT subject, count(*)::DOUBLE AS k FROM rec GROUP BY 1), p AS (SELECT subject, sum(CASE WHEN length >= 2 THEN length ELSE 0 END) AS p FROM dg GROUP BY 1) SELECT subject, round(p / (k + n), 6) AS \"DET\" FROM k JOIN n USING (subject) JOIN p USING (subject)")(lambda spark, d: rounded(R.rqa(points(spark, d), ["value"], RR, denominator="all").select("subject", "DET")))
+fig("threshold_report", ", x AS (SELECT subject, max(value) - min(value) AS extent FROM pts GROUP BY 1) SELECT p.subject, round(min(eps), 6) AS eps, round(avg((d <= eps)::INT), 6) AS achieved_rr, round(min(extent), 6) AS extent, min(eps) <= 1e-9 * min(extent) AS at_rounding FROM pairs p JOIN eps USING (subject) JOIN x USING (subject) GROUP BY 1", lambda pts, pair, eps, rec: ST.threshold_report(pair, eps, pts, ["value"]))
+fig("structure_describe", " SELECT p.subject, 'rp' AS kind, min(n) AS n_points, 1 AS dim, 1 AS theiler, round(min(eps), 6) AS eps, round(avg((d <= eps)::INT), 6) AS recurrence_rate FROM pairs p JOIN eps USING (subject) JOIN n USING (subject) GROUP BY 1", lambda pts, pair, eps, rec: ST.describe(pair, eps, R.unit_sizes(pts), 1))
+fig("structure_dense", ", c AS (SELECT p.subject, p.i, unnest(range(0, n)) AS j FROM pts p JOIN n USING (subject)) SELECT c.subject, c.i, string_agg(CASE WHEN rec.i IS NULL THEN '0' ELSE '1' END, '' ORDER BY c.j) AS row FROM c LEFT JOIN rec ON rec.subject = c.subject AND rec.i = c.i AND rec.j = c.j GROUP BY 1, 2", lambda pts, pair, eps, rec: ST.dense(rec, R.unit_sizes(pts)).select("subject", "i", F.concat_ws("", F.col("row").cast("array<string>")).alias("row")))
+query("joint_cells", f"{_CORE}, p2 AS (SELECT a.subject, a.i, b.i AS j, round(abs(a.gap - b.gap), 9) AS d FROM pts a JOIN pts b ON a.subject = b.subject AND a.i <> b.i), e2 AS (SELECT subject, round(quantile_cont(d, {RR}), 9) AS eps FROM p2 GROUP BY 1) SELECT subject, i, j FROM rec JOIN p2 USING (subject, i, j) JOIN e2 USING (subject) WHERE p2.d <= e2.eps")(lambda spark, d: ST.joint(points(spark, d), _BLOCKS, RR))
+query("structure_percentile", f"WITH {_PTS}, {_PAIRS}, e AS (SELECT subject, round(quantile_cont(d, 0.2), 9) AS eps FROM pairs GROUP BY 1) SELECT subject, count(*) AS n, CAST(sum(i * 31 + j) AS BIGINT) AS s FROM pairs JOIN e USING (subject) WHERE d <= eps GROUP BY 1")(lambda spark, d: ST.structure(points(spark, d), ["value"], ST.ThresholdSpec("percentile", percentile=20))[2].groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("i") * 31 + F.col("j")).alias("s")))
+_ALLPROF = f"""{_CROSS}, {_REC}, n AS (SELECT subject, count(*) AS n FROM pts GROUP BY subject), z AS (SELECT a.subject, a.n, b.n AS m FROM n a JOIN n b ON b.subject = a.subject + 1), o AS (SELECT *, least(n, m - k) - greatest(0, -k) AS cells FROM (SELECT *, unnest(range(-(SELECT max(n) FROM n) + 1, (SELECT max(n) FROM n))) AS k FROM z)),
+h AS (SELECT subject, j - i AS k, count(*) AS hits FROM rec GROUP BY 1, 2), pr AS (SELECT o.subject, o.k, round(coalesce(hits, 0)::DOUBLE / cells, 9) AS d FROM o LEFT JOIN h ON h.subject = o.subject AND h.k = o.k WHERE cells > 10), pk AS (SELECT subject, k, d FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY d DESC, k) AS r FROM pr) WHERE r = 1), sd AS (SELECT subject, coalesce(sum(d) FILTER (k > 0), 0) AS p, coalesce(sum(d) FILTER (k < 0), 0) AS q FROM pr GROUP BY 1)"""
+query("cross_rqa", f"{_ALLPROF}, {_DIAG}, {_VERT}, t AS (SELECT subject, avg((d <= eps)::INT) AS rr, sum((d <= eps)::INT)::DOUBLE AS k FROM pairs JOIN eps USING (subject) GROUP BY 1), dd AS (SELECT subject, sum(length) FILTER (length >= 2) AS p, max(length) FILTER (length >= 2) AS m FROM dg GROUP BY 1), vv AS (SELECT subject, sum(length) FILTER (length >= 2) AS p FROM vt GROUP BY 1) SELECT t.subject, round(rr, 6) AS \"RR\", round(coalesce(dd.p, 0) / t.k, 6) AS \"DET\", coalesce(dd.m, 0)::DOUBLE AS \"Lmax\", round(coalesce(vv.p, 0) / t.k, 6) AS \"LAM\", CAST(pk.k AS INT) AS peak_offset, pk.k::DOUBLE AS peak_lag_s, round(pk.d, 6) AS peak_density, round(CASE WHEN sd.p + q > 0 THEN (sd.p - q) / (sd.p + q) ELSE 0 END, 6) AS asymmetry FROM t LEFT JOIN dd ON dd.subject = t.subject LEFT JOIN vv ON vv.subject = t.subject LEFT JOIN pk ON pk.subject = t.subject LEFT JOIN sd ON sd.subject = t.subject")(
+    lambda spark, d: rounded((lambda p: ST.cross_rqa(p, p.withColumn("subject", F.col("subject") - 1), ["value"], RR))(points(spark, d)).select("subject", "RR", "DET", "Lmax", "LAM", F.col("peak_offset").cast("int").alias("peak_offset"), "peak_lag_s", "peak_density", "asymmetry"))
+)
