@@ -110,7 +110,7 @@ on_record("space_subsample", ", n AS (SELECT subject, ceil(count(*) / 20.0)::BIG
 on_record("space_indices", "SELECT subject, CASE i WHEN 0 THEN 0 WHEN 7 THEN 1 ELSE 2 END::BIGINT AS i, value FROM pts WHERE i IN (0, 7, 30)", lambda r: SS.channels(r, ["value"], "none").subsample(indices=[30, 0, 7]).df)
 on_record("space_describe", ", n AS (SELECT subject, count(*) AS n FROM pts GROUP BY subject) SELECT subject, n AS n_points, 3 AS dim, 2 AS n_blocks, 'observable' AS route, n::DOUBLE AS duration FROM n", lambda r: SS.pac_space(r, "phase", "value").describe())
 on_record("space_split", f"SELECT subject, i, {_C('phase', 'phase')} FROM pts", lambda r: SS.pac_space(r, "phase", "value").split(["phase"]).df)
-on_record("space_custom", "SELECT subject, i, round(value * value, 6) AS square, round(value - gap, 4) AS diff FROM pts", lambda r: SS.custom(r, lambda x: np.column_stack([x[:, 0] ** 2, x[:, 0] - x[:, 1]]), ["square", "diff"], ["value", "gap"]).df.withColumn("diff", F.round("diff", 4)))
+on_record("space_custom", "SELECT subject, i, round(value * value, 6) AS square, round(value - gap, 6) AS diff FROM pts", lambda r: SS.custom(r, lambda x: np.column_stack([x[:, 0] ** 2, x[:, 0] - x[:, 1]]), ["square", "diff"], ["value", "gap"]).df)
 _BANDED = f"{_FIR}, q0 AS (SELECT subject, i, x AS value FROM b0)"
 query("from_bands", f"WITH {_PTS}, {_FIR}, {_HILBERT.replace('n AS (SELECT subject, count(*) AS n FROM pts GROUP BY subject),', '', 1).replace('pts', 'bp')} SELECT subject, i - 7 AS i, round(amp, 5) AS amp_slow FROM an JOIN n USING (subject) WHERE i >= 7 AND i < n - 7".replace("hk AS", "bp AS (SELECT subject, i, x AS value FROM b0), hk AS"))(lambda spark, d: rounded(SS.from_bands(raw_record(spark, d), {"slow": (_LO, _HI, "amplitude")}, scaling="none").df, 5))
 on_record("block_series", ", t AS (SELECT subject, i, value, atan2(sin(phase), cos(phase)) AS ph FROM pts), st AS (SELECT *, ph - lag(ph) OVER (PARTITION BY subject ORDER BY i) AS turn FROM t), su AS (SELECT *, coalesce(turn - 2 * pi() * round(turn / (2 * pi())), 0) AS step FROM st), sv AS (SELECT *, lead(step) OVER (PARTITION BY subject ORDER BY i) AS after FROM su) SELECT subject, i, round(CASE WHEN i = 0 THEN after WHEN after IS NULL THEN step ELSE (step + after) / 2 END, 5)::DOUBLE AS phase, value FROM sv", lambda r: rounded(D.block_series(SS.pac_space(r, "phase", "value")), 5))
@@ -149,7 +149,7 @@ simple("fine_scale_factor", f"{_TURN} SELECT subject, greatest(1, least(floor(CA
 on_record("dynamics_measures", """, l AS (SELECT subject, i, 'value' AS channel, value AS v FROM pts UNION ALL SELECT subject, i, 'gap', gap FROM pts), d AS (SELECT *, v - lag(v) OVER w AS d1 FROM l WINDOW w AS (PARTITION BY subject, channel ORDER BY i)), e AS (SELECT *, lead(d1) OVER (PARTITION BY subject, channel ORDER BY i) AS d2 FROM d), s AS (SELECT subject, channel, count(*) AS n, sum(CASE WHEN d1 * d2 < 0 THEN 1 ELSE 0 END) AS c, sqrt(var_pop(d1) / var_pop(v)) AS mob FROM e GROUP BY 1, 2)
 SELECT subject, channel, round(mob, 5) AS mobility, round(log10(n) / (log10(n) + log10(n / (n + 0.4::DOUBLE * c))), 5) AS petrosian FROM s""", lambda r: rounded(D.dynamics_measures(r.df, ["value", "gap"], ("mobility", "petrosian")), 5))
 _GEO = lambda pairs: f"m AS (SELECT u, i, min(d) AS d FROM {pairs} GROUP BY 1, 2), a AS (SELECT u, avg(d) AS nn_mean, stddev_pop(d) / avg(d) AS nn_cv FROM m GROUP BY 1)"
-simple("geometry_descriptors", f", {_PAIRS}, g AS (SELECT subject AS u, i, d FROM pairs), {_GEO('g')}, q AS (SELECT u, unnest([0.01, 0.02, 0.05, 0.1, 0.2])::DOUBLE AS c, unnest([quantile_cont(d, 0.01), quantile_cont(d, 0.02), quantile_cont(d, 0.05), quantile_cont(d, 0.1), quantile_cont(d, 0.2)]) AS r FROM g GROUP BY u), s AS (SELECT u, regr_slope(ln(c), ln(r)) AS s FROM q WHERE r > 0 GROUP BY 1), x AS (SELECT subject AS u, sqrt(var_pop(value)) AS x FROM pts GROUP BY 1) SELECT u AS subject, round(nn_mean, 5) AS nn_mean, round(nn_cv, 5) AS nn_cv, round(s, 5) AS corr_slope, round(x, 5) AS extent FROM a LEFT JOIN s USING (u) JOIN x USING (u)", lambda p: rounded(D.geometry_descriptors(p, ["value"]), 5))
+query("geometry_descriptors", f"WITH {_PTS}, {_PAIRS}, g AS (SELECT subject AS u, i, d FROM pairs), {_GEO('g')}, q AS (SELECT u, unnest([0.01, 0.02, 0.05, 0.1, 0.2])::DOUBLE AS c, unnest([quantile_cont(d, 0.01), quantile_cont(d, 0.02), quantile_cont(d, 0.05), quantile_cont(d, 0.1), quantile_cont(d, 0.2)]) AS r FROM g GROUP BY u), s AS (SELECT u, regr_slope(ln(c), ln(r)) AS s FROM q WHERE r > 0 GROUP BY 1), x AS (SELECT subject AS u, sqrt(var_pop(value)) AS x FROM pts GROUP BY 1) SELECT u AS subject, round(nn_mean, 8) AS nn_mean, round(nn_cv, 5) AS nn_cv, round(s, 5) AS corr_slope, round(x, 5) AS extent FROM a LEFT JOIN s USING (u) JOIN x USING (u)")(lambda spark, d: (lambda g: g.select("subject", F.round("nn_mean", 8).alias("nn_mean"), *[F.round(c, 5).alias(c) for c in ("nn_cv", "corr_slope", "extent")]))(D.geometry_descriptors(points(spark, d), ["value"])))
 on_record("lambda_sweep", f"""{_MS}, g AS (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS l), w AS (SELECT subject, l, i, value * sqrt(wv) * sqrt(2 * (1 - l)) AS x, gap * sqrt(wg) * sqrt(2 * l) AS y FROM pts JOIN r USING (subject) CROSS JOIN g), p AS (SELECT a.subject, a.l, a.i, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 9) AS d FROM w a JOIN w b ON a.subject = b.subject AND a.l = b.l AND a.i <> b.i),
 m AS (SELECT subject, l, i, min(d) AS d FROM p GROUP BY 1, 2, 3), a AS (SELECT subject, l, avg(d) AS nn_mean, stddev_pop(d) / avg(d) AS cv FROM m GROUP BY 1, 2) SELECT subject, l AS lambda, round(nn_mean, 4) AS nn_mean, round(cv, 4) AS nn_cv, round(arg_min(cv, l) OVER (PARTITION BY subject) + (arg_max(cv, l) OVER (PARTITION BY subject) - arg_min(cv, l) OVER (PARTITION BY subject)) * (l - 0.1) / 0.8 - cv, 4)::DOUBLE AS deficit FROM a""", lambda r: rounded(D.lambda_sweep(SS.channels(r, ["value", "gap"]), (0.1, 0.5, 0.9)).select("subject", "lambda", "nn_mean", "nn_cv", "deficit"), 4))
 on_record("compare_routes", f", g AS (SELECT 'a' AS route, a.subject, a.i, round(abs(a.value - b.value), 9) AS d FROM pts a JOIN pts b ON a.subject = b.subject AND a.i <> b.i UNION ALL SELECT 'b', a.subject, a.i, round(sqrt(pow(a.value - b.value, 2) + pow(a.gap / 3600 - b.gap / 3600, 2)), 9) FROM pts a JOIN pts b ON a.subject = b.subject AND a.i <> b.i), m AS (SELECT route, subject, i, min(d) AS d FROM g GROUP BY 1, 2, 3) SELECT route, subject, round(avg(d), 4) AS nn_mean, CASE WHEN route = 'a' THEN 1 ELSE 2 END AS dim FROM m GROUP BY 1, 2", lambda r: rounded(D.compare_routes({"a": SS.channels(r, ["value"], "none"), "b": SS.channels(r, ["value", "rate"], "none")}).select("route", "subject", "nn_mean", "dim"), 4))
@@ -225,8 +225,8 @@ b AS (SELECT *, rb - n_b * (n_b + 1) / 2.0::DOUBLE AS u, sqrt(n_a::DOUBLE * n_b
 _tests = lambda p: K.group_tests(window_table(p), ["m", "s"], "g", "win").drop("ties")
 query("group_tests", f"WITH {_PTS} {_TESTS} SELECT metric, win, n_a, n_b, round(mean_a, 8) AS mean_a, round(mean_b, 8) AS mean_b, round(std_a, 5) AS std_a, round(std_b, 5) AS std_b, round(mean_b - mean_a, 8) AS diff, round((mean_b - mean_a) / sqrt(((n_a - 1) * std_a * std_a + (n_b - 1) * std_b * std_b) / (n_a + n_b - 2)), 5) AS cohens_d, u, round(u / (n_a * n_b), 6) AS auc, round(p, 6) AS p_normal FROM x")(lambda spark, d: _tests(points(spark, d)).withColumns({c: F.round(c, 8) for c in ("mean_a", "mean_b", "diff")} | {c: F.round(c, 5) for c in ("std_a", "std_b", "cohens_d")} | {c: F.round(c, 6) for c in ("u", "auc", "p_normal")}))
 simple("rank_metrics_many", f"{_TESTS}, w AS (SELECT metric, avg(abs(u / (n_a * n_b) - 0.5) + 0.5) AS mean_auc, max(abs(u / (n_a * n_b) - 0.5) + 0.5) AS max_auc, min(p) AS min_p FROM x GROUP BY 1) SELECT metric, round(mean_auc, 6) AS mean_auc, round(max_auc, 6) AS max_auc, round(min_p, 6) AS min_p, CAST(row_number() OVER (ORDER BY mean_auc DESC, metric) AS INT) AS place FROM w", lambda p: K.rank_metrics(K.group_tests(window_table(p), ["m", "s"], "g", "win")))
-simple("group_comparison_bonferroni", f"{_TESTS} SELECT metric, win, round(least(p * count(*) OVER (), 1), 5) AS p_bonferroni FROM x QUALIFY least(n_a, n_b) > 8 OR ties > 0", lambda p: K.group_comparison(window_table(p), ["m", "s"], "g", "win").where("least(n_a, n_b) > 8").select("metric", "win", F.round("p_bonferroni", 5).alias("p_bonferroni")))
-simple("build_features_all", f"{_TAB}, o AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY win) AS ord FROM f) SELECT subject, round(avg(m), 5) AS m_mean, round(stddev_samp(m), 5) AS m_std, round(regr_slope(m, ord), 5) AS m_trend FROM o GROUP BY subject", lambda p: rounded(I.build_features(window_table(p), ["m"], "subject", "all", "win"), 5))
+simple("group_comparison_bonferroni", f"{_TESTS} SELECT metric, win, round(least(p * count(*) OVER (), 1), 5) AS p_bonferroni FROM x QUALIFY least(n_a, n_b) > 8", lambda p: K.group_comparison(window_table(p), ["m", "s"], "g", "win").where("least(n_a, n_b) > 8").select("metric", "win", F.round("p_bonferroni", 5).alias("p_bonferroni")))
+query("build_features_all", f"WITH {_PTS} {_TAB}, o AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY win) AS ord FROM f) SELECT subject, round(avg(m), 8) AS m_mean, round(stddev_samp(m), 5) AS m_std, round(regr_slope(m, ord), 5) AS m_trend FROM o GROUP BY subject")(lambda spark, d: I.build_features(window_table(points(spark, d)), ["m"], "subject", "all", "win").select("subject", F.round("m_mean", 8).alias("m_mean"), F.round("m_std", 5).alias("m_std"), F.round("m_trend", 5).alias("m_trend")))
 simple("align_labels", f"{_TAB} SELECT subject, win, round(m, 6) AS m, CASE WHEN subject % 3 = 0 THEN 'a' ELSE 'b' END AS label FROM f WHERE subject % 5 <> 0", lambda p: I.align_labels(window_table(p).select("subject", "win", "m"), p.select("subject").distinct().withColumn("label", F.when(F.col("subject") % 5 != 0, F.when(F.col("subject") % 3 == 0, "a").otherwise("b")))))
 simple("label_importances", ", f AS (SELECT subject, subject % 2 AS label, avg(value) AS a, stddev_pop(value) AS b FROM pts GROUP BY 1, 2) SELECT 'a' AS feature, round(abs(avg(a) FILTER (label = 1) - avg(a) FILTER (label = 0)) / stddev_pop(a), 6) AS weight FROM f UNION ALL SELECT 'b', round(abs(avg(b) FILTER (label = 1) - avg(b) FILTER (label = 0)) / stddev_pop(b), 6) FROM f", lambda p: I.importances(p.groupBy("subject").agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("b")).withColumn("label", F.col("subject") % 2), ["a", "b"]))
 
@@ -290,7 +290,7 @@ simple("figure_coverage", f", {_GRID} SELECT subject, win AS \"window\", s AS st
 simple("figure_limits", ", q AS (SELECT subject, quantile_cont(value, 0.002) AS a, quantile_cont(value, 0.998) AS b, avg(value) AS m, quantile_cont(gap, 0.002) AS c, quantile_cont(gap, 0.998) AS d, avg(gap) AS k, sqrt(var_pop(value) + var_pop(gap)) AS s FROM pts GROUP BY 1) SELECT 'value' AS coord, round(min((a - m) / s), 5) AS lo, round(max((b - m) / s), 5) AS hi FROM q UNION ALL SELECT 'gap', round(min((c - k) / s), 5), round(max((d - k) / s), 5) FROM q", lambda p: rounded(FIG.shared_limits(p, ["value", "gap"]), 5))
 simple("figure_scale", "SELECT subject, round(sqrt(var_pop(value) + var_pop(gap)), 4) AS scale FROM pts GROUP BY subject", lambda p: rounded(FIG.scale_factor(p, ["value", "gap"]), 4))
 simple("figure_attractor_image", ", q AS (SELECT subject, quantile_cont(value, 0.001) AS a, quantile_cont(value, 0.999) AS b, quantile_cont(gap, 0.001) AS c, quantile_cont(gap, 0.999) AS d FROM pts GROUP BY 1) SELECT subject, (7 - greatest(0, least(7, floor((gap - c) / (d - c) * 8))))::INT AS row, greatest(0, least(7, floor((value - a) / (b - a) * 8)))::INT AS col, count(*)::DOUBLE AS value FROM pts JOIN q USING (subject) GROUP BY 1, 2, 3", lambda p: images.attractor_image(p, ("value", "gap"), 8))
-simple("figure_envelopes", f", {_N}, f AS (SELECT subject, ceil(n / 20.0)::BIGINT AS f FROM n) SELECT subject, i, value, round(gap, 4) AS gap FROM pts JOIN f USING (subject) WHERE i % f = 0", lambda p: rounded(FIG.envelope_pair(p, "value", "gap", 20), 4))
+simple("figure_envelopes", f", {_N}, f AS (SELECT subject, ceil(n / 20.0)::BIGINT AS f FROM n) SELECT subject, i, value, round(gap, 6) AS gap FROM pts JOIN f USING (subject) WHERE i % f = 0", lambda p: FIG.envelope_pair(p, "value", "gap", 20))
 on_record("figure_signal", "SELECT subject, i::DOUBLE AS t, 'value' AS channel, value FROM pts WHERE i >= 3 AND i < 13", lambda r: FIG.signal(r, ["value"], 3.0, 10.0))
 on_record("figure_policies", f"{_MS}, f AS (SELECT subject, 'none' AS panel, 'value' AS block, v AS ms, 1.0::DOUBLE AS w FROM r UNION ALL SELECT subject, 'none', 'gap', g, 1 FROM r UNION ALL SELECT subject, 'rms_balanced', 'value', v, wv FROM r UNION ALL SELECT subject, 'rms_balanced', 'gap', g, wg FROM r) SELECT subject, panel, block, round(w * ms / sum(w * ms) OVER (PARTITION BY subject, panel), 5) AS variance_share FROM f", lambda r: rounded(FIG.compare_scale_policies(SS.channels(r, ["value", "gap"], "none")).select("subject", "panel", "block", "variance_share"), 5))
 
