@@ -51,11 +51,21 @@ def array_distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
     return F.sqrt(F.aggregate(F.transform(diff, lambda x: x * x), F.lit(0.0), add))
 
 
-def pairs(points: DataFrame, coords: list[str], theiler: int = 1, metric: str = "euclidean", other: DataFrame | None = None) -> DataFrame:
-    """subject, i, j, d of all admissible ordered pairs; `other` makes it a cross structure without a band."""
-    right = (other if other is not None else points).select(F.col("subject").alias("s2"), F.col("i").alias("j"), *[F.col(c).alias(f"{c}_2") for c in coords])
+def pairs(points: DataFrame, coords: list[str], theiler: int = 1, metric: str = "euclidean", other: DataFrame | None = None, tile: int | None = None) -> DataFrame:
+    """subject, i, j, d of all admissible ordered pairs; `other` makes it a cross structure without a band.
+
+    With `tile`, squares of tile x tile pairs are the keys of the join, so that a long record spreads over tasks; each
+    point is sent once for each of its record's tiles."""
+    second = other if other is not None else points
+    right = second.select(F.col("subject").alias("s2"), F.col("i").alias("j"), *[F.col(c).alias(f"{c}_2") for c in coords])
     left = points.select("subject", "i", *coords)
     on = F.col("subject") == F.col("s2")
+    if tile:
+        top = lambda df: df.groupBy(F.col("subject").alias("__s")).agg(F.expr(f"int(max(i) div {tile})").alias("__top"))
+        every = lambda df, key, tops: df.join(tops, F.col(key) == F.col("__s")).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__top")))).drop("__s", "__top")
+        left = every(left, "subject", top(second)).withColumn("__a", F.expr(f"int(i div {tile})")).withColumnRenamed("__o", "__b")
+        right = every(right, "s2", top(points)).withColumn("__d", F.expr(f"int(j div {tile})")).withColumnRenamed("__o", "__c")
+        on = on & (F.col("__a") == F.col("__c")) & (F.col("__b") == F.col("__d"))
     if other is None and theiler > 0:
         on = on & (F.abs(F.col("i") - F.col("j")) >= theiler)
     d = distance([F.col(c) for c in coords], [F.col(f"{c}_2") for c in coords], metric)
@@ -200,6 +210,12 @@ def unit_sizes(points: DataFrame, keys: tuple[str, ...] = ("subject",)) -> DataF
     return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def kernel_threshold(points: DataFrame, coords: list[str], target_rr: float = 0.05, theiler: int = 1, keys: tuple[str, ...] = ("subject",), metric: str = "euclidean") -> DataFrame:
+    """keys, eps by the kernel: the exact quantile of a unit's pair distances, no pair of which is a row."""
+    run = lambda x: [(kernels.pair_quantile(x, target_rr, theiler, metric),)] if len(x) > max(theiler, 1) else []
+    return per_unit(points, keys, coords, run, "eps double")
+
+
 def kernel_histogram(points: DataFrame, coords: list[str], target_rr: float = 0.05, theiler: int = 1, keys: tuple[str, ...] = ("subject",), metric: str = "euclidean") -> DataFrame:
     """Kernel path: keys, kind, length, cnt, and rows of kind `pairs` and `recurrent` with their counts; eps on each row."""
     run = lambda x: kernels.recurrence_histogram(x, target_rr, theiler, metric)

@@ -126,7 +126,11 @@ def _eps(name: str, sql: str, **kw):
     query(name, f"WITH {_PTS}, {_PAIRS} {sql}")(run)
 
 
-_eps("eps_target_rr", f"SELECT subject, round(quantile_cont(d, {RR}), 6) AS eps FROM pairs GROUP BY subject", mode="target_rr", target_rr=RR)
+_RATE_SQL = f"SELECT subject, round(quantile_cont(d, {RR}), 6) AS eps FROM pairs GROUP BY subject"
+_eps("eps_relational", _RATE_SQL, mode="target_rr", target_rr=RR)
+query("eps_target_rr", f"WITH {_PTS}, {_PAIRS} {_RATE_SQL}")(lambda spark, d: rounded(R.kernel_threshold(points(spark, d), ["value"], RR)))
+query("eps_spread", f"WITH {_PTS}, {_PAIRS} {_RATE_SQL}")(lambda spark, d: rounded(R.spread_threshold(points(spark, d), ["value"], RR, strips=4)))
+query("rp_tiled", f"{_CORE} SELECT subject, count(*) AS n, CAST(sum(i * 31 + j) AS BIGINT) AS s FROM rec GROUP BY subject")(lambda spark, d: (lambda pair: R.recurrent(pair, R.threshold(pair, "target_rr", RR)).groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("i") * 31 + F.col("j")).alias("s")))(R.pairs(points(spark, d), ["value"], tile=16)))
 _eps("eps_percentile", "SELECT subject, round(quantile_cont(d, 0.25), 6) AS eps FROM pairs GROUP BY subject", mode="percentile", percentile=25)
 _eps("eps_fixed", "SELECT DISTINCT subject, 1.5::DOUBLE AS eps FROM pairs", mode="fixed", value=1.5)
 _eps("eps_std", "SELECT subject, round(0.1 * sqrt(var_pop(value)), 6) AS eps FROM pts GROUP BY subject", mode="std_fraction")

@@ -123,3 +123,12 @@ def test_spread_units_agree_with_whole_ones(spark):
     for theiler, rr in ((1, 0.1), (0, 0.05), (3, 0.3)):
         whole = told(R.kernel_histogram(df.where("subject <> 3"), ["a", "b"], rr, theiler))
         assert told(R.spread_histogram(df.where("subject <> 3"), ["a", "b"], rr, theiler, strips=5)) == whole
+
+
+def test_tiles_give_the_same_pairs(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(s, i, float(v)) for s, n in ((0, 23), (1, 8), (2, 1)) for i, v in enumerate(rng.normal(size=n))], "subject long, i long, a double")
+    other = df.where("i < 11").withColumn("a", F.col("a") * 2)
+    told = lambda d: sorted(tuple(r) for r in d.collect())
+    assert told(R.pairs(df, ["a"], 2, tile=5)) == told(R.pairs(df, ["a"], 2))
+    assert told(R.pairs(df, ["a"], other=other, tile=5)) == told(R.pairs(df, ["a"], other=other))
