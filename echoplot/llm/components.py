@@ -14,6 +14,8 @@ from .common import forget, written
 
 
 HUBS, HUB = 100_000, 256
+#: edges a written part holds, about: small tables then have few tasks a round
+PART = 20_000
 
 
 def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
@@ -43,14 +45,15 @@ def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least member) for every node of links (a, b); null ends are dropped."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    n_tasks, before = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break
         # a large star makes no more edges than it is given
-        half = written(_star(edges, True, now[0]), "edges")
-        new = written(_star(half, False, now[0]), "edges")
+        parts = int(min(n_tasks, -(-now[0] // PART)))
+        half = written(_star(edges, True, now[0]).coalesce(parts), "edges")
+        new = written(_star(half, False, now[0]).coalesce(parts), "edges")
         forget(edges, half)
         edges, before = new, now
     # a star for each component: every node but the centre points to it
