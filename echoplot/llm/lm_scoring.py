@@ -216,7 +216,7 @@ class Long:
             e = of[edge[k] : edge[k + 1]]
             own = np.flatnonzero(e >= 0)
             n = length[e[own]]
-            step = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(start[e[own]], n) + step
             out.append((np.repeat(p.begin[own], n) + step, uses[at], row[at]))
         return out, splits
