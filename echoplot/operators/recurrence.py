@@ -189,7 +189,7 @@ def quantify(hist: DataFrame, sizes: DataFrame | None = None, l_min: int = 2, v_
     spread = lambda c, low: F.when(z(f"{c}_longest") - low + 1 > 1, z(f"{c}_entropy") / F.log(z(f"{c}_longest") - low + 1)).otherwise(0.0)
     return out.select(
         *k,
-        (F.col("n_recurrent") / F.col("n_pairs")).alias("RR"),
+        F.when(F.col("n_pairs") > 0, F.col("n_recurrent") / F.col("n_pairs")).alias("RR"),  # no pairs, no rate
         ratio(z("d_points"), whole).alias("DET"),
         ratio(z("d_points"), z("d_lines")).alias("L"),
         z("d_longest").alias("Lmax"),

@@ -51,3 +51,14 @@ def test_every_window_of_every_subject(spark, tmp_path):
     assert set(got) == set(range(12)) and got[11].auc is None and got[3].auc == pytest.approx(auc[3], abs=1e-6)
     tested = sum(min(map(len, x)) >= 5 for x in sides.values())
     assert tested > 3 and run("group_timecourse_summary")[0].n_windows_tested == tested
+
+
+def test_too_few_windows_for_pairs(spark, tmp_path):
+    """Subjects of one or two windows keep their row: windows that share samples make no pair, so there is no rate."""
+    rng = np.random.default_rng(2)
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(1000 * u + i, t0 + datetime.timedelta(minutes=i), u, "a", float(v), "{}") for u, n in enumerate([25, 35, 45, 90]) for i, v in enumerate(rng.normal(size=n))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.subject: r for r in catalogue.QUERIES["meta_rqa"](spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2, 3} and [got[u].RR is None for u in range(4)] == [True, True, False, False]
+    assert all((got[u].DET, got[u].LAM, got[u].Lmax) == (0, 0, 0) for u in (0, 1)) and 0 < got[3].RR < 1
