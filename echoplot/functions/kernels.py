@@ -173,6 +173,28 @@ def _strip_histogram(x: np.ndarray, eps: float, theiler: int, metric: str, colum
     return hist, recurrent
 
 
+def shifted_mvl(phase: np.ndarray, a: np.ndarray, shifts: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+    """Mean vector length with the amplitude moved circularly by each shift; NaN is missing. About `most` moved samples
+    are held at once, or one shift's."""
+    n = len(a)
+    there, told = ~np.isnan(a), ~np.isnan(phase)
+    if not there.any() or a[there].mean() == 0:
+        return np.full(len(shifts), np.nan)
+    angle = np.where(told, phase, 0.0)
+    parts = np.column_stack([np.cos(angle), np.sin(angle), np.ones(n)]) * told[:, None]
+    # place j of a moved series holds sample j - shift: all moved series are stretches of the doubled one
+    moved = lambda x: np.lib.stride_tricks.sliding_window_view(np.concatenate([x, x]), n)
+    values, held = moved(np.where(there, a, 0.0)), moved(there.astype(float))
+    out = []
+    for at in range(0, len(shifts), max(1, most // n)):
+        start = n - shifts[at : at + max(1, most // n)] % n
+        x = values[start] @ parts[:, :2]
+        count = held[start] @ parts[:, 2] if not (there.all() and told.all()) else np.full(len(start), float(n))
+        with np.errstate(invalid="ignore"):
+            out.append(np.hypot(x[:, 0] / count, x[:, 1] / count))
+    return np.concatenate(out) / a[there].mean()
+
+
 def lempel_ziv(x: np.ndarray, normalise: bool = True) -> float:
     """Number of phrases of the median-binarised series (1976 parsing), over n / log2 n."""
     x = np.asarray(x, float)

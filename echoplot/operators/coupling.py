@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels
+from ..functions.units import per_unit
 from ..records import ParameterError
 from . import series as S
 
@@ -54,23 +56,23 @@ def shift_shares(n_surrogates: int, seed: int = 0) -> list[float]:
 
 def surrogate_significance(df: DataFrame, phase: str, amplitude: str, n_surrogates: int = 200, seed: int = 0) -> DataFrame:
     """subject, observed, null_mean, null_std, z, p of the mean vector length against circular shifts of the amplitude by
-    a tenth of the record to nine tenths; p = (1 + those that reach the observed one) / (1 + n).
-
-    A shift of the amplitude by s turns the sum over pairs into one over (i, i + s): each surrogate is one equi-join of the
-    shifted positions, all in one aggregation."""
-    n = F.count(F.lit(1)).over(S.everything())
-    base = df.select("subject", "i", F.col(phase).alias("__p"), F.col(amplitude).alias("__a"), n.alias("__n"))
-    shares = F.array(*[F.lit(u) for u in shift_shares(n_surrogates, seed)])
-    low = F.expr("__n div 10")
-    moved = base.select("subject", "__n", "i", "__a", F.posexplode(F.concat(F.array(F.lit(-1.0)), shares)).alias("__k", "__u"))
-    shift = F.when(F.col("__k") == 0, F.lit(0)).otherwise(low + F.floor(F.col("__u") * (F.col("__n") - 2 * low)))
-    moved = moved.select("subject", "__k", ((F.col("i") + shift) % F.col("__n")).alias("i"), "__a")
-    each = moved.join(base.select("subject", "i", "__p"), ["subject", "i"]).groupBy("subject", "__k").agg(F.round(S.mvl("__p", "__a"), 9).alias("v"))
-    null = F.when(F.col("__k") > 0, F.col("v"))
-    own = F.max(F.when(F.col("__k") == 0, F.col("v"))).over(S.everything())
-    out = each.withColumn("__o", own).groupBy("subject").agg(F.max("__o").alias("observed"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_std"), F.count_if(null >= F.col("__o")).alias("hits"))
-    z = F.when(F.col("null_std") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_std")).otherwise(0.0)
-    return out.select("subject", "observed", "null_mean", "null_std", z.alias("z"), ((1 + F.col("hits")) / (1 + n_surrogates)).alias("p"))
+    a tenth of the record to nine tenths; p = (1 + those that reach the observed one) / (1 + n). A subject whose mean vector
+    length is not defined (no amplitudes, or a mean of 0) has nulls.
+
+    All surrogates of a subject are made where its samples lie: neither they nor a join leave the kernel."""
+    shares = np.array(shift_shares(n_surrogates, seed))
+
+    def run(x):
+        low = len(x) // 10
+        shifts = np.concatenate([[0], low + np.floor(shares * (len(x) - 2 * low))]).astype(np.int64)
+        v = np.round(kernels.shifted_mvl(x[:, 0], x[:, 1], shifts), kernels.DIGITS)
+        if not np.isfinite(v).all():
+            return [(None,) * 5]
+        null, sd = v[1:], float(v[1:].std())
+        z = (v[0] - null.mean()) / sd if sd > 0 else 0.0
+        return [(float(v[0]), float(null.mean()), sd, float(z), float((1 + (null >= v[0]).sum()) / (1 + n_surrogates)))]
+
+    return per_unit(df, ("subject",), [phase, amplitude], run, "observed double, null_mean double, null_std double, z double, p double")
 
 
 def shuffled(df: DataFrame, c: str, seed: int = 0) -> DataFrame:

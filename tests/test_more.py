@@ -294,3 +294,24 @@ def test_configuration(spark):
     x = np.arange(6.0)
     assert config.array_digest(x) == config.array_digest(x.copy()) != config.array_digest(x.reshape(2, 3)) and config.resolve_rng(a) is a
     assert config.available_backends()["pyarrow"] and config.doctor(spark).count() == len(config.BACKENDS)
+
+
+def test_surrogates_by_hand(spark):
+    """Against every shift one by one, with missing samples; neither a join nor a row for each surrogate and sample."""
+    rng = np.random.default_rng(3)
+    shapes = {0: 64, 1: 5, 2: 40, 3: 30, 4: 1}
+    rows = [(s, i, float(rng.uniform(-np.pi, np.pi)), float(rng.gamma(2.0))) for s, n in shapes.items() for i in range(n)]
+    rows = [(s, i, None if s == 2 and i % 9 == 4 else p, None if s == 2 and i % 7 == 3 else 0.0 if s == 3 else a) for s, i, p, a in rows]
+    df = spark.createDataFrame(rows, "subject long, i long, phase double, amp double")
+    out = C.surrogate_significance(df, "phase", "amp", 20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    got = {r.subject: r for r in out.collect()}
+    assert set(got) == set(shapes) and got[3].observed is None and got[3].p is None
+    for s in (0, 1, 2, 4):
+        p, a = (np.array([r[k] for r in rows if r[0] == s], float) for k in (2, 3))
+        n = len(a)
+        v = [round(float(abs(np.nanmean([x * np.exp(1j * y) if x == x and y == y else np.nan for x, y in zip(np.roll(a, k), p, strict=True)])) / np.nanmean(a)), 9) for k in [0, *(n // 10 + int(u * (n - 2 * (n // 10))) for u in C.shift_shares(20))]]
+        r, null = got[s], np.array(v[1:])
+        assert (r.observed, r.null_mean, r.null_std) == pytest.approx((v[0], null.mean(), null.std()), abs=1e-8)
+        assert r.p == pytest.approx((1 + (null >= v[0]).sum()) / 21) and r.z == pytest.approx((v[0] - null.mean()) / null.std() if null.std() > 1e-12 else 0, abs=1e-5)
