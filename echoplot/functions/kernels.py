@@ -30,6 +30,27 @@ def gap(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     return d[..., 0] if d.shape[-1] == 1 else np.sqrt((d * d).sum(-1))
 
 
+def cosine_square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine distances of all rows of a and b. Terms are added coordinate by coordinate, as a loop over one pair adds them,
+    so that the last digits do not depend on how rows are blocked."""
+    b = np.ascontiguousarray(b.T)
+    dot, part = np.zeros((len(a), b.shape[1])), np.empty((len(a), b.shape[1]))
+    u, v = np.zeros(len(a)), np.zeros(b.shape[1])
+    for x, y in zip(a.T, b, strict=True):
+        np.multiply(x[:, None], y, out=part)
+        dot += part
+        u += x * x
+        v += y * y
+    np.multiply(u[:, None], v, out=part)
+    none = part == 0
+    np.sqrt(part, out=part)
+    part[none] = 1.0
+    dot /= part
+    np.clip(dot, -1.0, 1.0, out=dot)
+    dot[none] = 0.0
+    return 1 - dot
+
+
 def _between(values: np.ndarray, below: int, total: int, q: float) -> float:
     """The linear quantile of `total` values, from a sorted stretch that starts at rank `below`."""
     at = q * (total - 1)

@@ -14,6 +14,37 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def whole_units(batches: Iterator, keys: tuple[str, ...]) -> Iterator:
+    """Tables of whole units and where units begin and end in them, of batches that come sorted by their keys."""
+
+    def units(tables: list):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        t = pa.Table.from_batches(tables).combine_chunks()
+        if not t.num_rows:
+            return t, np.zeros(1, np.int64)
+        new = np.zeros(t.num_rows, bool)
+        for k in keys:
+            codes = pc.dictionary_encode(t[k].combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        return t, np.concatenate([[0], np.flatnonzero(new), [t.num_rows]])
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and all(held[-1][k][-1].as_py() == batch[k][0].as_py() == batch[k][-1].as_py() for k in keys):
+            held.append(batch)  # still within one unit
+            continue
+        t, cuts = units([*held, batch])
+        if len(cuts) > 2:
+            yield t.slice(0, cuts[-2]), cuts[:-1]
+        held = t.slice(cuts[-2]).to_batches()
+    if held:
+        yield units(held)
+
+
 def per_series(df: DataFrame, keys: tuple[str, ...], cols: list[str], run: Callable[[np.ndarray], np.ndarray], out: list[str]) -> DataFrame:
     """keys, i (from 0) and the double columns `out` from run(points x cols) -> points' x out of each unit."""
 
@@ -36,19 +67,6 @@ def per_unit(df: DataFrame, keys: tuple[str, ...], cols: list[str], run: Callabl
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + fields
     names = [f.split()[0].strip("`") for f in fields.split(", ")]
 
-    def units(tables: list):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        t = pa.Table.from_batches(tables).combine_chunks()
-        if not t.num_rows:
-            return t, np.zeros(1, np.int64)
-        new = np.zeros(t.num_rows, bool)
-        for k in keys:
-            codes = pc.dictionary_encode(t[k].combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            new[1:] |= codes[1:] != codes[:-1]
-        return t, np.concatenate([[0], np.flatnonzero(new), [t.num_rows]])
-
     def results(t, cuts):
         import pyarrow as pa
 
@@ -73,18 +91,7 @@ def per_unit(df: DataFrame, keys: tuple[str, ...], cols: list[str], run: Callabl
     arrow = [kinds[f.split()[1]] for f in fields.split(", ")]
 
     def walk(batches: Iterator) -> Iterator:
-        held: list = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held and all(held[-1][k][-1].as_py() == batch[k][0].as_py() == batch[k][-1].as_py() for k in keys):
-                held.append(batch)  # still within one unit
-                continue
-            t, cuts = units([*held, batch])
-            if len(cuts) > 2:
-                yield from results(t.slice(0, cuts[-2]), cuts[:-1])
-            held = t.slice(cuts[-2]).to_batches()
-        if held:
-            yield from results(*units(held))
+        for t, cuts in whole_units(batches, keys):
+            yield from results(t, cuts)
 
     return dealt(df.select(*keys, "i", *cols), *keys).sortWithinPartitions(*keys, "i").mapInArrow(walk, schema)

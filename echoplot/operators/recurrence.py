@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.units import per_unit
+from ..functions.units import dealt, per_unit, whole_units
 from ..records import ParameterError
 
 METRICS = ("euclidean", "chebyshev", "manhattan", "cosine")
@@ -72,6 +72,65 @@ def pairs(points: DataFrame, coords: list[str], theiler: int = 1, metric: str =
     return left.join(right, on).select("subject", "i", "j", F.round(d, DIGITS).alias("d"))
 
 
+def cosine_pairs(vectors: DataFrame, key: str, index: str, vector: str, digits: int = 6, block: int = 1024, cells: int = 1 << 16) -> DataFrame:
+    """i, j, d: the cosine distance of every two rows of a key, i < j, rounded half up; null where a vector is missing, holds
+    a null, or the two have different lengths.
+
+    Keys of more than `block` rows are dealt into blocks of about that many, and each two blocks meet in a unit of their own:
+    a row is sent once for each block of its key, and neither a key nor its pairs are held by one task."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = dict(vectors.dtypes)[index]
+    rows = vectors.where(F.col(key).isNotNull() & F.col(index).isNotNull()).select(F.col(key).alias("k"), F.col(index).alias("i"), F.col(vector).alias("x"))
+    # at most rows / block keys
+    large = rows.groupBy(F.col("k").alias("__k")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("__k", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    told = rows.join(F.broadcast(large), F.col("k") == F.col("__k"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    told = told.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = told.select("k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "i", "x")
+    unit = ("k", "p", "q")
+
+    def by_length(x, at):
+        """length -> rows and their vectors; rows of no use are of length -1."""
+        x = x.take(pa.array(at))
+        size = x.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        if x.values.null_count:
+            size = np.array([-1 if v is None or None in v else len(v) for v in x.to_pylist()])
+        out = {}
+        for n in np.unique(size):
+            own = np.flatnonzero(size == n)
+            out[int(n)] = at[own], x.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), n) if n >= 0 else None
+        return out
+
+    def distances(one, two, same):
+        """Rows r, s and d of the pairs of two tables, some rows of the first at a time."""
+        for n, (r, a) in one.items():
+            for m, (s, b) in two.items():
+                step = max(1, cells // len(s))
+                for at in range(0, len(r), step):
+                    low = at if same and n == m else 0  # rows come in the order of their ids
+                    to = min(len(r), at + step)
+                    d = kernels.cosine_square(a[at:to], b[low:]) if n == m >= 0 else None
+                    yield r[at:to], s[low:], None if d is None else np.floor(d * 10**digits + 0.5) / 10**digits
+
+    def run(batches):
+        for t, cuts in whole_units(batches, unit):
+            ids, own, p, q = (t[c].to_numpy() for c in ("i", "own", "p", "q"))
+            x = t["x"].combine_chunks()
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                here, same = np.arange(at, to), p[at] == q[at]
+                one = by_length(x, here[own[at:to] == p[at]])
+                two = one if same else by_length(x, here[own[at:to] == q[at]])
+                for r, s, d in distances(one, two, same):
+                    i, j = ids[r][:, None], ids[s][None, :]
+                    wanted = i < j if same else i != j
+                    count = int(wanted.sum())
+                    d = pa.nulls(count, pa.float64()) if d is None else pa.array(d[wanted])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)[wanted]), pa.array(np.maximum(i, j)[wanted]), d], ["i", "j", "d"])
+
+    return dealt(met, *unit).sortWithinPartitions(*unit, "own", "i").mapInArrow(run, f"i {kind}, j {kind}, d double")
+
+
 MODES = ("fixed", "target_rr", "percentile", "std_fraction", "maxdist_fraction", "fan", "adaptive_dim")
 
 

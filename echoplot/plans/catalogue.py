@@ -112,6 +112,8 @@ for _m, _e in {"euclidean": "list_distance(a, b)", "chebyshev": "list_max(list_t
 
     def _dist(spark, d, m=_m):
         e = spark.read.parquet(f"{d}/embeddings.parquet")
+        if m == "cosine":
+            return R.cosine_pairs(e, "label", "vec_id", "embedding")
         a, b = e.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("a")), e.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
         return a.join(b, "label").where("i < j").select("i", "j", F.round(R.array_distance(F.col("a"), F.col("b"), m), 6).alias("d"))
 

@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
+from echoplot.operators import recurrence
 from echoplot.plans import catalogue
 
 
@@ -62,3 +63,29 @@ def test_too_few_windows_for_pairs(spark, tmp_path):
     got = {r.subject: r for r in catalogue.QUERIES["meta_rqa"](spark, str(tmp_path)).collect()}
     assert set(got) == {0, 1, 2, 3} and [got[u].RR is None for u in range(4)] == [True, True, False, False]
     assert all((got[u].DET, got[u].LAM, got[u].Lmax) == (0, 0, 0) for u in (0, 1)) and 0 < got[3].RR < 1
+
+
+def test_cosine_distances_in_blocks(spark, tmp_path):
+    """Blocks that meet give every pair once; vectors that have no distance keep their rows; only a row's block travels, no pairs."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=5).tolist(), int(i % 3 > 0)) for i in range(60)]
+    rows += [(7, rng.normal(size=5).tolist(), 1), (60, None, 1), (61, [1.0, None, 0.0, 0.0, 0.0], 1), (62, [1.0, 2.0], 1), (63, [2.0, 4.0], 1), (64, [0.0] * 5, 1), (65, [1.0] * 5, None), (None, [1.0] * 5, 1), (-1, [3.0] * 5, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+    def far(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        a, b = np.array(a), np.array(b)
+        norm = np.sqrt((a * a).sum() * (b * b).sum())
+        return round(float(1 - (a * b).sum() / norm), 6) if norm else 1.0
+
+    place = lambda r: (r[0], r[1], r[2] is None, r[2] or 0.0)
+    want = sorted([(i, j, far(a, b)) for i, a, x in rows for j, b, y in rows if x is not None and x == y and i is not None and j is not None and i < j], key=place)
+    for block, cells in ((1024, 1 << 16), (4, 1 << 16), (9, 5)):
+        got = sorted([(r.i, r.j, r.d) for r in recurrence.cosine_pairs(df, "label", "vec_id", "embedding", block=block, cells=cells).collect()], key=place)
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert [r[2] is None for r in got] == [r[2] is None for r in want]
+        assert [r[2] for r in got if r[2] is not None] == pytest.approx([r[2] for r in want if r[2] is not None], abs=1.01e-6)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = catalogue.QUERIES["dist_cosine"](spark, str(tmp_path))
+    assert len(out.collect()) == len(want) and "zip_with" not in out._jdf.queryExecution().executedPlan().toString().lower()
