@@ -48,6 +48,8 @@ ANCHOR, SPARSE, REACH = 20, 32, 255
 WORDS, GRAMS, SEEN, STRINGS, LONG, SPLIT = 1, 2, 3, 4, 5, 6
 LOG2 = math.log(2)
 MASK = U(2**56 - 1)
+#: passes over bytes go by stretches that stay in a core's cache
+STEP = 1 << 15
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -59,8 +61,18 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(shift)
 
 
+#: log_gamma of k + 0.5 and of k + 1 for the counts that nearly all nodes have
+HALVES, WHOLES = log_gamma(np.arange(1 << 12) + 0.5), log_gamma(np.arange(1 << 12) + 1.0)
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    """Of whole numbers."""
+    both = zeros + ones
+    large = both >= len(HALVES)
+    z, o, b = (np.minimum(x, len(HALVES) - 1).astype(np.int64) for x in (zeros, ones, both))
+    out = HALVES[z] + HALVES[o] - WHOLES[b]
+    out[large] = log_gamma(zeros[large] + 0.5) + log_gamma(ones[large] + 0.5) - log_gamma(both[large] + 1.0)
+    return out - math.log(math.pi)
 
 
 def held_out(block: Block) -> np.ndarray:
@@ -69,18 +81,18 @@ def held_out(block: Block) -> np.ndarray:
 
 def gram_keys(raw: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
     """For each byte: the byte before it, the one before that, ... (most significant first), and itself last."""
-    key = np.zeros(len(raw), U)
-    row_start = np.repeat(off[:-1], np.diff(off))
-    place = np.arange(len(raw)) - row_start
-    early = np.flatnonzero(place < depth)
-    for back in range(1, depth + 1):
-        before = np.zeros(len(raw), np.uint8)
-        before[back:] = raw[:-back] if back < len(raw) else raw[:0]
-        before[early[place[early] < back]] = 0
-        key <<= U(8)
-        key |= before
-    key <<= U(8)
-    key |= raw
+    n = len(raw)
+    padded = np.concatenate([np.zeros(depth, np.uint8), raw, np.zeros(8, np.uint8)])
+    window = np.ndarray(n, "<u8", padded, 0, (1,))  # the bytes from `depth` before each on
+    key = np.empty(n, U)
+    for at in range(0, n, STEP):
+        part = window[at : at + STEP] << U(64 - 8 * depth)
+        part >>= U(56 - 8 * depth)
+        part |= raw[at : at + STEP]
+        key[at : at + STEP] = part
+    for place in range(depth):  # the first bytes of a row have only so many before them
+        at = off[:-1] + place
+        key[at[at < off[1:]]] &= U(255 | (1 << 8 * (depth + 1)) - (1 << 8 * (depth + 1 - place)))
     return key
 
 
@@ -94,33 +106,61 @@ def distinct(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     bits = max(1, n.bit_length())
     if not n or width + bits > 64:
         return np.unique(key, return_inverse=True)
-    both = key << U(bits) | np.arange(n, dtype=U)
+    both = key << U(bits)
+    both |= np.arange(n, dtype=U)
     both.sort()
-    place = (both & U((1 << bits) - 1)).astype(np.int64)
-    both >>= U(bits)
-    new = np.ones(n, bool)
-    new[1:] = both[1:] != both[:-1]
-    which = np.empty(n, np.int32)
-    which[place] = np.cumsum(new, dtype=np.int32) - 1
-    return both[new], which
+    which, kinds, last, n_kinds = np.empty(n, np.int32), [], None, 0
+    for at in range(0, n, STEP):
+        part = both[at : at + STEP]
+        place = (part & U((1 << bits) - 1)).view(np.int64)
+        part >>= U(bits)
+        new = np.empty(len(part), bool)
+        new[0] = part[0] != last
+        np.not_equal(part[1:], part[:-1], out=new[1:])
+        which[place] = np.cumsum(new, dtype=np.int32) + (n_kinds - 1)
+        kinds.append(part[new])
+        last, n_kinds = part[-1], n_kinds + len(kinds[-1])
+    return np.concatenate(kinds), which
+
+
+def tallied(key: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers under 2**62, and how often each of them has flags 0, 1, 2 and 3. Numbers and flags are sorted as one."""
+    both = key << U(2)
+    both |= flags
+    both.sort()
+    new = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+    uses, both = np.diff(np.append(new, len(both))), both[new]
+    flags, both = (both & U(3)).astype(np.int64), both >> U(2)
+    first = np.append(True, both[1:] != both[:-1])[: len(both)]
+    out = np.zeros((first.sum(), 4), np.int64)
+    out[np.cumsum(first) - 1, flags] = uses
+    return both[first], out
 
 
 class Anchors:
     """Anchors of a stretch of whole documents: hash, row, the bytes from begin to stop that they are the last anchor of,
     and the hash of anchor and bytes."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray):
-        sums = RollingHash(raw)
-        gram = sums.grams(ANCHOR)
-        at = np.flatnonzero(gram & U(SPARSE - 1) == 0)
+    def __init__(self, raw: np.ndarray, off: np.ndarray, sums: RollingHash):
+        places, grams = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+        for begin in range(0, len(raw) + 1 - ANCHOR, STEP):  # sums.grams(ANCHOR), of which few are kept
+            stop = min(begin + STEP, len(raw) + 1 - ANCHOR)
+            gram = sums.prefix[begin + ANCHOR : stop + ANCHOR] - sums.prefix[begin:stop]
+            gram *= sums.inverse[begin:stop]
+            gram += U(ANCHOR)
+            gram = mix(gram)
+            places.append(np.flatnonzero(gram & U(SPARSE - 1) == 0))
+            grams.append(gram[places[-1]])
+            places[-1] += begin
+        at, gram = np.concatenate(places), np.concatenate(grams)
         row = np.searchsorted(off, at, "right") - 1
         inside = at + ANCHOR < off[row + 1]  # a byte at least comes after the anchor
-        at, self.row = at[inside], row[inside]
+        at, gram, self.row = at[inside], gram[inside], row[inside]
         self.begin = at + ANCHOR
         end = off[self.row + 1]
         later = np.append(self.begin[1:], len(raw) + ANCHOR)
         self.stop = np.minimum(np.minimum(later, end), self.begin + REACH)
-        self.key = gram[at] >> U(8)
+        self.key = gram >> U(8)
         self.whole = sums.spans(at, self.stop)
 
 
@@ -146,14 +186,18 @@ class Strings:
 
 
 class Long:
-    """A block's anchors and strings, as far as the rounds have come."""
+    """A block's anchors and strings, as far as the rounds have come; and its words, if `worded`."""
 
-    def __init__(self, block: Block, train: np.ndarray, n: int):
+    def __init__(self, block: Block, train: np.ndarray, n: int, worded: bool = False):
         self.block, self.n = block, n
-        self.parts, self.raws, self.train = [], [], []
+        self.parts, self.raws, self.train, self.words = [], [], [], []
         for at, to in block.pieces():
             raw, off = LOWER[block.raw[block.off[at] : block.off[to]]], block.off[at : to + 1] - block.off[at]
-            part = Anchors(raw, off)
+            sums = RollingHash(raw)
+            part = Anchors(raw, off, sums)
+            if worded:
+                start, stop, row = words(raw, off)
+                self.words.append((row, *(np.unique(sums.spans(start, stop) & MASK, return_inverse=True) if len(start) else (np.zeros(0, U), np.zeros(0, np.int64)))))
             self.parts.append(part)
             self.raws.append(raw)
             self.train.append(train[at:to][part.row].astype(float))
@@ -263,7 +307,7 @@ def reply_strings(rows: list[tuple], n: int, depth: int, most: int = 400_000) ->
     uses, estimates = np.concatenate(uses), np.concatenate(estimates)
     out = []
     for tag, parts in ((LONG, long), (SPLIT, split)):
-        k, where = np.unique(np.concatenate([np.zeros(0, U), *[x[0] for x in parts]]), return_inverse=True)
+        k, where = distinct(np.concatenate([np.zeros(0, U), *[x[0] for x in parts]]), 8 * (depth + 1))
         v = np.bincount(where, np.concatenate([np.zeros(0), *[x[1] for x in parts]]), len(k)) if len(k) else np.zeros(0)
         to = gram_bucket(k, n, depth)
         o = np.argsort(to, kind="stable")
@@ -286,12 +330,17 @@ def contexts(sums: RollingHash, text: np.ndarray, key: np.ndarray, count: np.nda
     follows, else 0; estimates of the others' decisions, and how many of them each string has; (keys, sums) of LONG and of SPLIT."""
     at = _ranges(begin, size)
     context = mix(sums.spans(np.repeat(begin, size), at) + np.repeat(key, size) * U(0x9E3779B97F4A7C15))
-    kind, first, which = np.unique(context, return_index=True, return_inverse=True)
+    order = np.argsort(context)
+    context = context[order]
+    new = np.append(True, context[1:] != context[:-1])[: len(context)]
+    kind, first, which = context[new], order[new], np.empty(len(order), np.int64)  # first: any place of the context
+    which[order] = np.cumsum(new) - 1
     weight = np.repeat(count, size).astype(float)
     total = np.bincount(which, weight, len(kind))
     twice = total > 1
     byte = text[at].astype(np.int64)
-    pair, pwhich = np.unique(which * 256 + byte, return_inverse=True)
+    pair, pwhich = distinct((which << 8 | byte).astype(U), len(kind).bit_length() + 8)
+    pair = pair.astype(np.int64)
     met = np.bincount(pwhich, weight, len(pair))
     followers = np.bincount(pair[met > 0] >> 8, minlength=len(kind))
     alone = twice & (followers == 1)
@@ -310,11 +359,12 @@ def contexts(sums: RollingHash, text: np.ndarray, key: np.ndarray, count: np.nda
     sole = _sole(pair, met, len(kind))
     keys, logs = [], []
     mine = np.flatnonzero((twice & (followers > 1))[pair >> 8] & (met > 0))
+    mine, mine_met = pair[mine], met[mine]
     for bit in range(8):
-        node = pair[mine] >> 8 << 8 | 1 << bit | (pair[mine] & 255) >> (8 - bit)
-        names, where = np.unique(node, return_inverse=True)
-        one = (pair[mine] >> (7 - bit)) & 1
-        ones, zeros = np.bincount(where, met[mine] * one, len(names)), np.bincount(where, met[mine] * (1 - one), len(names))
+        node = mine >> 8 << 8 | 1 << bit | (mine & 255) >> (8 - bit)  # in order, as the pairs are
+        begins = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+        names, one = node[begins], (mine >> (7 - bit)) & 1
+        ones, zeros = (np.add.reduceat(mine_met * x, begins) if len(begins) else np.zeros(0) for x in (one, 1 - one))
         keys.append(short[names >> 8] << U(8) | (names & 255).astype(U))
         logs.append(log_kt(zeros, ones))
         # a loose byte finds its node if its context splits; else it goes with its context's one byte as far as that goes
@@ -341,27 +391,35 @@ def _sole(pair: np.ndarray, uses: np.ndarray, n: int) -> np.ndarray:
 
 
 class Grams:
-    """A block's distinct words and short contexts with bytes, each ordered by bucket and key, and where its pieces have them."""
+    """A block's distinct words and short contexts with bytes, each ordered by bucket and key, and their training counts;
+    or, if `placed`, in place of counts where its pieces have them. `long` knows the block's words."""
 
-    def __init__(self, block: Block, train: np.ndarray, n: int, depth: int, long: Long, met: list):
-        self.pieces, word_parts, gram_parts = [], [], []
+    def __init__(self, block: Block, train: np.ndarray, n: int, depth: int, long: Long, met: list, placed: bool):
+        self.pieces, word_parts, gram_parts, found = [], [], [], []
         for k, (at, to) in enumerate(block.pieces()):
-            raw, off = long.raws[k], block.off[at : to + 1] - block.off[at]
-            start, stop, row = words(raw, off)
-            kind, which = np.unique(RollingHash(raw).spans(start, stop) & MASK, return_inverse=True) if len(start) else (np.zeros(0, U), np.zeros(0, np.int64))
-            word_parts.append((kind, np.bincount(which, train[at:to][row], len(kind)).astype(np.int64)))
-            place = met[k][0]
-            deep = np.zeros(len(raw), bool)
-            deep[place] = True
-            gkind, gwhich = distinct(gram_keys(raw, off, depth), 8 * (depth + 1))
-            learned = np.repeat(train[at:to], np.diff(off))
-            every = np.bincount(gwhich, learned, len(gkind))
-            rest = np.bincount(gwhich, learned & ~deep, len(gkind))
-            gram_parts.append((gkind, every, rest, np.bincount(gwhich[place], minlength=len(gkind)) > 0))
-            self.pieces.append((at, to, off, row, kind, which, gkind, gwhich, place))
-        self.word, (self.word_count,) = _summed(word_parts)
-        self.gram, (self.every, self.rest, deep) = _summed(gram_parts, 3)
+            raw, off, place = long.raws[k], block.off[at : to + 1] - block.off[at], met[k][0]
+            row, kind, which = long.words[k]
+            key = gram_keys(raw, off, depth)
+            if placed:
+                gkind, gwhich = distinct(key, 8 * (depth + 1))
+                deep = np.zeros(len(gkind), bool)
+                deep[gwhich[place]] = True
+                word_parts.append((kind,))
+                gram_parts.append((gkind, deep))
+                found.append((at, to, off, row, which, gwhich, place))
+            else:
+                flags = np.repeat(train[at:to].astype(np.uint8) * np.uint8(2), np.diff(off))
+                flags[place] += np.uint8(1)
+                gkind, uses = tallied(key, flags)
+                word_parts.append((kind, np.bincount(which, train[at:to][row], len(kind)).astype(np.int64)))
+                gram_parts.append((gkind, uses[:, 1] + uses[:, 3], uses[:, 3], uses[:, 2] + uses[:, 3]))
+        self.word, word_spots, *counts = _summed(word_parts, 56, 0 if placed else 1)
+        self.gram, gram_spots, deep, *gram_counts = _summed(gram_parts, 8 * (depth + 1), 1 if placed else 3)
         self.deep = deep > 0
+        if placed:
+            self.pieces = [(*x, w, g) for x, w, g in zip(found, word_spots, gram_spots, strict=True)]
+        else:
+            (self.word_count,), (self.under, self.every) = counts, gram_counts
         with np.errstate(over="ignore"):
             self.word_bucket, self.gram_bucket = (mix(self.word) % U(n)).astype(np.int64), gram_bucket(self.gram, n, depth)
         self.word_order, self.gram_order = np.argsort(self.word_bucket, kind="stable"), np.argsort(self.gram_bucket, kind="stable")
@@ -373,15 +431,16 @@ class Grams:
         out += [(number, WORDS, b, packed(squeezed(self.word[x]), self.word_count[x].astype(np.uint32))) for b in range(n) if len(x := o[cut[b] : cut[b + 1]])]
         o = self.gram_order
         cut = np.searchsorted(self.gram_bucket[o], np.arange(n + 1))
-        out += [(number, GRAMS, b, packed(squeezed(self.gram[x]), self.every[x].astype(np.uint32), (self.every - self.rest)[x].astype(np.uint32), self.deep[x].astype(np.uint8))) for b in range(n) if len(x := o[cut[b] : cut[b + 1]])]
+        out += [(number, GRAMS, b, packed(squeezed(self.gram[x]), self.every[x].astype(np.uint32), self.under[x].astype(np.uint32), self.deep[x].astype(np.uint8))) for b in range(n) if len(x := o[cut[b] : cut[b + 1]])]
         return out
 
 
-def _summed(parts: list[tuple], columns: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted distinct keys of several such lists, and their columns summed."""
-    key = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, U)
-    kind, which = np.unique(key, return_inverse=True)
-    return kind, [np.bincount(which, np.concatenate([p[k + 1] for p in parts]), len(kind)).astype(np.int64) if parts else np.zeros(0, np.int64) for k in range(columns)]
+def _summed(parts: list[tuple], width: int, columns: int) -> tuple:
+    """Sorted distinct keys under 2**width of several such lists, where each list's are among them, and the lists' columns summed."""
+    key = np.concatenate([np.zeros(0, U), *[p[0] for p in parts]])
+    kind, which = distinct(key, width)
+    cut = np.cumsum([0, *[len(p[0]) for p in parts]])
+    return kind, [which[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], *[np.bincount(which, np.concatenate([np.zeros(0), *[p[k + 1] for p in parts]]), len(kind)).astype(np.int64) for k in range(columns)]
 
 
 def _merged(rows: list[tuple], kind: int, columns: int = 1):
@@ -483,10 +542,31 @@ def shortened(given: np.ndarray, left: np.ndarray) -> np.ndarray:
     return np.where(given < 0.5, given, -np.maximum(1 - given - left, 0)).astype(np.float16)
 
 
-def with_long(code: np.ndarray, left: np.ndarray, estimate: np.ndarray) -> np.ndarray:
-    """Probability of a decision from what short contexts give, the weight left, and a long context's estimate."""
-    code, left = code.astype(float), left.astype(float)
-    return np.where(np.signbit(code), 1 + code - left * (1 - estimate), code + left * estimate)
+class Mixed:
+    """Log10 probabilities of bytes in long contexts, from what short contexts give their eight decisions (see shortened) and
+    the weights left: two tables of decisions by gram."""
+
+    def __init__(self, code: np.ndarray, left: np.ndarray):
+        code, left = code.T.astype(np.float32), left.T.astype(np.float32)
+        self.left = np.ascontiguousarray(left)
+        self.given = np.where(np.signbit(code), 1 - left.astype(float) + code, code)
+
+    def log10(self, gram: np.ndarray, uses: np.ndarray, row: np.ndarray, splits: np.ndarray) -> np.ndarray:
+        """Of each byte's gram; a long context gives all eight decisions one estimate by its uses, or those of a row of
+        `splits` (-1: none)."""
+        out = np.empty(len(gram))
+        for at in range(0, len(gram), STEP >> 2):
+            x = slice(at, at + (STEP >> 2))
+            p = self.left[gram[x]].astype(float)
+            loose = np.flatnonzero(row[x] >= 0)
+            own = p[loose] * splits[row[x][loose]]
+            p *= ((uses[x] + 0.5) / (uses[x] + 1.0))[:, None]
+            p[loose] = own
+            p += self.given[gram[x]]
+            p = p[:, :4] * p[:, 4:]  # all eight at once: at least 10**-80 or so
+            p = p[:, :2] * p[:, 2:]
+            out[x] = p[:, 0] * p[:, 1]
+        return np.log10(out, out=out)
 
 
 class Top:
@@ -533,15 +613,15 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     known = seen.union(answer(meet(table, seen, n, send_strings, MESSAGE), n, strings_told))
 
-    def so_far(block: Block, by: dict):
+    def so_far(block: Block, by: dict, placed: bool):
         train = ~held_out(block)
         with np.errstate(over="ignore"):
-            long = Long(block, train, n)
+            long = Long(block, train, n, True)
             met, splits = long.met(by, long.strings(by))
-            return Grams(block, train, n, depth, long, met), met, splits
+            return Grams(block, train, n, depth, long, met, placed), met, splits
 
     def send_grams(number: int, block: Block, by: dict):
-        yield batch(so_far(block, by)[0].asked(number, n))
+        yield batch(so_far(block, by, False)[0].asked(number, n))
 
     asked = written(meet(table, known, n, send_grams, MESSAGE), "asked").union(known.where("block = -2"))
     release(docs.sparkSession)
@@ -586,7 +666,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def finish(number: int, block: Block, by: dict):
         out_of = held_out(block)
-        g, met, splits = so_far(block, by)
+        g, met, splits = so_far(block, by, True)
         told = [unpacked(by[WORDS][b])[0] for b in sorted(by.get(WORDS, {}))]
         wc = np.zeros(len(g.word), np.int64)
         wc[g.word_order] = np.concatenate(told) if told else np.zeros(0, np.int64)
@@ -594,30 +674,22 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         gp = np.zeros(len(g.gram))
         gp[g.gram_order] = np.concatenate([t[0] for t in told]) if told else np.zeros(0)
         deep_order = g.gram_order[g.deep[g.gram_order]]
-        given, left = np.zeros((8, len(g.gram)), np.float16), np.zeros((8, len(g.gram)), np.float16)
-        if told:
-            given[:, deep_order] = np.concatenate([t[1].reshape(8, -1) for t in told], axis=1)
-            left[:, deep_order] = np.concatenate([t[2].reshape(8, -1) for t in told], axis=1)
+        deep_spot = np.zeros(len(g.gram), np.int32)
+        deep_spot[deep_order] = np.arange(len(deep_order))
+        mixed = Mixed(*(np.concatenate([t[k].reshape(8, -1) for t in told], axis=1) if told else np.zeros((8, 0), np.float16) for k in (1, 2)))
+        word_log = np.log10((wc + 0.1) / floor)
         size = len(block.ids)
         n_words, known_words, base, log10 = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
-        for (at, to, off, row, kind, which, gkind, gwhich, place), (_, uses, split) in zip(g.pieces, met, strict=True):
-            if len(kind):
-                c = wc[np.searchsorted(g.word, kind)][which]
+        for (at, to, off, row, which, gwhich, place, word_spot, gram_spot), (_, uses, split) in zip(g.pieces, met, strict=True):
+            if len(which):
                 n_words[at:to] = row_counts(row, to - at)
-                known_words[at:to] = np.bincount(row[c > 0], minlength=to - at)
-                base[at:to] = np.bincount(row, np.log10((c + 0.1) / floor), to - at)
-            if len(gkind):
-                spot = np.searchsorted(g.gram, gkind)
-                p = gp[spot][gwhich]
-                if len(place):
-                    own = spot[gwhich[place]]
-                    sure = (uses + 0.5) / (uses + 1.0)
-                    found = np.zeros(len(place))
-                    for bit in range(8):
-                        e = np.where(split >= 0, splits[np.maximum(split, 0), bit] if len(splits) else 0.5, sure)
-                        found += np.log10(with_long(given[bit, own], left[bit, own], e))
-                    p[place] = found
-                log10[at:to] = np.bincount(np.repeat(np.arange(to - at), np.diff(off)), p, to - at)
+                known_words[at:to] = np.bincount(row[(wc > 0)[word_spot][which]], minlength=to - at)
+                base[at:to] = np.bincount(row, word_log[word_spot][which], to - at)
+            if len(gwhich):
+                p = gp[gram_spot][gwhich]
+                p[place] = mixed.log10(deep_spot[gram_spot][gwhich[place]], uses, split, splits)
+                full = np.flatnonzero(np.diff(off))
+                log10[at + full] = np.add.reduceat(p, off[full])
         base += math.log10((ends + 0.1) / floor)
         length = np.diff(block.off)
         ids = pa.array(block.ids, mask=block.missing.astype(bool))

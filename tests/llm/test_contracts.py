@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -295,6 +296,69 @@ def test_language_model_against_a_plain_tree(spark):
         assert [got[i].held_out for i in range(len(texts))] == [not k for k in train]
 
 
+def test_pieces_of_the_language_model_against_plain_ones():
+    rng = np.random.default_rng(21)
+    raw = rng.integers(97, 100, 100_000).astype(np.uint8)  # over some stretches
+    off = np.concatenate([[0, 0, 1, 3, 3], np.sort(rng.integers(3, len(raw), 60)), [len(raw), len(raw)]])
+    b = raw.tobytes()
+    for depth in (2, 4, 6):
+        want = [int.from_bytes(b[max(start, i - depth) : i][::-1].ljust(depth, b"\0") + b[i : i + 1], "big") for start, stop in zip(off[:-1], off[1:], strict=True) for i in range(start, stop)]
+        key = lm_scoring.gram_keys(raw, off, depth)
+        assert key.tolist() == want
+        kind, which = lm_scoring.distinct(key, 8 * (depth + 1))
+        assert kind.tolist() == sorted(set(want)) and (kind[which] == key).all()
+        flags = rng.integers(0, 4, len(raw)).astype(np.uint8)
+        tallied, uses = lm_scoring.tallied(key, flags)
+        plain = Counter(zip(want, flags.tolist(), strict=True))
+        assert tallied.tolist() == kind.tolist() and uses.tolist() == [[plain[k, f] for f in range(4)] for k in kind.tolist()]
+    for n in range(8):  # shorter than the contexts
+        assert len(lm_scoring.gram_keys(raw[:n], np.array([0, n]), 6)) == n
+    assert [len(x) for x in lm_scoring.tallied(key[:0], flags[:0])] == [0, 0]
+    with np.errstate(over="ignore"):
+        sums = lm_scoring.RollingHash(raw)
+        gram, found = sums.grams(lm_scoring.ANCHOR), lm_scoring.Anchors(raw, off, sums)
+    end = off[np.searchsorted(off, np.arange(len(gram)), "right")]
+    at = np.flatnonzero((gram % np.uint64(lm_scoring.SPARSE) == 0) & (np.arange(len(gram)) + lm_scoring.ANCHOR < end))
+    assert (found.begin - lm_scoring.ANCHOR).tolist() == at.tolist() and (found.key == gram[at] >> np.uint64(8)).all()
+    counts = np.array([0.0, 1, 7, 4000, 4095, 4096, 5000, 10**7])
+    zeros, ones = (x.ravel() for x in np.meshgrid(counts, counts))
+    plain = [math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi) for z, o in zip(zeros, ones, strict=True)]
+    assert lm_scoring.log_kt(zeros, ones) == pytest.approx(plain, rel=1e-9, abs=1e-7)
+
+
+def test_long_contexts_mix_decision_by_decision():
+    rng = np.random.default_rng(22)
+    grams, n = 50, 40_000
+    left = rng.random((8, grams)) ** 8
+    given = (1 - left) * np.where(rng.random((8, grams)) < 0.5, 1 - 10.0 ** -rng.integers(1, 7, (8, grams)), 10.0 ** -rng.integers(1, 7, (8, grams)))
+    code, left = lm_scoring.shortened(given, left), left.astype(np.float16)
+    gram, uses = rng.integers(0, grams, n), rng.integers(1, 10**6, n).astype(np.uint32)
+    splits = rng.random((300, 8)).astype(np.float32)
+    row = np.where(rng.random(n) < 0.1, rng.integers(0, 300, n), -1)
+    estimate = np.where(row[:, None] >= 0, splits[row], ((uses + 0.5) / (uses + 1.0))[:, None])
+    c, w = code.T[gram].astype(float), left.T[gram].astype(float)
+    want = np.log10(np.where(np.signbit(c), 1 + c - w * (1 - estimate), c + w * estimate)).sum(1)
+    mixed = lm_scoring.Mixed(code, left)
+    assert mixed.log10(gram, uses, row, splits) == pytest.approx(want, rel=1e-9, abs=1e-12)
+    assert len(mixed.log10(gram[:0], uses[:0], row[:0], splits[:0])) == 0
+
+
+def test_short_contexts_take_few_passes():
+    raw = np.random.default_rng(23).integers(97, 110, 1 << 21).astype(np.uint8)
+    off = np.arange(0, len(raw) + 1, 1 << 11)
+
+    def seconds(fn):
+        took = []
+        for _ in range(7):
+            begin = time.process_time()
+            fn()
+            took.append(time.process_time() - begin)
+        return min(took)
+
+    one = seconds(lambda: raw.astype(np.uint64) << np.uint64(8))
+    assert seconds(lambda: lm_scoring.gram_keys(raw, off, 4)) < 12 * one  # 28 before, 4 after
+
+
 def test_texts_over_many_chunks_and_blocks(spark):
     rng = np.random.default_rng(8)
     vocabulary = np.array(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(4000)])
