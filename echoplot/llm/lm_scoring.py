@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import MESSAGE, Block, answer, ask, batch, blocks, bucket_count, by_bucket, groups, meet, packed, squeezed, unpacked, unsqueezed
-from .common import LOWER, U, RollingHash, mix, read, release, row_counts, words, written
+from .common import BYTE_CODE, LOWER, U, RollingHash, mix, powers, read, release, row_counts, words, written
 
 DEPTH = 4
 ANCHOR, SPARSE, REACH = 20, 32, 255
@@ -96,6 +96,11 @@ def gram_keys(raw: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
     return key
 
 
+def by_number(bucket: np.ndarray, n: int) -> np.ndarray:
+    """Order by bucket, of n, ties as they are. Numbers of 16 bits are sorted by digits."""
+    return np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
+
+
 def gram_bucket(key: np.ndarray, n: int, depth: int) -> np.ndarray:
     return (mix(key >> U(8 * (depth - 1))) % U(n)).astype(np.int64)
 
@@ -106,8 +111,11 @@ def distinct(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     bits = max(1, n.bit_length())
     if not n or width + bits > 64:
         return np.unique(key, return_inverse=True)
-    both = key << U(bits)
-    both |= np.arange(n, dtype=U)
+    both = np.empty(n, U)
+    for at in range(0, n, STEP):
+        part = both[at : at + STEP]
+        np.left_shift(key[at : at + STEP], U(bits), out=part)
+        part |= np.arange(at, at + len(part), dtype=U)
     both.sort()
     which, kinds, last, n_kinds = np.empty(n, np.int32), [], None, 0
     for at in range(0, n, STEP):
@@ -137,6 +145,22 @@ def tallied(key: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both[first], out
 
 
+class Sums(RollingHash):
+    """The same sums, made by stretches."""
+
+    def __init__(self, raw: np.ndarray):
+        n = len(raw)
+        self.power, self.inverse = powers(n)
+        self.prefix = np.zeros(n + 1, U)
+        code = np.empty(min(n, STEP), U)
+        for at in range(0, n, STEP):
+            part = code[: n - at]
+            np.take(BYTE_CODE, raw[at : at + STEP], out=part, mode="clip")
+            part *= self.power[at : at + len(part)]
+            part[:1] += self.prefix[at : at + 1]
+            np.cumsum(part, out=self.prefix[at + 1 : at + 1 + len(part)])
+
+
 class Anchors:
     """Anchors of a stretch of whole documents: hash, row, the bytes from begin to stop that they are the last anchor of,
     and the hash of anchor and bytes."""
@@ -192,8 +216,8 @@ class Long:
         self.block, self.n = block, n
         self.parts, self.raws, self.train, self.words = [], [], [], []
         for at, to in block.pieces():
-            raw, off = LOWER[block.raw[block.off[at] : block.off[to]]], block.off[at : to + 1] - block.off[at]
-            sums = RollingHash(raw)
+            raw, off = np.frombuffer(block.raw[block.off[at] : block.off[to]].tobytes().translate(LOWER.tobytes()), np.uint8), block.off[at : to + 1] - block.off[at]
+            sums = Sums(raw)
             part = Anchors(raw, off, sums)
             if worded:
                 start, stop, row = words(raw, off)
@@ -204,7 +228,7 @@ class Long:
         key = np.concatenate([p.key for p in self.parts]) if self.parts else np.zeros(0, U)
         kind, which = np.unique(key, return_inverse=True)
         bucket = (mix(kind) % U(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = by_number(bucket, n)
         place = np.zeros(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.kind, self.bucket, self.which = kind[order], bucket[order], place[which]
@@ -284,7 +308,7 @@ def reply_strings(rows: list[tuple], n: int, depth: int, most: int = 400_000) ->
     count, size = (np.concatenate([x[k] for x in got]).astype(np.int64) for k in (2, 3))
     text = np.concatenate([x[4] for x in got])
     begin = np.cumsum(size + depth) - size  # of the strings proper, in text
-    sums = RollingHash(text)
+    sums = Sums(text)
     order = np.argsort(key, kind="stable")
     load = np.cumsum(size[order])
     new = np.flatnonzero(np.append(key[order][1:] != key[order][:-1], True)) + 1  # where anchors end
@@ -310,7 +334,7 @@ def reply_strings(rows: list[tuple], n: int, depth: int, most: int = 400_000) ->
         k, where = distinct(np.concatenate([np.zeros(0, U), *[x[0] for x in parts]]), 8 * (depth + 1))
         v = np.bincount(where, np.concatenate([np.zeros(0), *[x[1] for x in parts]]), len(k)) if len(k) else np.zeros(0)
         to = gram_bucket(k, n, depth)
-        o = np.argsort(to, kind="stable")
+        o = by_number(to, n)
         cut = np.searchsorted(to[o], np.arange(n + 1))
         out += [(-2, tag, b, packed(squeezed(k[o[cut[b] : cut[b + 1]]]), v[o[cut[b] : cut[b + 1]]].astype(np.float32))) for b in range(n) if cut[b + 1] > cut[b]]
     edge = np.concatenate([[0], np.cumsum([len(x[3]) for x in got])])
@@ -422,7 +446,7 @@ class Grams:
             (self.word_count,), (self.under, self.every) = counts, gram_counts
         with np.errstate(over="ignore"):
             self.word_bucket, self.gram_bucket = (mix(self.word) % U(n)).astype(np.int64), gram_bucket(self.gram, n, depth)
-        self.word_order, self.gram_order = np.argsort(self.word_bucket, kind="stable"), np.argsort(self.gram_bucket, kind="stable")
+        self.word_order, self.gram_order = by_number(self.word_bucket, n), by_number(self.gram_bucket, n)
 
     def asked(self, number: int, n: int) -> list[tuple]:
         out = []
@@ -544,28 +568,26 @@ def shortened(given: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 class Mixed:
     """Log10 probabilities of bytes in long contexts, from what short contexts give their eight decisions (see shortened) and
-    the weights left: two tables of decisions by gram."""
+    the weights left: two tables, a row a decision."""
 
     def __init__(self, code: np.ndarray, left: np.ndarray):
-        code, left = code.T.astype(np.float32), left.T.astype(np.float32)
-        self.left = np.ascontiguousarray(left)
-        self.given = np.where(np.signbit(code), 1 - left.astype(float) + code, code)
+        code, self.left = code.astype(np.float32), left.astype(np.float32)
+        self.given = np.where(np.signbit(code), 1 - self.left.astype(float) + code, code)
 
     def log10(self, gram: np.ndarray, uses: np.ndarray, row: np.ndarray, splits: np.ndarray) -> np.ndarray:
         """Of each byte's gram; a long context gives all eight decisions one estimate by its uses, or those of a row of
         `splits` (-1: none)."""
-        out = np.empty(len(gram))
-        for at in range(0, len(gram), STEP >> 2):
-            x = slice(at, at + (STEP >> 2))
-            p = self.left[gram[x]].astype(float)
+        out = np.ones(len(gram))
+        for at in range(0, len(gram), STEP):
+            x = slice(at, at + STEP)
+            own, product, estimate = gram[x], out[x], (uses[x] + 0.5) / (uses[x] + 1.0)
             loose = np.flatnonzero(row[x] >= 0)
-            own = p[loose] * splits[row[x][loose]]
-            p *= ((uses[x] + 0.5) / (uses[x] + 1.0))[:, None]
-            p[loose] = own
-            p += self.given[gram[x]]
-            p = p[:, :4] * p[:, 4:]  # all eight at once: at least 10**-80 or so
-            p = p[:, :2] * p[:, 2:]
-            out[x] = p[:, 0] * p[:, 1]
+            loose_rows = splits[row[x][loose]]
+            for bit in range(8):  # all eight together: at least 10**-80 or so
+                estimate[loose] = loose_rows[:, bit]
+                p = self.left[bit][own] * estimate
+                p += self.given[bit][own]
+                product *= p
         return np.log10(out, out=out)
 
 

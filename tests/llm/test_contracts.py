@@ -315,8 +315,9 @@ def test_pieces_of_the_language_model_against_plain_ones():
         assert len(lm_scoring.gram_keys(raw[:n], np.array([0, n]), 6)) == n
     assert [len(x) for x in lm_scoring.tallied(key[:0], flags[:0])] == [0, 0]
     with np.errstate(over="ignore"):
-        sums = lm_scoring.RollingHash(raw)
-        gram, found = sums.grams(lm_scoring.ANCHOR), lm_scoring.Anchors(raw, off, sums)
+        sums, plain = lm_scoring.Sums(raw), lm_scoring.RollingHash(raw)
+        gram, found = plain.grams(lm_scoring.ANCHOR), lm_scoring.Anchors(raw, off, sums)
+    assert (sums.prefix == plain.prefix).all() and len(lm_scoring.Sums(raw[:0]).prefix) == 1
     end = off[np.searchsorted(off, np.arange(len(gram)), "right")]
     at = np.flatnonzero((gram % np.uint64(lm_scoring.SPARSE) == 0) & (np.arange(len(gram)) + lm_scoring.ANCHOR < end))
     assert (found.begin - lm_scoring.ANCHOR).tolist() == at.tolist() and (found.key == gram[at] >> np.uint64(8)).all()
