@@ -421,6 +421,23 @@ def test_classifier_on_texts_it_has_not_seen(spark):
     assert quality_classifier.accepted(df, marks.limit(0)).count() == df.count()
 
 
+def test_few_sites_go_to_the_texts_and_many_meet_them_by_key(spark):
+    rows, labels = labelled(np.random.default_rng(8))
+    df = spark.createDataFrame([*rows, (1000, None, None, None, 0), (1001, rows[0][1], None, "host1", 0)], SCHEMA)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    limit, got = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), {}
+    try:
+        for size in ("16k", "-1"):  # the sites are less, the texts are more than 16k
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            kept = quality_classifier.accepted(df, marks)
+            dealt = "Exchange hashpartitioning" in kept._jdf.queryExecution().executedPlan().toString()
+            got[size] = dealt, sorted(map(str, kept.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not got["16k"][0] and got["-1"][0]
+    assert got["16k"][1] == got["-1"][1] and 0 < len(got["-1"][1]) < len(rows)
+
+
 def test_site_posteriors_by_hand(spark):
     rng = np.random.default_rng(1)
     rows = [(f"h{h}" if h else None, f"p{k % 2}", float(rng.normal(-2 + h, 0.5)), -3.0) for h in range(4) for k in range(1 + 30 * h)]
